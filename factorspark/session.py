@@ -35,6 +35,8 @@ class Limits:
 
 DEFAULT_LIMITS = Limits()
 
+_own_dirs: dict[str, str] = {}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Set the runtime options the plans rely on for speed (never for correctness)."""
@@ -54,10 +56,11 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        own = tempfile.mkdtemp(prefix="factorspark-")
-        spark.conf.set("spark.checkpoint.dir", own)
-        return own
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        if context.applicationId not in _own_dirs:
+            _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="factorspark-")
+        return _own_dirs[context.applicationId]
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorspark.functions.columns import array_dot, array_subtract, array_times_matrix, dot, names, round4
+from factorspark.functions.columns import array_dot, array_subtract, array_times_matrix, names, round4
 from factorspark.matrix import SparseMatrix
 from factorspark.operators import accumulate, cells, factors, moments, products
 from factorspark.operators.params import FitParams, default_sample_rate
@@ -21,6 +21,7 @@ from factorspark.streaming.arrivals import accumulate_partials_stream, read_sums
 K = 2
 SEED = 42
 START_SS = 1.0
+NORM_ROUNDS = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -455,8 +456,8 @@ def ppca_em_scored(spark, sf_dir):
     m = orders_suppliers(spark, sf_dir)
     layout = prepare(m, 16)
     best = em.ppca_em_wide(m, FitParams(K, max_rounds=4), layout=layout)
-    sigma, _ = quality.residual_spectral_norm(layout, best.components(), K)
-    fit = quality.ppca_em_scored(m, FitParams(K, max_rounds=2), sigma, layout=layout)
+    sigma, _ = quality.residual_spectral_norm(layout, best.components(), K, rounds=NORM_ROUNDS)
+    fit = quality.ppca_em_scored(m, FitParams(K, max_rounds=2), sigma, norm_rounds=NORM_ROUNDS, layout=layout)
     rows = [(r["round"], r["ss"], r["error"]) for r in fit.metrics]
     return spark.createDataFrame(rows, "round int, ss double, error double")
 
@@ -485,7 +486,7 @@ def residual_spectral_norm(spark, sf_dir):
     m = orders_suppliers(spark, sf_dir)
     layout = prepare(m, 16)
     fit = em.ppca_em_wide(m, FitParams(K, max_rounds=3), layout=layout)
-    norm, course = quality.residual_spectral_norm(layout, fit.components(), K)
+    norm, course = quality.residual_spectral_norm(layout, fit.components(), K, rounds=NORM_ROUNDS)
     return spark.createDataFrame([(norm, len(course))], "norm double, rounds int")
 
 
@@ -493,12 +494,10 @@ def relative_spectral_error(spark, sf_dir):
     """How much worse one round is than four."""
     m = orders_suppliers(spark, sf_dir)
     layout = prepare(m, 16)
-    norms = [
-        quality.residual_spectral_norm(
-            layout, em.ppca_em_wide(m, FitParams(K, max_rounds=r), layout=layout).components(), K
-        )[0]
-        for r in (1, 4)
-    ]
+    norms = []
+    for r in (1, 4):
+        fit = em.ppca_em_wide(m, FitParams(K, max_rounds=r), layout=layout)
+        norms.append(quality.residual_spectral_norm(layout, fit.components(), K, rounds=NORM_ROUNDS)[0])
     return spark.createDataFrame([(quality.relative_spectral_error(*norms),)], "error double")
 
 
