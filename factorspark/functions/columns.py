@@ -85,9 +85,11 @@ def largest_abs(prefix: str, k: int) -> Column:
     return parts[0] if k == 1 else F.greatest(*parts)
 
 
-def weighted_sums(weight: str, prefix: str, k: int, out: str) -> list[Column]:
-    """Aggregates `out_j = sum(weight * prefix_j)`."""
-    return [F.expr(f"sum({weight} * {prefix}_{j}) as {out}_{j}") for j in range(k)]
+def weighted_sums(table: DataFrame, keys: Sequence[str], weight: str, prefix: str, k: int, out: str) -> DataFrame:
+    """Per group the sums `out_j = sum(weight * prefix_j)`, in one expression."""
+    sums = ", ".join(f"sum({weight} * {prefix}_{j}) as {out}_{j}" for j in range(k))
+    grouped = table.groupBy(*keys).agg(F.expr(f"struct({sums}) as v_"))
+    return grouped.select(*keys, "v_.*")
 
 
 def round4(x: Column) -> Column:

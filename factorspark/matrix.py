@@ -23,7 +23,9 @@ class SparseMatrix:
     n_cols: int
     site_rows: DataFrame | None = None
     limits: Limits = DEFAULT_LIMITS
+    source: DataFrame | None = field(default=None, repr=False)
     _cells: int | None = field(default=None, repr=False)
+    _sites: int | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         missing = {"row_id", "col_id", "value"} - set(self.entries.columns)
@@ -43,7 +45,7 @@ class SparseMatrix:
         if "site_rows" in kwargs:
             keys.insert(0, F.col("site"))
         cells = table.groupBy(*keys).agg(F.sum(F.col(value) if isinstance(value, str) else value).alias("value"))
-        return cls(cells.withColumn("value", F.col("value").cast("double")), n_rows, n_cols, **kwargs)
+        return cls(cells.withColumn("value", F.col("value").cast("double")), n_rows, n_cols, source=table, **kwargs)
 
     @property
     def spark(self) -> SparkSession:
@@ -59,10 +61,20 @@ class SparseMatrix:
 
     @property
     def n_cells(self) -> int:
+        """The number of cells, or of the table rows they are summed from, which is no less.
+
+        It sizes partitions and the limit for hot keys; counting rows needs no shuffle.
+        """
         if self._cells is None:
-            self._cells = self.entries.count()
+            self._cells = (self.entries if self.source is None else self.source).count()
         return self._cells
 
+    @property
+    def n_sites(self) -> int:
+        if self._sites is None:
+            self._sites = 0 if self.site_rows is None else self.site_rows.count()
+        return self._sites
+
     def with_entries(self, entries: DataFrame, **changes) -> SparseMatrix:
         args = {
             "n_rows": self.n_rows,

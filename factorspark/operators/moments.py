@@ -86,7 +86,7 @@ def cross_moment(
     shift = np.zeros(k) if shift is None else np.asarray(shift, dtype=float)
     centred = subtract(latent, "x", shift, "c", keep=matrix.row_keys)
     pairs = lookup(matrix, centred, matrix.row_keys, matrix.n_rows, k)
-    return pairs.groupBy("col_id").agg(*weighted_sums("value", "c", k, "m"))
+    return weighted_sums(pairs, ["col_id"], "value", "c", k, "m")
 
 
 def factor_gramian(factor: DataFrame, k: int) -> DataFrame:

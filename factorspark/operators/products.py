@@ -13,7 +13,7 @@ from factorspark.operators.joins import lookup
 def multiply(matrix: SparseMatrix, factor: DataFrame, k: int) -> DataFrame:
     """`Y B` for a table `B(col_id, w_0 ..)`: one row `(row_id, x_0 ..)` per row with cells."""
     pairs = lookup(matrix, factor.select("col_id", *names("w", k)), ["col_id"], matrix.n_cols, k)
-    return pairs.groupBy(*matrix.row_keys).agg(*weighted_sums("value", "w", k, "x"))
+    return weighted_sums(pairs, matrix.row_keys, "value", "w", k, "x")
 
 
 def align_rows(matrix: SparseMatrix, latent: DataFrame, k: int) -> DataFrame:
@@ -30,8 +30,7 @@ def unmatched_rows(matrix: SparseMatrix, latent: DataFrame) -> DataFrame:
 def mean_times_factor(stats: DataFrame, factor: DataFrame, k: int) -> DataFrame:
     """`mu' B`, one row `x_0 ..`; with per-site means one row per site."""
     joined = stats.join(factor.select("col_id", *names("w", k)), "col_id")
-    sums = weighted_sums("mean", "w", k, "x")
-    return joined.groupBy("site").agg(*sums) if "site" in stats.columns else joined.agg(*sums)
+    return weighted_sums(joined, ["site"] if "site" in stats.columns else [], "mean", "w", k, "x")
 
 
 def attach_site(facts: DataFrame, sites: DataFrame, key: str, site: str) -> DataFrame:

@@ -16,7 +16,6 @@ from factorspark.matrix import SparseMatrix
 from factorspark.operators.factors import TINY, init_factor, init_noise, orthonormal_basis, right_multiply
 from factorspark.operators.moments import centered_frobenius, noise_variance
 from factorspark.operators.params import FitParams
-from factorspark.operators.products import mean_times_factor
 from factorspark.operators.small import products, to_arrays
 from factorspark.plans.layout import Layout, Shift, gram_product, prepare
 from factorspark.session import table_done
@@ -114,58 +113,66 @@ class Loop:
     def run(self, start: DataFrame, ss: float | None = None, resume: bool = False) -> Fit:
         spark, k = start.sparkSession, self.k
         norm2 = centered_frobenius(self.layout.stats).first()["norm2"] if self.needs_norm else None
-        means = self._means()
-        current = start.join(means, "col_id", "left").select(
-            "col_id", F.coalesce("mean", F.lit(0.0)).alias("mean"), *names("w", k)
-        )
-        shift, last, stopped, step, to_new, encoder = None, None, "max_rounds", None, None, None
+        start, begin = self._begin(start, resume)
+        current, shift = start, list(begin["mw"].ravel())
+        last, stopped, to_new, encoder = None, None, None, None
         for r in range(self.max_rounds):
             began = time.time()
-            if not (resume and table_done(spark, self.path(r))):
+            done = resume and table_done(spark, self.path(r))
+            if not done:
                 self._write(r, current, shift, ss)
             last = spark.read.schema(self._schema()).parquet(self.path(r))
             sums = self._sums(last)
-            ss = sums.pop("ss") if ss is not None or resume else None
-            step = Step(sums["ww"], sums["wp"], sums["pp"], ss, norm2)
-            to_new, encoder, new_ss = self.update(step)
-            current = self._next(last, to_new)
-            shift = (sums["mp"] @ to_new).ravel()
+            if done:
+                ss = last.select("ss").first()["ss"]
+            # Columns without cells take part in W'W of the start only; later they are zero.
+            ww = begin["ww"] if r == 0 else sums["ww"]
+            to_new, encoder, new_ss = self.update(Step(ww, sums["wp"], sums["pp"], ss, norm2))
+            current = combine(last, "p", to_new, "w", keep=["col_id", "mean"])
+            shift = list((sums["mp"] @ to_new).ravel())
             row = {"round": r + 1, "ss": new_ss, "dw": None, "error": None}
             if self.tolerance is not None or self.track_change:
-                row["dw"] = self._change(last, to_new)
+                row["dw"] = self._change(last, to_new, start if r == 0 else None)
             if self.score is not None:
                 row["error"] = self.score(current)
             row["seconds"] = time.time() - began
             self.metrics.append(row)
-            stopped, before_ss, ss = self._stop(row, ss if r else None), ss, new_ss
+            stopped, ss = self._stop(row, ss if r else None), new_ss
             if stopped:
                 break
         full = self._full(right_multiply(last, to_new, prefix="p"))
-        before = self._full(last.select("col_id", *names("w", k)))
+        before = start.drop("mean") if len(self.metrics) == 1 else self._full(last.select("col_id", *names("w", k)))
         return Fit(full, before, encoder, ss, self.metrics, self.layout, k, stopped or "max_rounds")
 
     # -- one round
 
+    def _begin(self, start: DataFrame, resume: bool) -> tuple[DataFrame, dict]:
+        """The start factor as a table, so that the planner knows its size, and its sums."""
+        spark, w, path = start.sparkSession, names("w", self.k), f"{self.layout.folder}/start"
+        if not (resume and table_done(spark, path)):
+            placed = start.join(self._means(), "col_id", "left").select("col_id", "mean", *w)
+            placed.fillna(0.0).write.mode("overwrite").parquet(path)
+        schema = ", ".join(["col_id bigint", *[f"{c} double" for c in ["mean", *w]]])
+        table = spark.read.schema(schema).parquet(path)
+        specs = {"ww": (w, w), "mw": (["mean"], w)}
+        return table, to_arrays(products(table, specs), specs)
+
     def _means(self) -> DataFrame:
         if not self.layout.matrix.has_sites:
             return self.layout.stats.select("col_id", "mean")
         totals = self.layout.stats.groupBy("col_id").agg(F.sum("total").alias("total"))
         return totals.select("col_id", (F.col("total") / F.lit(float(self.layout.matrix.n_rows))).alias("mean"))
 
-    def _write(self, r: int, current: DataFrame, shift, ss: float | None) -> None:
-        k, spark = self.k, current.sparkSession
-        if r == 0:
-            # The start factor once as a table: its size is then known to the planner.
-            begin = f"{self.layout.folder}/start"
-            current.write.mode("overwrite").parquet(begin)
-            current = spark.read.parquet(begin)
-            shift = list(mean_times_factor(current.select("col_id", "mean"), current, k).first())
-        make = self.product or (lambda w, width, _: gram_product(self.layout, w, width, shift))
-        moved = make(current.select("col_id", *names("w", k)), k, r)
-        # Only the start has columns without cells; their next value is zero.
-        joined = current.join(moved, "col_id", "left" if r == 0 else "inner")
+    def _write(self, r: int, current: DataFrame, shift: Shift, ss: float | None) -> None:
+        """Next to each factor row its row of the product, for the columns that have cells."""
+        factor = current.drop("mean")
+        if self.product is None:
+            moved = gram_product(self.layout, factor, self.k, shift)
+        else:
+            moved = self.product(factor, self.k, r)
         noise = "cast(null as double)" if ss is None else f"{ss!r}D"
-        joined.selectExpr("col_id", "mean", *names("w", k), *names("p", k), f"{noise} as ss").write.mode("overwrite").parquet(self.path(r))
+        joined = current.join(moved, "col_id").selectExpr("*", f"{noise} as ss")
+        joined.write.mode("overwrite").parquet(self.path(r))
 
     def _schema(self) -> str:
         doubles = ["mean", *names("w", self.k), *names("p", self.k), "ss"]
@@ -173,22 +180,22 @@ class Loop:
 
     def _sums(self, table: DataFrame) -> dict:
         w, p = names("w", self.k), names("p", self.k)
-        specs = {"ww": (w, w), "wp": (w, p), "pp": (p, p), "mp": (["mean"], p), "ss": (["ss"], ["one"]), "n": (["one"], ["one"])}
-        filled = table.withColumn("one", F.lit(1.0)).fillna(0.0)
-        out = to_arrays(products(filled, specs), specs)
-        out["ss"] = float(out["ss"][0, 0] / out.pop("n")[0, 0])
-        return out
-
-    def _next(self, table: DataFrame, to_new: np.ndarray) -> DataFrame:
-        return combine(table.filter(F.col("p_0").isNotNull()), "p", to_new, "w", keep=["col_id", "mean"])
+        specs = {"ww": (w, w), "wp": (w, p), "pp": (p, p), "mp": (["mean"], p)}
+        return to_arrays(products(table, specs), specs)
 
-    def _change(self, table: DataFrame, to_new: np.ndarray) -> float:
-        both = combine(table.fillna(0.0), "p", to_new, "n", keep=names("w", self.k))
+    def _change(self, table: DataFrame, to_new: np.ndarray, start: DataFrame | None) -> float:
+        both = combine(table, "p", to_new, "n", keep=names("w", self.k))
         top = both.agg(
             *[F.expr(f"max(abs(w_{j} - n_{j}))") for j in range(self.k)],
             *[F.expr(f"max(abs(n_{j}))") for j in range(self.k)],
         ).first()
-        return max(top[: self.k]) / (TINY + max(top[self.k :]))
+        moved = max(top[: self.k])
+        if start is not None:
+            # Columns without cells go from their start to zero.
+            empty = start.join(table.select("col_id"), "col_id", "left_anti")
+            gone = empty.agg(*[F.expr(f"max(abs(w_{j}))") for j in range(self.k)]).first()
+            moved = max([moved, *[g for g in gone if g is not None]])
+        return moved / (TINY + max(top[self.k :]))
 
     def _stop(self, row: dict, ss: float | None) -> str | None:
         if self.tolerance is not None and row["dw"] <= self.tolerance:

@@ -93,9 +93,7 @@ def prepare(matrix: SparseMatrix, k: int, parts: int | None = None, folder: str
 def latent(layout: Layout, factor: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
     """`Y W` of the light rows, which stays in place by part, and of the heavy rows."""
     matrix, limits = layout.matrix, layout.matrix.limits
-    factor = factor.select("col_id", *names("w", k))
     small = limits.fits(matrix.n_cols, k)
-    sums = weighted_sums("value", "w", k, "x")
     keys = ["part", *matrix.row_keys]
     if small:
         joined = layout.light.join(F.broadcast(factor), "col_id")
@@ -104,11 +102,11 @@ def latent(layout: Layout, factor: DataFrame, k: int) -> tuple[DataFrame, DataFr
     else:
         local = layout.needs.join(factor, "col_id").repartition(layout.parts, "part")
         joined = layout.light.join(local, ["part", "col_id"])
-    light = joined.groupBy(*keys).agg(*sums)
+    light = weighted_sums(joined, keys, "value", "w", k, "x")
     if layout.heavy is None:
         return light, None
     pairs = layout.heavy.join(F.broadcast(factor) if small else factor, "col_id")
-    return light, pairs.groupBy(*matrix.row_keys).agg(*sums)
+    return light, weighted_sums(pairs, matrix.row_keys, "value", "w", k, "x")
 
 
 def gram_product(layout: Layout, factor: DataFrame, k: int, shift: Shift, by_site: bool = False) -> DataFrame:
@@ -131,7 +129,7 @@ def gram_product(layout: Layout, factor: DataFrame, k: int, shift: Shift, by_sit
     if len(pieces) == 2:
         wanted = [*out, "value", *names("x", k)]
         every = pieces[0].select(*wanted).unionByName(pieces[1].select(*wanted))
-    return every.groupBy(*out).agg(*weighted_sums("value", "x", k, "p"))
+    return weighted_sums(every, out, "value", "x", k, "p")
 
 
 def centred(matrix: SparseMatrix, rows: DataFrame, k: int, shift: Shift) -> DataFrame:
@@ -140,7 +138,7 @@ def centred(matrix: SparseMatrix, rows: DataFrame, k: int, shift: Shift) -> Data
     if not isinstance(shift, DataFrame):
         return subtract(rows, "x", shift, "x", keep=keys)
     offsets = shift.selectExpr("site", *[f"x_{j} as s_{j}" for j in range(k)])
-    if matrix.limits.fits(matrix.site_rows.count(), k):
+    if matrix.limits.fits(matrix.n_sites, k):
         offsets = F.broadcast(offsets)
     joined = rows.join(offsets, "site")
     return joined.selectExpr(*keys, *[f"x_{j} - s_{j} as x_{j}" for j in range(k)])

@@ -69,7 +69,6 @@ def ppca_em_sites(
     params = params.checked(matrix.n_rows, matrix.n_cols)
     k = params.n_components
     layout = layout or prepare(matrix, k, folder=folder)
-    n_sites = matrix.site_rows.count()
 
     def direct(factor: DataFrame, width: int, r: int) -> DataFrame:
         return gram_product(layout, factor, width, site_shift(layout, factor, width, center))
@@ -77,7 +76,7 @@ def ppca_em_sites(
     def through_table(factor: DataFrame, width: int, r: int) -> DataFrame:
         path = f"{layout.folder}/partials/attempt={r}"
         write_partials(site_partials(layout, factor, width, r, center), path, mode="overwrite")
-        sums = accumulate_partials(read_partials(matrix.spark, path), n_sites, announced=True)
+        sums = accumulate_partials(read_partials(matrix.spark, path), matrix.n_sites, announced=True)
         return wide(sums.filter(F.col("kind") == "YtX"), width)
 
     ways = {"direct": direct, "partials": through_table}
