@@ -26,6 +26,7 @@ class SparseMatrix:
     source: DataFrame | None = field(default=None, repr=False)
     _cells: int | None = field(default=None, repr=False)
     _sites: int | None = field(default=None, repr=False)
+    _hot: dict[str, DataFrame | None] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         missing = {"row_id", "col_id", "value"} - set(self.entries.columns)
@@ -94,6 +95,10 @@ class SparseMatrix:
         most = self.n_cols if "row_id" in keys else self.n_rows
         if most <= self.limits.hot_cells:
             return None
-        limit = self.limits.hot_limit(self.n_cells)
-        counts = self.entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_cells"))
-        return counts.filter(F.col("key_cells") > limit)
+        name = ",".join(keys)
+        if name not in self._hot:
+            limit = self.limits.hot_limit(self.n_cells)
+            counts = self.entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_cells"))
+            hot = counts.filter(F.col("key_cells") > limit).persist()
+            self._hot[name] = None if hot.isEmpty() else hot
+        return self._hot[name]

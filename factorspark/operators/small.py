@@ -14,17 +14,17 @@ MAX_SUMS = 40
 Spec = dict[str, tuple[list[str], list[str]]]
 
 
-def products(table: DataFrame, specs: Spec) -> DataFrame:
+def products(table: DataFrame, specs: Spec, by: str | None = None) -> DataFrame:
     """For each named pair of column lists the sums of all products.
 
-    Gives `(kind, i, j, value)`; one pass over the table for all of them. Only partial
+    Gives `([by,] kind, i, j, value)`; one pass over the table for all of them. Only partial
     sums leave a task.
     """
     count = sum(len(left) * len(right) for left, right in specs.values())
-    return _by_aggregates(table, specs) if count <= MAX_SUMS else _by_blocks(table, specs)
+    return _by_aggregates(table, specs, by) if count <= MAX_SUMS else _by_blocks(table, specs, by)
 
 
-def _by_aggregates(table: DataFrame, specs: Spec) -> DataFrame:
+def _by_aggregates(table: DataFrame, specs: Spec, by: str | None = None) -> DataFrame:
     sums, cells = {}, []
     for kind, (left, right) in specs.items():
         for i, a in enumerate(left):
@@ -33,42 +33,45 @@ def _by_aggregates(table: DataFrame, specs: Spec) -> DataFrame:
                 cells.append(
                     f"named_struct('kind', '{kind}', 'i', {i}, 'j', {j}, 'value', coalesce({name}, 0D))"
                 )
-    row = table.agg(*[F.expr(f"sum({a} * {b}) as {name}") for (a, b), name in sums.items()])
-    return row.selectExpr(f"inline(array({', '.join(cells)}))")
+    keys = [] if by is None else [by]
+    row = table.groupBy(*keys).agg(*[F.expr(f"sum({a} * {b}) as {name}") for (a, b), name in sums.items()])
+    return row.selectExpr(*keys, f"inline(array({', '.join(cells)}))")
 
 
-def _by_blocks(table: DataFrame, specs: Spec) -> DataFrame:
+def _by_blocks(table: DataFrame, specs: Spec, by: str | None = None) -> DataFrame:
     used = sorted({c for left, right in specs.values() for c in [*left, *right]})
 
     def partial(batches):
-        acc = {kind: np.zeros((len(left), len(right))) for kind, (left, right) in specs.items()}
+        sums = {}
         for batch in batches:
-            data = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in used}
-            for kind, (left, right) in specs.items():
-                a = np.column_stack([np.nan_to_num(data[c]) for c in left])
-                b = np.column_stack([np.nan_to_num(data[c]) for c in right])
-                acc[kind] += a.T @ b
-        kinds, rows, columns, values = [], [], [], []
-        for kind, block in acc.items():
-            i, j = np.indices(block.shape)
-            kinds += [kind] * block.size
-            rows.append(i.ravel())
-            columns.append(j.ravel())
-            values.append(block.ravel())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(kinds),
-                pa.array(np.concatenate(rows).astype("int32")),
-                pa.array(np.concatenate(columns).astype("int32")),
-                pa.array(np.concatenate(values)),
-            ],
-            names=["kind", "i", "j", "value"],
-        )
+            data = {c: np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False)) for c in used}
+            coded = batch.column("by").dictionary_encode()
+            codes, groups = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            for code, group in enumerate(groups):
+                here = slice(None) if len(groups) == 1 else codes == code
+                for kind, (left, right) in specs.items():
+                    a = np.column_stack([data[c][here] for c in left])
+                    b = np.column_stack([data[c][here] for c in right])
+                    sums[group, kind] = sums.get((group, kind), 0.0) + a.T @ b
+        for (group, kind), block in sums.items():
+            i, j = np.indices(block.shape, dtype="int32")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([group] * block.size, pa.string()),
+                    pa.array([kind] * block.size, pa.string()),
+                    pa.array(i.ravel()),
+                    pa.array(j.ravel()),
+                    pa.array(block.ravel()),
+                ],
+                names=["by", "kind", "i", "j", "value"],
+            )
 
-    parts = table.selectExpr(*[f"double({c}) as {c}" for c in used]).mapInArrow(
-        partial, "kind string, i int, j int, value double"
+    label = "''" if by is None else f"string({by})"
+    parts = table.selectExpr(f"{label} as by", *[f"double({c}) as {c}" for c in used]).mapInArrow(
+        partial, "by string, kind string, i int, j int, value double"
     )
-    return parts.groupBy("kind", "i", "j").agg(F.sum("value").alias("value"))
+    out = parts.groupBy("by", "kind", "i", "j").agg(F.sum("value").alias("value"))
+    return out.drop("by") if by is None else out.withColumnRenamed("by", by)
 
 
 def to_arrays(sums: DataFrame, specs: Spec) -> dict[str, np.ndarray]:

@@ -57,15 +57,12 @@ def prepare(matrix: SparseMatrix, k: int, parts: int | None = None, folder: str
     cells, heavy, n_heavy = matrix.entries, None, 0
     hot = matrix.hot_keys(matrix.row_keys)
     if hot is not None:
-        hot = hot.select(*matrix.row_keys).persist(StorageLevel.MEMORY_AND_DISK)
+        # At most limits.max_hot rows can be hot, so the list of them is always small.
+        hot = F.broadcast(hot.select(*matrix.row_keys))
         n_heavy = hot.count()
-        if n_heavy:
-            # At most limits.max_hot rows can be hot, so the list of them is always small.
-            heavy = cells.join(F.broadcast(hot), matrix.row_keys, "left_semi").select(
-                *matrix.row_keys, "col_id", "value"
-            )
-            heavy = heavy.repartition(parts, "col_id").persist(StorageLevel.MEMORY_AND_DISK)
-            cells = cells.join(F.broadcast(hot), matrix.row_keys, "left_anti")
+        heavy = cells.join(hot, matrix.row_keys, "left_semi").select(*matrix.row_keys, "col_id", "value")
+        heavy = heavy.repartition(parts, "col_id").persist(StorageLevel.MEMORY_AND_DISK)
+        cells = cells.join(hot, matrix.row_keys, "left_anti")
     whole = limits.fits(matrix.n_cols, k)
     # With needed columns per part the parts are keyed by hash, so that factor rows can be
     # sent to them; more keys than partitions even out the load.
@@ -83,11 +80,8 @@ def prepare(matrix: SparseMatrix, k: int, parts: int | None = None, folder: str
     if heavy is not None:
         everything = everything.unionByName(heavy)
     col_stats(matrix.with_entries(everything)).write.mode("overwrite").parquet(f"{folder}/col_stats")
-    if hot is not None:
-        hot.unpersist()
-    return Layout(
-        matrix, light, heavy, needs, spark.read.parquet(f"{folder}/col_stats"), parts, n_heavy, folder
-    )
+    stats = spark.read.parquet(f"{folder}/col_stats")
+    return Layout(matrix, light, heavy, needs, stats, parts, n_heavy, folder)
 
 
 def latent(layout: Layout, factor: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:

@@ -10,6 +10,7 @@ from factorspark.matrix import SparseMatrix
 from factorspark.operators.accumulate import accumulate_partials, long, wide
 from factorspark.operators.params import FitParams
 from factorspark.operators.products import mean_times_factor
+from factorspark.operators.small import products
 from factorspark.plans.em import Fit, Loop, _start, wide_update
 from factorspark.plans.layout import Layout, Shift, gram_product, prepare
 from factorspark.sources.tables import read_partials, write_partials
@@ -36,13 +37,7 @@ def site_partials(layout: Layout, factor: DataFrame, k: int, r: int, center: str
     shift = site_shift(layout, factor, k, center)
     moments = gram_product(layout, factor, k, shift, by_site=True)
     both = moments.join(factor.select("col_id", *names("w", k)), "col_id")
-    inner = both.groupBy("site").agg(
-        *[F.expr(f"sum(w_{i} * p_{j}) as g_{i * k + j}") for i in range(k) for j in range(k)]
-    )
-    cells = ", ".join(
-        f"named_struct('i', bigint({i}), 'j', {j}, 'value', g_{i * k + j})" for i in range(k) for j in range(k)
-    )
-    gram = inner.selectExpr("site", f"inline(array({cells}))").withColumn("kind", F.lit("XtX"))
+    gram = products(both, {"XtX": (names("w", k), names("p", k))}, by="site").withColumn("i", F.col("i").cast("bigint"))
     tall = long(moments, k, "col_id", "p").withColumn("kind", F.lit("YtX"))
     every = gram.unionByName(tall).withColumn("round", F.lit(r))
     return every.select("round", "site", "kind", "i", "j", "value")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factorspark.operators.cells import bound_nonzero
+from factorspark.session import DEFAULT_LIMITS
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +31,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)
     splits = splits.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    splits = splits.persist()
+    if DEFAULT_LIMITS.fits(splits.count(), 30):
+        splits = F.broadcast(splits)
     return lines.join(splits, ["file", "start"]).select(
         (F.col("offset") + F.col("at") - F.col("first")).alias("row_id"), "line"
     )

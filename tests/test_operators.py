@@ -3,7 +3,7 @@ import pytest
 from conftest import FORMS, dense, entries_of, factor_of, matrix_of, sparse, square
 from pyspark.sql import functions as F
 
-from factorspark import FitParams
+from factorspark import FitParams, Limits
 from factorspark.functions import smalldense
 from factorspark.functions.columns import gaussian, uniform
 from factorspark.operators import cells, factors, moments, products, small
@@ -69,6 +69,7 @@ def test_salted_join_spreads_hot_keys(spark, y, w):
     hot = {r["col_id"]: r["key_cells"] for r in m.hot_keys(["col_id"]).collect()}
     assert hot and all(np.count_nonzero(y[:, c]) == n > 4 for c, n in hot.items())
     assert matrix_of(spark, y).hot_keys(["row_id"]) is None
+    assert matrix_of(spark, y, Limits(broadcast_bytes=0, hot_cells=22)).hot_keys(["row_id"]) is None
 
 
 def test_block_boundaries(spark):
@@ -127,6 +128,9 @@ def test_small_products_both_ways(spark, w):
     specs = {"ww": (c, c), "n": (["one"], ["one"]), "ow": (["one"], c)}
     for make in (small._by_aggregates, small._by_blocks):
         got = small.to_arrays(make(t, specs), specs)
+        parts = make(t.withColumn("half", F.expr("if(col_id < 5, 'a', 'b')")), specs, "half")
+        a = small.to_arrays(parts.filter("half = 'a'"), specs)
+        assert np.allclose(a["ww"], w[:5].T @ w[:5]) and a["n"][0, 0] == 5
         assert np.allclose(got["ww"], w.T @ w) and got["n"][0, 0] == D and np.allclose(got["ow"][0], w.sum(axis=0))
 
 
