@@ -63,6 +63,8 @@ class Step:
 Update = Callable[[Step], tuple[np.ndarray, np.ndarray, float | None]]
 # A product gives `Yc'Yc W` for a factor and its number of components.
 Product = Callable[[DataFrame, int, int], DataFrame]
+# A score looks at the new factor and at the map from centred rows to latent rows of the round.
+Score = Callable[[DataFrame, DataFrame], float]
 
 
 def wide_update(step: Step) -> tuple[np.ndarray, np.ndarray, None]:
@@ -102,7 +104,7 @@ class Loop:
     tolerance: float | None = None
     ss_tolerance: float | None = None
     track_change: bool = False
-    score: Callable[[DataFrame], float] | None = None
+    score: Score | None = None
     score_tolerance: float | None = None
     needs_norm: bool = False
     metrics: list[dict] = field(default_factory=list)
@@ -134,7 +136,7 @@ class Loop:
             if self.tolerance is not None or self.track_change:
                 row["dw"] = self._change(last, to_new, start if r == 0 else None)
             if self.score is not None:
-                row["error"] = self.score(current)
+                row["error"] = self.score(current.drop("mean"), right_multiply(last, encoder))
             row["seconds"] = time.time() - began
             self.metrics.append(row)
             stopped, ss = self._stop(row, ss if r else None), new_ss
@@ -245,13 +247,13 @@ def ppca_em(
     layout: Layout | None = None,
     folder: str | None = None,
     resume: bool = False,
-    score: Callable[[DataFrame], float] | None = None,
+    score: Score | None = None,
     score_tolerance: float | None = None,
 ) -> Fit:
     """EM with a noise term; stops when the noise variance settles or the score is low enough."""
     params = params.checked(matrix.n_rows, matrix.n_cols)
     k = params.n_components
-    layout = layout or prepare(matrix, max(k, 0), folder=folder)
+    layout = layout or prepare(matrix, k, folder=folder)
     loop = Loop(
         layout,
         k,

@@ -209,6 +209,23 @@ def test_reconstruction_error(spark, y, w, tile, form, monkeypatch):
         assert np.allclose([sums[c] for c in range(D)], np.abs(err[sorted(taken)]).sum(axis=0))
 
 
+def test_fit_stops_on_the_reconstruction_error(spark, y, w):
+    m, start = matrix_of(spark, y), factor_of(spark, w)
+    yc = y - y.mean(axis=0)
+    want = []
+    for r in (1, 2):
+        before = noise(y, w, 0.7, r - 1)[0] if r > 1 else w
+        c, _, sx = noise(y, w, 0.7, r)
+        want.append(np.abs(yc @ before @ sx @ c.T - yc).sum(axis=0).max() / np.abs(yc).sum(axis=0).max())
+    layout = prepare(m, K)
+    score = quality.reconstruction_score(layout, K, rate=1.0)
+    args = dict(init=start, ss=0.7, layout=layout, score=score)
+    fit = em.ppca_em(m, FitParams(K, max_rounds=2), **args)
+    assert np.allclose([r["error"] for r in fit.metrics], want) and fit.stopped_by == "max_rounds"
+    fit = em.ppca_em(m, FitParams(K, max_rounds=2), score_tolerance=want[0] * 1.0001, **args)
+    assert fit.rounds == 1 and fit.stopped_by == "error"
+
+
 @pytest.mark.parametrize("form", ["broadcast", "hot_shuffled"])
 def test_residual_norm_is_the_spectral_norm(spark, y, w, form):
     m = matrix_of(spark, y, FORMS[form])
