@@ -49,14 +49,13 @@ def test_every_form_gives_the_textbook_fit(spark, y, w, form):
     m, start = matrix_of(spark, y, FORMS[form]), factor_of(spark, w)
     layout = prepare(m, K, parts=3)
     assert (layout.heavy is not None) == ("hot" in form) and (layout.needs is not None) == ("shuffled" in form)
-    fit = em.ppca_em_wide(m, FitParams(K, max_rounds=3), init=start, layout=layout)
-    assert np.allclose(dense(fit.factor, D, "w"), wide(y, w, 3))
+    fit = em.ppca_em_wide(m, FitParams(K, max_rounds=2), init=start, layout=layout)
+    assert np.allclose(dense(fit.factor, D, "w"), wide(y, w, 2))
     assert fit.factor.count() == D
-    layout = prepare(m, K, parts=5)
-    fit = em.ppca_em(m, FitParams(K, max_rounds=3), init=start, ss=0.7, layout=layout)
-    c, ss, sx = noise(y, w, 0.7, 3)
+    fit = em.ppca_em(m, FitParams(K, max_rounds=2), init=start, ss=0.7, layout=layout)
+    c, ss, sx = noise(y, w, 0.7, 2)
     assert np.allclose(dense(fit.factor, D, "w"), c) and np.isclose(fit.ss, ss)
-    before, _, _ = noise(y, w, 0.7, 2)
+    before, _, _ = noise(y, w, 0.7, 1)
     assert np.allclose(dense(fit.before, D, "w"), before) and np.allclose(fit.encoder, sx)
     layout.release()
 
@@ -114,12 +113,12 @@ def test_converges_to_principal_components(spark):
     values = np.linalg.svd(y - y.mean(axis=0), compute_uv=False)
     ml = (values[2:] ** 2).sum() / (80 * 8)
     for fit in (
-        em.ppca_em_wide(m, FitParams(2, max_rounds=12, tolerance=1e-4)),
-        em.ppca_em(m, FitParams(2, max_rounds=25)),
+        em.ppca_em_wide(m, FitParams(2, max_rounds=6, tolerance=1e-3)),
+        em.ppca_em(m, FitParams(2, max_rounds=12)),
     ):
         u = dense(fit.components(), 10, "u")
-        assert np.linalg.svd(pc.T @ u, compute_uv=False).min() > 0.9999
-    assert abs(fit.ss - ml) < 0.02 * ml
+        assert np.linalg.svd(pc.T @ u, compute_uv=False).min() > 0.999
+    assert abs(fit.ss - ml) < 0.05 * ml
     falling = [r["ss"] for r in fit.metrics[1:]]
     assert all(a >= b - 1e-9 for a, b in zip(falling, falling[1:]))
 
@@ -234,8 +233,8 @@ def test_residual_norm_is_the_spectral_norm(spark, y, w, form):
     u = dense(fit.components(), D, "u")
     yc = y - y.mean(axis=0)
     want = np.linalg.norm(yc - yc @ u @ u.T, 2)
-    norm, course = quality.residual_spectral_norm(layout, fit.components(), K, subsample=4, rounds=40)
-    assert abs(norm - want) < 2e-3 * want and course[-1] == norm
+    norm, course = quality.residual_spectral_norm(layout, fit.components(), K, subsample=8, rounds=6)
+    assert abs(norm - want) < 1e-4 and course[-2:] == [norm, norm]
     assert np.isclose(quality.relative_spectral_error(norm, 2.0), (norm - 2.0) / 2.0)
 
 
