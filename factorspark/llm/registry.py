@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from factorspark.llm import bpe, simhash, urls
+from factorspark.llm import bpe, decontaminate, language, quality, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_url_filter": urls.op2_url_filter,
+    "op5_quality": quality.op5_quality,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_bpe": bpe.op8_bpe,
+    "op10_language": language.op10_language,
 }
 
 ORACLE = {"op2_url_filter": urls.SQL}
