@@ -65,17 +65,29 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: f
     rows = [r for r in rows if len(r[1])]
     if not rows:
         return Model(languages, np.zeros((BUCKETS, len(languages))))
-    dense = np.zeros((min(landmarks, len(rows)), BUCKETS))
-    for mark, (_, buckets) in zip(dense, rows):
-        mark[buckets] = len(buckets) ** -0.5
-    kernel = np.stack([dense[:, b].sum(axis=1) * len(b) ** -0.5 for _, b in rows])
-    values, vectors = np.linalg.eigh(kernel[: len(dense)])
-    kept = values > 1e-8 * values[-1]
+    marks = rows[: min(landmarks, len(rows))]
+    used = np.unique(np.concatenate([b for _, b in marks]))
+    place = np.full(BUCKETS, -1, "int64")
+    place[used] = np.arange(len(used))
+
+    def dense(part: list[tuple[str, np.ndarray]]) -> np.ndarray:
+        out = np.zeros((len(part), len(used)), "float32")
+        for row, (_, buckets) in zip(out, part):
+            at = place[buckets]
+            row[at[at >= 0]] = len(buckets) ** -0.5
+        return out
+
+    of_marks = dense(marks)
+    kernel = np.concatenate([dense(rows[i : i + 64]) @ of_marks.T for i in range(0, len(rows), 64)]).astype("float64")
+    values, vectors = np.linalg.eigh(kernel[: len(marks)])
+    kept = values > 1e-6 * values[-1]
     root = vectors[:, kept] * values[kept] ** -0.5
     features = kernel @ root
     targets = np.array([[float(lang == x) for x in languages] for lang, _ in rows])
     gram = features.T @ features + ridge * len(rows) / 100 * np.eye(features.shape[1])
-    return Model(languages, dense.T @ (root @ np.linalg.solve(gram, features.T @ targets)))
+    weights = np.zeros((BUCKETS, len(languages)))
+    weights[used] = of_marks.T @ (root @ np.linalg.solve(gram, features.T @ targets))
+    return Model(languages, weights)
 
 
 def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:

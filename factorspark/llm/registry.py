@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factorspark.llm import bpe, decontaminate, language, quality, simhash, urls
+from factorspark.llm import bpe, decontaminate, language, pii, quality, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_url_filter": urls.op2_url_filter,
+    "op4_pii": pii.op4_pii,
     "op5_quality": quality.op5_quality,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_bpe": bpe.op8_bpe,
