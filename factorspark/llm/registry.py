@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from factorspark.llm import bpe, decontaminate, language, pii, quality, simhash, urls
+from factorspark.llm import ann, bpe, decontaminate, html_crf, language, pii, quality, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_url_filter": urls.op2_url_filter,
+    "op3_html": html_crf.op3_html,
     "op4_pii": pii.op4_pii,
     "op5_quality": quality.op5_quality,
+    "op6_ann": ann.op6_ann,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_bpe": bpe.op8_bpe,
     "op10_language": language.op10_language,
