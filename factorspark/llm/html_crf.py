@@ -34,6 +34,7 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody"
     " td tfoot th thead tr ul".split()
 )
+SECTION = frozenset("article aside footer form header main nav section table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg select object xmp noembed noframes".split())
 _CLOSES = {
@@ -142,7 +143,8 @@ def features(block: Block) -> list[str]:
     density = 4 * block.linked // n if block.linked else -1
     out = [f"in:{t}" for t in set(block.tags)] + [f"word:{w}" for w in block.words]
     last = next((t for t in reversed(block.tags) if t in BLOCK), "")
-    out += [f"tag:{last}", f"length:{min(8, n.bit_length())}", f"words:{min(6, words.bit_length())}", f"links:{density}"]
+    section = next((t for t in reversed(block.tags) if t in SECTION), "")
+    out += [f"tag:{last}", f"place:{section}/{last}", f"length:{min(8, n.bit_length())}", f"words:{min(6, words.bit_length())}", f"links:{density}"]
     out += [f"ends:{'stop' if block.text[-1] in '.!?…:;' else 'open'}", f"commas:{min(2, block.text.count(','))}"]
     if "©" in block.text or "(c)" in block.text:
         out.append("copyright")
@@ -160,7 +162,7 @@ class Field:
     first: tuple[float, float]
 
 
-def train(pages: list[str], epochs: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Field:
+def train(pages: list[str], epochs: int = 150, rate: float = 0.2, decay: float = 1e-4) -> Field:
     """Maximum likelihood by forward-backward over all pages at once and Adam. Deterministic."""
     rows = [b for p in pages if (b := leaf_blocks(p))]
     names = sorted({f for blocks in rows for b in blocks for f in features(b)})
