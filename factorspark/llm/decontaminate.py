@@ -69,7 +69,7 @@ def phrases_of(items: list[tuple[str, bytes]], window: int, step: int = 1) -> Ph
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The index as a written table, a row for each block of documents:
 
-    doc_ids, marks (digest of the text), n_words and starts (position of the first word) by document; terms, counts, and postings: the positions of each
+    doc_ids, marks (MD5 of the text), n_words and starts (position of the first word) by document; terms, counts, and postings: the positions of each
     term in turn, as int32. Blocks follow the partitions of the input, so a shuffle is not needed.
     """
     spark = docs.sparkSession
@@ -90,7 +90,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int, block_b
         terms, positions = (both >> 32).astype("int32"), (both & 0xFFFFFFFF).astype("int32")
         heads = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1]))) if len(terms) else np.zeros(0, int)
         counts = np.diff(np.append(heads, len(terms)))
-        marks = [hashlib.blake2b(text, digest_size=16).digest() for text in texts]
+        marks = [hashlib.md5(text, usedforsecurity=False).digest() for text in texts]
         return ids, marks, n_words, starts, terms[heads].tolist(), counts.tolist(), positions.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def contamination(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP,
     block_bytes: int = BLOCK_BYTES, item_words: int = ITEM_WORDS,
 ) -> DataFrame:
-    """By row of `docs`: n_words, n_hit, n_items, items_sha256, contaminated, items, and near_items with a proximity match.
+    """By row of `docs`: n_words, n_hit, n_items, items_sha256, contaminated, items, near_items with a proximity match, and mark, the text's MD5.
 
     A window is `window` consecutive words of an item, or all words of a shorter one. A word is hit if it lies in an exact
     occurrence of a window. A proximity match has all words of a window within `window + slop` words of its rarest one, in any
@@ -265,10 +265,17 @@ def contamination(
     return found.withColumns(ordered).select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("exact").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "exact"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"),
-        F.col("exact").alias("items"), F.col("near").alias("near_items"),
+        F.col("exact").alias("items"), F.col("near").alias("near_items"), F.lower(F.hex("mark")).alias("mark"),
     )
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, **options) -> DataFrame:
+    """`docs` without the rows that hold a window of an item."""
+    found = contamination(docs, items, window, **options).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_mark"))
+    return docs.join(found, same, "left_anti")
+
+
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     """All `documents` against all of `benchmark`."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

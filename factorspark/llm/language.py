@@ -114,7 +114,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, training: int = TRA
     """
     spark = docs.sparkSession
     small_batches(spark)
-    open_rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    open_rows = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = open_rows.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_language)
     chosen = chosen.orderBy("n", "lang").limit(training).select(F.col("doc_id").alias("chosen")).distinct()

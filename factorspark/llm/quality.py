@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, training: int = TRAINING, **option
             arrays = [batch.column("labelled"), batch.column("label"), pa.array(rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "label", "x"])
 
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))
     kind = labels.schema["doc_id"].dataType.simpleString()
     found = rows.select("labelled", "label", "text").mapInArrow(features, f"doc_id {kind}, label float, x binary").collect()
     if not found:
@@ -176,6 +176,17 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of `docs`, with all columns, that score 0.5 or more."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score(model, texts_of(batch)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     """Scores of all `documents`, learned from `labels` of those not held out."""
     docs = table(spark, sf_dir, "documents")

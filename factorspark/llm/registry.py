@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from factorspark.llm import ann, bpe, decontaminate, html_crf, language, pii, quality, simhash, urls
+import corpus_pipeline
+from factorspark.llm import ann, bpe, decontaminate, html_crf, language, pii, quality, simhash, suffix_dedup, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,7 +14,9 @@ QUERIES = {
     "op6_ann": ann.op6_ann,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_bpe": bpe.op8_bpe,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_language": language.op10_language,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {"op2_url_filter": urls.SQL}

@@ -46,15 +46,16 @@ def fingerprint(text: str, words_in_shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed bigint. Null text has no words."""
+    """(doc_id, mark, fp): MD5 and fingerprint, as a signed bigint, of each whole text. Null text has no words and no MD5."""
     small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t, words_in_shingle) for t in texts_of(batch)], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(prints)], names=["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(of, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("mark"), "text")
+    return rows.mapInArrow(of, "doc_id bigint, mark string, fp bigint")
 
 
 def variants(nodes: DataFrame, width: int) -> DataFrame:
@@ -177,19 +178,36 @@ def links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
             return found
 
 
+def _members(docs: DataFrame, bits: int, hot: int, words_in_shingle: int) -> DataFrame:
+    """(doc_id, mark, fp, part, component_id): every row with its component, by smallest fingerprint and by smallest id."""
+    prints = written(fingerprints(docs, words_in_shingle), "prints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    parts = components(links(nodes, bits, hot)).withColumnsRenamed({"node": "fp", "component": "part"})
+    of = nodes.join(parts, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+    names = of.groupBy("part").agg(F.min("first").alias("component_id"))
+    return prints.join(of.join(names, "part").select("fp", "part", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT, words_in_shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; documents link at `bits` or fewer differing bits.
 
     component_id is the smallest doc_id reachable, itself included. Null and empty texts have fingerprint zero and link like
     any other. Repeated rows give repeated rows; a null id has a component, but never names one unless it holds no other.
     """
-    prints = written(fingerprints(docs, words_in_shingle), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    parts = components(links(nodes, bits, hot)).withColumnsRenamed({"node": "fp", "component": "part"})
-    of = nodes.join(parts, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
-    names = of.groupBy("part").agg(F.min("first").alias("component_id"))
-    of = of.join(names, "part").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _members(docs, bits, hot, words_in_shingle)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT, words_in_shingle: int = SHINGLE) -> DataFrame:
+    """`docs` with one document of each component: that with the smallest id, ids before null, of equal ids the smallest MD5 of
+    the text. Of repeated rows one stays."""
+    found = _members(docs, bits, hot, words_in_shingle)
+    # Structs order null first; the flag puts rows without id last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "mark")).alias("first")
+    kept = found.groupBy("part").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    rows = docs.withColumn("_md5", F.md5("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_md5").eqNullSafe(F.col("_mark"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_md5"]).drop("_md5")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
