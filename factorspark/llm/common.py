@@ -23,6 +23,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table behind what `written` returned, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows in an Arrow batch; batches are cut by bytes as well (`spark.sql.execution.arrow.maxBytesPerBatch`)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -8,8 +8,10 @@ A byte goes if it lies in a string of `LENGTH` bytes that also starts in a docum
    only one text has cannot lie in a repeated string. Each shard sends its different anchors, packed by ranges of hashes.
 3. A shard sorts the suffixes around shared anchors by Larsson-Sadakane refinement (groups of equal prefixes are sorted by the
    rank of what follows, doubling the length; settled ones rest) and cuts them into runs of equal strings by Kasai's common
-   prefixes. Runs around anchors that other shards have as well are sent on, a digest of 128 bits and the smallest id each.
-4. Sorted runs of all shards in a range of digests are merged by binary search; each shard gets the smallest id of its own.
+   prefixes. Strings around anchors that other shards have as well are sent on once a shard, with their smallest id: those in a
+   row with the same least gram as one stretch of text, to the range of that gram, where all equal strings meet.
+4. There the sorted digests (128 bits) of all shards are merged by binary search; a shard learns of each string whether a
+   smaller id than its own has it.
 
 All that is sent are packed arrays; nothing is ever gathered by string, so a passage that a third of all documents share is one
 entry of each shard.
@@ -18,19 +20,21 @@ entry of each shard.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import small_batches, table, written
+from factorspark.llm.common import discard, small_batches, table, written
 
 LENGTH, GRAM = 50, 16
 #: Bytes of different texts in a shard; anchors and runs in a range of hashes.
-SHARD_BYTES, RANGE = 3 << 20, 2_000_000
+SHARD_BYTES, RANGE = 3 << 20, 1_000_000
 NOBODY = np.iinfo("int64").max  # the id of documents without one: larger than all others
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -173,9 +177,11 @@ class Shard:
         lasts = np.append(heads[1:], len(hashes)) - 1
         return hashes[heads], of[heads] != of[lasts]
 
-    def around(self, shared: np.ndarray, length: int) -> np.ndarray:
-        """Which positions begin a string of `length` that lies in one text and holds an anchor among `shared` (sorted)."""
+    def around(self, shared: np.ndarray, length: int, ranges: int) -> np.ndarray:
+        """Which positions begin a string of `length` that lies in one text and holds an anchor among `shared`: sorted numbers
+        made of the range and the low 32 bits of a hash."""
         at, hashes, of = self.anchors(length)
+        hashes = part_of(hashes, ranges) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
         place = np.minimum(np.searchsorted(shared, hashes), max(0, len(shared) - 1))
         hit = shared[place] == hashes if len(shared) else np.zeros(len(at), bool)
         low = np.maximum(at[hit] - (length - GRAM), self.starts[of[hit]])
@@ -212,8 +218,30 @@ def _rows(names: list[str], rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names)
 
 
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Numbers as compressed differences; those of neighbouring strings are mostly 1."""
+    return zlib.compress(np.diff(values, prepend=0).astype("int32").tobytes(), 1)
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "int32"), dtype="int64")
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The range of each hash, of `parts` equal ones."""
+    return (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
 def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """A written table of shards: its different texts end to end, their sizes, the ids of the rows of each."""
+    """A written table of shards: its different texts end to end (compressed), their sizes, the ids of the rows of each."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -235,7 +263,7 @@ def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
         def flush():
             own = hashlib.blake2b(repr((ids, marks)).encode(), digest_size=16).hexdigest()
-            columns = [[own], [b"".join(texts)], [list(map(len, texts))], [ids]]
+            columns = [[own], [_packed(b"".join(texts))], [list(map(len, texts))], [ids]]
             kinds = [pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "data", "sizes", "ids"])
 
@@ -263,7 +291,8 @@ def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 def _shard(row) -> tuple[Shard, list[list]]:
     """The shard of a row, and the ids of the rows of each of its texts."""
     ends = np.cumsum(np.asarray(row["sizes"], "int64"))
-    texts = [row["data"][b - n : b] for n, b in zip(row["sizes"], ends)]
+    data = _unpacked(row["data"])
+    texts = [data[b - n : b] for n, b in zip(row["sizes"], ends)]
     ids = [[int(x) for x in group] for group in row["ids"]]
     return Shard(texts, np.array([min(g) for g in ids], "int64")), ids
 
@@ -280,34 +309,41 @@ def remove_repeats(
         raise ValueError(f"the length must be at least {2 * GRAM}")
     shards = shards_of(docs, shard_bytes)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    ranges = max(1, -(-int(shards.agg(F.sum(F.length("data"))).first()[0] or 0) // (per_range * 16)))
+    size = shards.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
+    ranges = max(1, -(-int(size) // (per_range * 16)))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
                 hashes, many = _shard(row)[0].grams(length)
-                part = (hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                # In a range 32 bits tell anchors apart well enough: a collision makes one look shared, which costs work only.
+                part = part_of(hashes, ranges)
                 cuts = np.searchsorted(part, np.arange(ranges + 1))
-                out += [(k, row["shard"], hashes[a:b].tobytes(), many[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    if b > a:
+                        low, place = np.unique(hashes[a:b].astype("u4"), return_inverse=True)
+                        both = np.bincount(place, many[a:b]) > 0
+                        out.append((k, row["shard"], low.tobytes(), np.packbits(both).tobytes()))
             yield _rows(["range", "shard", "hashes", "many"], out)
 
     def share(group: pd.DataFrame) -> pd.DataFrame:
         """Anchors that several texts have, for each shard: those it shares with others, and those with itself only."""
-        lists = [np.frombuffer(h, "u8") for h in group["hashes"]]
+        lists = [np.frombuffer(h, "u4") for h in group["hashes"]]
+        span = int(group["range"].iloc[0])
         every = np.sort(np.concatenate(lists))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         out = []
         for own, hashes, many in zip(group["shard"], lists, group["many"]):
             place = np.minimum(np.searchsorted(twice, hashes), max(0, len(twice) - 1))
             cross = twice[place] == hashes if len(twice) else np.zeros(len(hashes), bool)
-            inner = np.frombuffer(many, bool) & ~cross
+            inner = np.unpackbits(np.frombuffer(many, "u1"), count=len(hashes)).astype(bool) & ~cross
             if cross.any() or inner.any():
-                out.append((own, hashes[cross].tobytes(), hashes[inner].tobytes()))
-        return _rows(["shard", "cross", "inner"], out)
+                out.append((own, span, hashes[cross].tobytes(), hashes[inner].tobytes()))
+        return _rows(["shard", "range", "cross", "inner"], out)
 
     sent = shards.mapInPandas(send, "range bigint, shard string, hashes binary, many binary")
-    shared = written(sent.groupBy("range").applyInPandas(share, "shard string, cross binary, inner binary"), "anchors")
+    shared = written(sent.groupBy("range").applyInPandas(share, "shard string, range bigint, cross binary, inner binary"), "anchors")
 
     def settle(held: Shard, ids: list[list], covered: np.ndarray, only=None) -> list[tuple]:
         """Result rows of the texts, given which positions begin a string that a smaller id has."""
@@ -329,16 +365,19 @@ def remove_repeats(
         return out
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    pending = ["shard", "data", "sizes", "ids", "covered", "starts", "runs", "a", "b", "least"]
+    pending = ["shard", "data", "sizes", "ids", "covered", "starts", "runs", "stretches"]
+    sending = ["part", "first", "text", "counts", "least"]
 
     def sort(held: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         """Runs of one shard. Texts that no other shard touches are done; the others wait for the merge."""
         row = held.to_dict("records")[0]
         shard, ids = _shard(row)
-        cross = np.sort(np.concatenate([np.zeros(0, "u8"), *(np.frombuffer(x, "u8") for x in marks["cross"])]))
-        inner = np.sort(np.concatenate([np.zeros(0, "u8"), *(np.frombuffer(x, "u8") for x in marks["inner"])]))
-        outside = shard.around(cross, length)
-        at, run = shard.runs(outside | shard.around(inner, length), length)
+        cross, inner = (
+            np.sort(np.concatenate([np.zeros(0, "u8"), *(np.frombuffer(x, "u4") | np.uint64(k << 32) for k, x in zip(marks["range"], marks[c]))]))
+            for c in ("cross", "inner")
+        )
+        outside = shard.around(cross, length, ranges)
+        at, run = shard.runs(outside | shard.around(inner, length, ranges), length)
         owner = shard.ids[np.searchsorted(shard.starts, at, "right") - 1]
         least = np.full(int(run[-1]) + 1 if len(run) else 0, NOBODY)
         np.minimum.at(least, run, owner)
@@ -352,73 +391,81 @@ def remove_repeats(
             # Only what waits is kept, laid end to end anew.
             shift = np.zeros(len(ids), "int64")
             shift[touched] = np.cumsum(shard.sizes[touched]) - shard.sizes[touched] - shard.starts[touched]
-            of = np.searchsorted(shard.starts, at, "right") - 1
-            mine = outside[at]
-            kinds, number = np.unique(run[mine], return_inverse=True)
-            firsts = at[mine][np.unique(number, return_index=True)[1]]
-            a, b = digests(shard.words, firsts, length)
+            mine = np.flatnonzero(outside[at])
+            mine = mine[np.argsort(at[mine])]
+            here, kind = at[mine], run[mine]
+            # Each run once, at its first place, in the order in which it is sent: by range of its least gram, then by place.
+            kinds, first = np.unique(kind, return_index=True)
+            low = _sliding(gram_hashes(shard.words), length - GRAM + 1, np.minimum)[here[first]]
+            part = part_of(low, ranges)
+            sent = np.lexsort((here[first], part))
+            number = np.empty(len(kinds), "int64")
+            number[sent] = np.arange(len(kinds))
+            place, low, part, own = here[first][sent], low[sent], part[sent], least[kinds][sent]
+            fresh = (np.diff(place) != 1) | (low[1:] != low[:-1]) | (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+            heads = np.flatnonzero(np.concatenate(([True], fresh)))
+            counts = np.diff(np.append(heads, len(place)))
+            cuts = np.searchsorted(part[heads], np.arange(ranges + 1))
+            stretches = []
+            for k in np.flatnonzero(np.diff(cuts)):
+                x, y = cuts[k], cuts[k + 1]
+                text = b"".join(shard.data[place[h] : place[h] + n + length - 1] for h, n in zip(heads[x:y], counts[x:y]))
+                stretches.append((int(k), int(heads[x]), _packed(text), counts[x:y].astype("int32").tobytes(), own[heads[x:y]].tobytes()))
+            of = np.searchsorted(shard.starts, here, "right") - 1
             keep = np.concatenate([np.arange(shard.starts[d], shard.starts[d] + shard.sizes[d]) for d in touched])
             state = (
-                row["shard"], b"".join(shard.texts[d] for d in touched), [int(shard.sizes[d]) for d in touched], [ids[d] for d in touched],
-                np.packbits(covered[keep]).tobytes(), (at[mine] + shift[of[mine]]).astype("int32").tobytes(), number.astype("int32").tobytes(),
-                a.tobytes(), b.tobytes(), least[kinds].tobytes(),
+                row["shard"], _packed(b"".join(shard.texts[d] for d in touched)), [int(shard.sizes[d]) for d in touched],
+                [ids[d] for d in touched], zlib.compress(np.packbits(covered[keep]).tobytes(), 1), _steps(here + shift[of]),
+                _steps(number[np.searchsorted(kinds, kind)]), [dict(zip(sending, x)) for x in stretches],
             )
             out.append((*state, *[None] * len(names)))
         return _rows(pending + names, out)
 
-    lists = "shard string, data binary, sizes array<int>, ids array<array<bigint>>, covered binary, starts binary, runs binary, a binary, b binary, least binary"
+    stretch = "part: bigint, first: int, text: binary, counts: binary, least: binary"
+    lists = "shard string, data binary, sizes array<int>, ids array<array<bigint>>, covered binary, starts binary, runs binary"
     sorted_ = written(
-        shards.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(sort, f"{lists}, {schema}"), "suffixes"
+        shards.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(sort, f"{lists}, stretches array<struct<{stretch}>>, {schema}"),
+        "suffixes",
     )
+    discard(shards)
     done, waiting = sorted_.where("shard IS NULL").select(*names), sorted_.where("shard IS NOT NULL")
-    entries = waiting.agg(F.sum(F.length("least")) / 8).first()[0] or 0
-    parts = max(1, -(-int(entries) // per_range))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for own, *columns in batch.itertuples(index=False):
-                a, b, least = np.frombuffer(columns[0], "u8"), np.frombuffer(columns[1], "u8"), np.frombuffer(columns[2], "i8")
-                order = np.argsort(a)
-                part = (a[order] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-                cuts = np.searchsorted(part, np.arange(parts + 1))
-                for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if y > x:
-                        i = order[x:y]
-                        out.append((k, own, i.astype("int32").tobytes(), a[i].tobytes(), b[i].tobytes(), least[i].tobytes()))
-            yield _rows(["part", "shard", "i", "a", "b", "least"], out)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        """The smallest id of each entry over all shards: entries of each list are found in the merged one by binary search."""
-        a, b, least = (np.concatenate([np.frombuffer(x, t) for x in group[c]]) for c, t in (("a", "u8"), ("b", "u8"), ("least", "i8")))
+        """Whether another shard's id of a string is smaller: each list is looked up in the merged one by binary search."""
+        lists = []
+        for text, counts, least in zip(group["text"], group["counts"], group["least"]):
+            counts = np.frombuffer(counts, "int32").astype("int64")
+            begin = np.cumsum(counts + length - 1) - (counts + length - 1)
+            at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            lists.append((*digests(words_at(_unpacked(text)), at, length), np.repeat(np.frombuffer(least, "i8"), counts)))
+        a, b, least = map(np.concatenate, zip(*lists))
         order = np.lexsort((least, b, a))
         a, b, least = a[order], b[order], least[order]
         heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         a, b, least = a[heads], b[heads], least[heads]
         out = []
-        for own, i, x, y in zip(group["shard"], group["i"], group["a"], group["b"]):
-            x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+        for own, first, (x, y, mine) in zip(group["shard"], group["first"], lists):
             at = np.searchsorted(a, x)
             while (off := b[at] != y).any():  # first hashes that collide stand side by side
                 at = at + off
-            out.append((own, i, least[at].tobytes()))
-        return _rows(["shard", "i", "best"], out)
+            out.append((own, first, len(x), np.packbits(least[at] < mine).tobytes()))
+        return _rows(["shard", "first", "n", "smaller"], out)
 
-    dealt = waiting.select("shard", "a", "b", "least").mapInPandas(deal, "part bigint, shard string, i binary, a binary, b binary, least binary")
-    best = dealt.groupBy("part").applyInPandas(merge, "shard string, i binary, best binary")
+    dealt = waiting.select("shard", F.explode("stretches").alias("x")).select("shard", "x.*")
+    best = dealt.groupBy("part").applyInPandas(merge, "shard string, first int, n int, smaller binary")
 
     def finish(held: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = held.to_dict("records")[0]
         shard, ids = _shard(row)
-        at, run = np.frombuffer(row["starts"], "int32"), np.frombuffer(row["runs"], "int32")
-        least = np.frombuffer(row["least"], "i8").copy()
-        for i, x in zip(answers["i"], answers["best"]):
-            least[np.frombuffer(i, "int32")] = np.frombuffer(x, "i8")
-        covered = np.unpackbits(np.frombuffer(row["covered"], "u1"), count=len(shard.data)).astype(bool)
-        owner = shard.ids[np.searchsorted(shard.starts, at, "right") - 1]
-        covered[at[least[run] < owner]] = True
+        at, run = _from_steps(row["starts"]), _from_steps(row["runs"])
+        smaller = np.zeros(int(run.max(initial=-1)) + 1, bool)
+        for first, n, bits in zip(answers["first"], answers["n"], answers["smaller"]):
+            smaller[first : first + n] = np.unpackbits(np.frombuffer(bits, "u1"), count=n)
+        covered = np.unpackbits(np.frombuffer(zlib.decompress(row["covered"]), "u1"), count=len(shard.data)).astype(bool)
+        covered[at[smaller[run]]] = True
         return _rows(names, settle(shard, ids, covered))
 
+    waiting = waiting.select("shard", "data", "sizes", "ids", "covered", "starts", "runs")
     rest = waiting.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(finish, schema)
     out = done.unionByName(rest)
     return out if keep_text else out.drop("kept")
