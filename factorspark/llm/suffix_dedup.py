@@ -34,7 +34,7 @@ from factorspark.llm.common import discard, small_batches, table, written
 
 LENGTH, GRAM = 50, 16
 #: Bytes of different texts in a shard; anchors and runs in a range of hashes.
-SHARD_BYTES, RANGE = 3 << 20, 1_000_000
+SHARD_BYTES, RANGE = 2 << 20, 250_000
 NOBODY = np.iinfo("int64").max  # the id of documents without one: larger than all others
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -157,15 +157,31 @@ class Shard:
         self.sizes = np.array([len(t) for t in texts], "int64")
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.words = words_at(self.data)
+        self._all_anchors: tuple | None = None
 
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, hash and text of each anchor whose gram lies within one text."""
+        """Position, hash and text of each anchor whose gram lies within one text; computed once."""
+        if self._all_anchors is None:
+            self._all_anchors = self._find_anchors(length)
+        return self._all_anchors
+
+    def _find_anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes = gram_hashes(self.words)
         at = anchors(hashes, length)
         of = np.searchsorted(self.starts, at, "right") - 1
         inside = at + GRAM <= (self.starts + self.sizes)[of]
         return at[inside], hashes[at[inside]], of[inside]
 
+    def least_grams(self, at: np.ndarray, length: int) -> np.ndarray:
+        """The least hash of the grams in each string from `at` on: the one of the first of its anchors that is least."""
+        place, hashes, _ = self._all_anchors
+        out = np.full(len(at), np.iinfo("u8").max, "u8")
+        low, high = np.searchsorted(place, at), np.searchsorted(place, at + length - GRAM, "right")
+        for k in range(int((high - low).max(initial=0))):
+            inside = np.flatnonzero(low + k < high)
+            out[inside] = np.minimum(out[inside], hashes[low[inside] + k])
+        return out
+
     def grams(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Different anchor hashes in order, and whether more than one text of the shard has them."""
         _, hashes, of = self.anchors(length)
@@ -396,7 +412,7 @@ def remove_repeats(
             here, kind = at[mine], run[mine]
             # Each run once, at its first place, in the order in which it is sent: by range of its least gram, then by place.
             kinds, first = np.unique(kind, return_index=True)
-            low = _sliding(gram_hashes(shard.words), length - GRAM + 1, np.minimum)[here[first]]
+            low = shard.least_grams(here[first], length)
             part = part_of(low, ranges)
             sent = np.lexsort((here[first], part))
             number = np.empty(len(kinds), "int64")
