@@ -24,16 +24,6 @@ def cols(prefix: str, k: int) -> list[Column]:
     return [F.col(c) for c in names(prefix, k)]
 
 
-def width(columns: list[str], prefix: str) -> int:
-    """How many numbered columns `prefix_0, prefix_1, ...` a table has."""
-    k = 0
-    while f"{prefix}_{k}" in columns:
-        k += 1
-    if k == 0:
-        raise ValueError(f"no columns {prefix}_0, {prefix}_1, ... in {columns}")
-    return k
-
-
 def total(terms: list[Column]) -> Column:
     return reduce(add, terms)
 
@@ -76,15 +66,6 @@ def subtract(table: DataFrame, prefix: str, shift, out: str, keep: Sequence[str]
     return ready.selectExpr(*keep, *[f"{prefix}_{j} - v_[z_ + {j}] as {out}_{j}" for j in range(k)])
 
 
-def dot(left: str, right: str, k: int) -> Column:
-    return total([F.col(f"{left}_{j}") * F.col(f"{right}_{j}") for j in range(k)])
-
-
-def largest_abs(prefix: str, k: int) -> Column:
-    parts = [F.abs(c) for c in cols(prefix, k)]
-    return parts[0] if k == 1 else F.greatest(*parts)
-
-
 def weighted_sums(table: DataFrame, keys: Sequence[str], weight: str, prefix: str, k: int, out: str) -> DataFrame:
     """Per group the sums `out_j = sum(weight * prefix_j)`, in one expression."""
     sums = ", ".join(f"sum({weight} * {prefix}_{j}) as {out}_{j}" for j in range(k))

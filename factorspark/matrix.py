@@ -48,6 +48,14 @@ class SparseMatrix:
         cells = table.groupBy(*keys).agg(F.sum(F.col(value) if isinstance(value, str) else value).alias("value"))
         return cls(cells.withColumn("value", F.col("value").cast("double")), n_rows, n_cols, source=table, **kwargs)
 
+    @property
+    def checked_entries(self) -> DataFrame:
+        """The cells; one outside the matrix is an error. Every fit reads them once in this form, for its column statistics."""
+        inside = F.col("row_id").between(0, self.n_rows - 1) & F.col("col_id").between(0, self.n_cols - 1)
+        stray = F.concat_ws(" ", F.lit("cell outside the matrix (row, column):"), F.col("row_id"), F.col("col_id"))
+        checked = F.when(inside, F.col("value")).otherwise(F.raise_error(stray).cast("double"))
+        return self.entries.withColumn("value", checked)
+
     @property
     def spark(self) -> SparkSession:
         return self.entries.sparkSession

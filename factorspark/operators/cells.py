@@ -9,8 +9,8 @@ from factorspark.functions.columns import uniform
 
 
 def bound_nonzero(entries: DataFrame, n_cols: int) -> DataFrame:
-    """Drop zeros and cells right of the last column."""
-    return entries.filter((F.col("col_id") < n_cols) & (F.col("value") != 0))
+    """Drop zeros and cells left of the first or right of the last column."""
+    return entries.filter((F.col("col_id") >= 0) & (F.col("col_id") < n_cols) & (F.col("value") != 0))
 
 
 def rebase_ids(entries: DataFrame, row_shift: int = 0, col_shift: int = 0) -> DataFrame:

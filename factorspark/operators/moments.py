@@ -19,13 +19,17 @@ def col_stats(matrix: SparseMatrix) -> DataFrame:
     deviation from it over all rows, empty ones included. With sites: per site and column.
     """
     keys = ["site", "col_id"] if matrix.has_sites else ["col_id"]
-    stats = matrix.entries.groupBy(*keys).agg(
+    stats = matrix.checked_entries.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_nonzero"),
         F.sum("value").alias("total"),
         F.var_pop("value").alias("spread"),
     )
     if matrix.has_sites:
-        stats = stats.join(F.broadcast(matrix.site_rows.select("site", "n_rows")), "site")
+        sites = matrix.site_rows.select("site", "n_rows")
+        if matrix.limits.fits(matrix.n_sites, 1):
+            sites = F.broadcast(sites)
+        unknown = F.raise_error(F.concat(F.lit("site_rows lacks the site "), F.col("site").cast("string"))).cast("bigint")
+        stats = stats.join(sites, "site", "left").withColumn("n_rows", F.coalesce(F.col("n_rows").cast("bigint"), unknown))
     else:
         stats = stats.withColumn("n_rows", F.lit(matrix.n_rows).cast("bigint"))
     n, stored = F.col("n_rows").cast("double"), F.col("n_nonzero").cast("double")

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
 class FitParams:
     """What a caller may ask for; `checked` gives what a fit will use.
 
-    n_components  k; as many as there are columns means one less
+    n_components  k; as many as there are columns means one less, with a warning
     max_rounds    upper bound for EM rounds
     tolerance     stop when the factor changes by no more than this (None: do not look)
     ss_tolerance  stop when the noise variance changes by no more than this share
-    subsample     extra sketch columns, cut down to what the matrix has left
-    sample_rate   share of rows looked at by sampled errors (None: by the number of rows)
+    subsample     extra sketch columns, cut down to what the matrix has left, with a warning
+    sample_rate   share of rows looked at by sampled errors, whatever the size of the matrix
     """
 
     n_components: int
@@ -22,7 +23,7 @@ class FitParams:
     tolerance: float | None = None
     ss_tolerance: float = 1e-5
     subsample: int = 10
-    sample_rate: float | None = None
+    sample_rate: float = 1.0
     seed: int = 42
 
     def checked(self, n_rows: int, n_cols: int) -> FitParams:
@@ -36,13 +37,9 @@ class FitParams:
         if self.tolerance is not None and self.tolerance < 0:
             raise ValueError("tolerance must not be negative")
         subsample = n_cols - k if k + self.subsample >= n_cols else self.subsample
-        rate = default_sample_rate(n_rows) if self.sample_rate is None else self.sample_rate
-        if not 0 < rate <= 1:
+        if not 0 < self.sample_rate <= 1:
             raise ValueError("sample_rate must lie in (0, 1]")
-        return FitParams(k, self.max_rounds, self.tolerance, self.ss_tolerance, subsample, rate, self.seed)
-
-
-def default_sample_rate(n_rows: int) -> float:
-    """All rows up to four digits; beyond that between 1,000 and 9,999 rows on average."""
-    digits = len(str(n_rows))
-    return 1.0 if digits <= 4 else 10.0 ** (4 - digits)
+        for what, asked, used in (("n_components", self.n_components, k), ("subsample", self.subsample, subsample)):
+            if asked != used:
+                warnings.warn(f"{what} is {used} instead of {asked}: the matrix has {n_cols} columns", stacklevel=2)
+        return replace(self, n_components=k, subsample=subsample)

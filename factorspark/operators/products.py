@@ -34,5 +34,8 @@ def mean_times_factor(stats: DataFrame, factor: DataFrame, k: int) -> DataFrame:
 
 
 def attach_site(facts: DataFrame, sites: DataFrame, key: str, site: str) -> DataFrame:
-    """Give each fact the site of its owner through a dimension table."""
-    return facts.join(sites.select(key, F.col(site).alias("site")), key)
+    """Give each fact the site of its owner through a dimension table; a fact without owner is an error."""
+    owner = sites.select(key, F.col(site).alias("site"))
+    missing = F.raise_error(F.concat(F.lit(f"no owner for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    found = facts.join(owner, key, "left")
+    return found.withColumn("site", F.coalesce(F.col("site"), missing.cast(owner.schema["site"].dataType)))

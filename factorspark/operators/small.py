@@ -44,7 +44,8 @@ def _by_blocks(table: DataFrame, specs: Spec, by: str | None = None) -> DataFram
     def partial(batches):
         sums = {}
         for batch in batches:
-            data = {c: np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False)) for c in used}
+            # Nulls are left out of the sums, NaN and infinity go into them, as in the other form.
+            data = {c: batch.column(c).fill_null(0.0).to_numpy(zero_copy_only=False) for c in used}
             coded = batch.column("by").dictionary_encode()
             codes, groups = coded.indices.to_numpy(), coded.dictionary.to_pylist()
             for code, group in enumerate(groups):
@@ -71,7 +72,9 @@ def _by_blocks(table: DataFrame, specs: Spec, by: str | None = None) -> DataFram
         partial, "by string, kind string, i int, j int, value double"
     )
     out = parts.groupBy("by", "kind", "i", "j").agg(F.sum("value").alias("value"))
-    return out.drop("by") if by is None else out.withColumnRenamed("by", by)
+    if by is None:
+        return out.drop("by")
+    return out.withColumn("by", F.col("by").cast(table.schema[by].dataType)).withColumnRenamed("by", by)
 
 
 def to_arrays(sums: DataFrame, specs: Spec) -> dict[str, np.ndarray]:

@@ -172,8 +172,8 @@ class Loop:
             moved = gram_product(self.layout, factor, self.k, shift)
         else:
             moved = self.product(factor, self.k, r)
-        noise = "cast(null as double)" if ss is None else f"{ss!r}D"
-        joined = current.join(moved, "col_id").selectExpr("*", f"{noise} as ss")
+        noise = F.lit(None if ss is None else float(ss)).cast("double")
+        joined = current.join(moved, "col_id").withColumn("ss", noise)
         joined.write.mode("overwrite").parquet(self.path(r))
 
     def _schema(self) -> str:

@@ -3,12 +3,11 @@ import pytest
 from conftest import FORMS, dense, entries_of, factor_of, matrix_of, sparse, square
 from pyspark.sql import functions as F
 
-from factorspark import FitParams, Limits
+from factorspark import FitParams, Limits, SparseMatrix
 from factorspark.functions import smalldense
 from factorspark.functions.columns import gaussian, uniform
 from factorspark.operators import cells, factors, moments, products, small
 from factorspark.operators.accumulate import accumulate_partials
-from factorspark.operators.params import default_sample_rate
 from factorspark.sources.tables import PARTIALS_SCHEMA
 
 N, D, K = 23, 11, 3
@@ -116,7 +115,8 @@ def test_params():
     assert (p.n_components, p.subsample) == (9, 1)
     assert FitParams(3, subsample=20).checked(100, 10).subsample == 7
     assert FitParams(3).checked(100, 20).subsample == 10
-    assert [default_sample_rate(n) for n in (9, 9999, 10000, 1234567)] == [1.0, 1.0, 0.1, 0.001]
+    with pytest.warns(UserWarning, match="n_components is 4 instead of 5"):
+        assert FitParams(5, subsample=1).checked(1_234_567, 5).sample_rate == 1.0
     for bad in (FitParams(0), FitParams(11), FitParams(2, max_rounds=0), FitParams(2, sample_rate=0.0), FitParams(2, tolerance=-1.0)):
         with pytest.raises(ValueError):
             bad.checked(100, 10)
@@ -211,3 +211,37 @@ def test_filters_reach_the_scan(spark, tmp_path, y):
     entries_of(spark, y).write.parquet(path)
     plan = cells.bound_nonzero(spark.read.parquet(path), 5)._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(col_id,5)" in plan and "Not(EqualTo(value,0.0))" in plan
+
+
+@pytest.mark.parametrize("k", [2, 3, 4, 10])
+@pytest.mark.parametrize("bad", [float("nan"), float("inf")])
+def test_products_keep_what_is_not_finite(spark, k, bad):
+    """Both forms of the sums leave out nulls and let NaN and infinity through."""
+    rows = [[1.0 + j for j in range(k)], [None] * k, [2.0] * k, [bad] + [1.0] * (k - 1)]
+    df = spark.createDataFrame(rows, ", ".join(f"x_{j} double" for j in range(k)))
+    spec = {"xx": ([f"x_{j}" for j in range(k)],) * 2}
+    for form in (small._by_aggregates, small._by_blocks):
+        got = small.to_arrays(form(df, spec), spec)["xx"]
+        assert not np.isfinite(got[0]).any() and np.isfinite(got[1:, 1:]).all() and got[1, 1] == 4.0 + 4.0 + 1.0
+        clean = small.to_arrays(form(df.limit(3), spec), spec)["xx"]
+        assert clean[0, 1] == 1.0 * 2.0 + 4.0
+
+
+def test_groups_keep_their_type(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 1.0)], "g bigint, x double")
+    for form in (small._by_aggregates, small._by_blocks):
+        assert {(r.g, r.value) for r in form(df, {"xx": (["x"], ["x"])}, "g").collect()} == {(1, 13.0), (2, 1.0)}
+
+
+def test_stray_cells_and_sites_raise(spark):
+    for row, col in ((0, 3), (0, -1), (4, 0), (-1, 0)):
+        cells_ = spark.createDataFrame([(0, 0, 1.0), (row, col, 1.0)], "row_id bigint, col_id bigint, value double")
+        with pytest.raises(Exception, match="outside the matrix"):
+            moments.col_stats(SparseMatrix(cells_, 4, 3)).collect()
+    sited = spark.createDataFrame([("a", 0, 0, 1.0), ("b", 1, 0, 1.0)], "site string, row_id bigint, col_id bigint, value double")
+    known = spark.createDataFrame([("a", 4)], "site string, n_rows bigint")
+    with pytest.raises(Exception, match="lacks the site b"):
+        moments.col_stats(SparseMatrix(sited, 4, 3, site_rows=known)).collect()
+    facts, owners = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, s string")
+    with pytest.raises(Exception, match="no owner"):
+        products.attach_site(facts, owners, "k", "s").collect()

@@ -242,14 +242,14 @@ SELECT row_id, col_id, value, CAST(b AS INTEGER) AS block,
 FROM (SELECT *, ((col_id + 1) * 7 + CAST(d AS BIGINT) - 1) // CAST(d AS BIGINT) AS b FROM cells CROSS JOIN dims)""",
     "sample_rows": f"""{with_(CELLS, DIMS)}
 SELECT row_id, col_id, value FROM cells CROSS JOIN dims
-WHERE {drawn('row_id', 1)} <= CASE WHEN n < 10000 THEN 1e0 ELSE power(10e0, 4 - length(CAST(CAST(n AS BIGINT) AS VARCHAR))) END""",
+WHERE {drawn('row_id', 1)} <= 1e-1""",
     "limit_rows": f"""{with_(CELLS)}
 SELECT row_id, col_id, value FROM cells
 WHERE row_id IN (SELECT DISTINCT row_id FROM cells ORDER BY row_id LIMIT 1000)""",
     "limit_cols": wide_cells() + " WHERE col_id <= 1000",
     "check_params": f"""{with_(DIMS, 'asked AS (SELECT CAST(10 AS BIGINT) AS asked UNION ALL SELECT CAST(d AS BIGINT) - 3 FROM dims UNION ALL SELECT CAST(d AS BIGINT) FROM dims)')}
 SELECT asked, k AS n_components, CASE WHEN k + 10 >= d THEN CAST(d AS BIGINT) - k ELSE 10 END AS subsample,
-  CASE WHEN n < 10000 THEN 1e0 ELSE power(10e0, 4 - length(CAST(CAST(n AS BIGINT) AS VARCHAR))) END AS sample_rate,
+  1e0 AS sample_rate,
   CAST(3 AS BIGINT) AS max_rounds
 FROM (SELECT asked, CASE WHEN asked = CAST(d AS BIGINT) THEN asked - 1 ELSE asked END AS k, n, d FROM asked CROSS JOIN dims)""",
     "vector_arith": f"""SELECT vec_id, {r('sum(v * v)', 6, 'self_dot')}, {r('sum((v - back) * (v - back))', 4, 'gap2')},

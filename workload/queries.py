@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factorspark.functions.columns import array_dot, array_subtract, array_times_matrix, names, round4
 from factorspark.matrix import SparseMatrix
 from factorspark.operators import accumulate, cells, factors, moments, products
-from factorspark.operators.params import FitParams, default_sample_rate
+from factorspark.operators.params import FitParams
 from factorspark.operators.small import to_arrays
 from factorspark.plans import em, quality, sites
 from factorspark.plans.layout import prepare
@@ -20,6 +20,7 @@ from factorspark.streaming.arrivals import accumulate_partials_stream, read_sums
 
 K = 2
 SEED = 42
+SAMPLE_RATE = 0.1
 START_SS = 1.0
 NORM_ROUNDS = 5
 
@@ -230,7 +231,7 @@ def assign_column_block(spark, sf_dir):
 
 def sample_rows(spark, sf_dir):
     m = orders_parts(spark, sf_dir)
-    return cells.sample_rows(m.entries, default_sample_rate(m.n_rows), SEED)
+    return cells.sample_rows(m.entries, SAMPLE_RATE, SEED)
 
 
 def limit_rows(spark, sf_dir):
