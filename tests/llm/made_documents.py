@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"

@@ -6,6 +6,7 @@ import random
 import public_tokenizers
 import pytest
 
+from made_documents import documents  # noqa: F401
 from factorspark.llm import bpe
 
 

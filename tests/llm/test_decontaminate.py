@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from made_documents import documents  # noqa: F401
 from factorspark.llm import decontaminate as d
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from made_documents import documents  # noqa: F401
 from factorspark.llm import language, quality
 
 SF_DIR = "/root/testdata/sf0.01"

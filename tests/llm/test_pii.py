@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from made_documents import documents  # noqa: F401
 from factorspark.llm import pii
 
 KINDS = {

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline as c
+from made_documents import documents  # noqa: F401
 from factorspark.llm import quality, simhash
 from test_bpe import want as tokens_of
 from test_decontaminate import brute as contaminated

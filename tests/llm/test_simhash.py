@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from made_documents import documents  # noqa: F401
 from factorspark.llm import simhash
 
 

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from made_documents import documents  # noqa: F401
 from factorspark.llm import suffix_dedup as s
 
 
