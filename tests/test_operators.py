@@ -209,7 +209,9 @@ def test_profile(spark, y):
 def test_filters_reach_the_scan(spark, tmp_path, y):
     path = str(tmp_path / "cells")
     entries_of(spark, y).write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # else the plan's text is cut short
     plan = cells.bound_nonzero(spark.read.parquet(path), 5)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "LessThan(col_id,5)" in plan and "Not(EqualTo(value,0.0))" in plan
 
 
