@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -18,7 +19,7 @@ from factorspark.operators.moments import centered_frobenius, noise_variance
 from factorspark.operators.params import FitParams
 from factorspark.operators.small import products, to_arrays
 from factorspark.plans.layout import Layout, Shift, gram_product, prepare
-from factorspark.session import table_done
+from factorspark.session import path_exists, table_done
 
 
 @dataclass
@@ -94,6 +95,10 @@ class Loop:
     the factor it started from next to the product of the data with it. The new factor is
     a projection of that table, so the lineage never grows, and a broken fit continues
     from the last table that is complete.
+
+    The tables lie below `rounds/run=<mark>/attempt=<n>`. The mark stands for method, size, start and
+    cells, so a fit continues its own rounds only; a fit that does not resume takes a new attempt and
+    leaves the tables of others as they are.
     """
 
     layout: Layout
@@ -107,14 +112,40 @@ class Loop:
     score: Score | None = None
     score_tolerance: float | None = None
     needs_norm: bool = False
+    method: str = "wide"
+    folder: str = ""
     metrics: list[dict] = field(default_factory=list)
 
     def path(self, r: int) -> str:
-        return f"{self.layout.folder}/rounds/round={r}"
+        return f"{self.folder}/round={r}"
+
+    def mark(self, start: DataFrame, ss: float | None) -> str:
+        """A digest of method, size, start and numbers of cells by column, whatever the order of rows.
+
+        Sums of values are left out, as their last bits change with the order of adding.
+        """
+        matrix = self.layout.matrix
+        rows = start.select(F.xxhash64("col_id", *names("w", self.k)).cast("decimal(38,0)").alias("h"))
+        keys = [c for c in ("site", "col_id", "n_nonzero") if c in self.layout.stats.columns]
+        cells = self.layout.stats.select(F.xxhash64(*keys).cast("decimal(38,0)").alias("h"))
+        hashed = [table.agg(F.sum("h"), F.count("h")).first() for table in (rows, cells)]
+        told = (self.method, self.k, matrix.n_rows, matrix.n_cols, None if ss is None else float(ss), *map(tuple, hashed))
+        return hashlib.sha256(repr(told).encode()).hexdigest()[:16]
+
+    def _own_folder(self, start: DataFrame, ss: float | None, resume: bool) -> str:
+        """The last attempt of the same fit if it is to be resumed, else a new one."""
+        spark, rounds = start.sparkSession, f"{self.layout.folder}/rounds"
+        run, n = f"{rounds}/run={self.mark(start, ss)}", 0
+        while path_exists(spark, f"{run}/attempt={n}"):
+            n += 1
+        if resume and n == 0 and path_exists(spark, rounds):
+            raise ValueError(f"nothing to resume: the rounds below {rounds} belong to fits with another method, size, start or number of cells")
+        return f"{run}/attempt={max(0, n - 1) if resume else n}"
 
     def run(self, start: DataFrame, ss: float | None = None, resume: bool = False) -> Fit:
         spark, k = start.sparkSession, self.k
         norm2 = centered_frobenius(self.layout.stats).first()["norm2"] if self.needs_norm else None
+        self.folder = self._own_folder(start, ss, resume)
         start, begin = self._begin(start, resume)
         current, shift = start, list(begin["mw"].ravel())
         last, stopped, to_new, encoder = None, None, None, None
@@ -150,7 +181,7 @@ class Loop:
 
     def _begin(self, start: DataFrame, resume: bool) -> tuple[DataFrame, dict]:
         """The start factor as a table, so that the planner knows its size, and its sums."""
-        spark, w, path = start.sparkSession, names("w", self.k), f"{self.layout.folder}/start"
+        spark, w, path = start.sparkSession, names("w", self.k), f"{self.folder}/start"
         if not (resume and table_done(spark, path)):
             placed = start.join(self._means(), "col_id", "left").select("col_id", "mean", *w)
             placed.fillna(0.0).write.mode("overwrite").parquet(path)
@@ -263,6 +294,7 @@ def ppca_em(
         score=score,
         score_tolerance=score_tolerance,
         needs_norm=True,
+        method="noise",
     )
     start_ss = init_noise(params.seed) if ss is None else ss
     return loop.run(_start(matrix, params, init), ss=start_ss, resume=resume)

@@ -85,5 +85,6 @@ def ppca_em_sites(
         max_rounds=params.max_rounds,
         tolerance=params.tolerance,
         track_change=track_change,
+        method=f"sites, {center}",
     )
     return loop.run(_start(matrix, params, init), resume=resume)

@@ -94,6 +94,24 @@ def test_change_stops_and_resume_continues(spark, y, w):
     assert [r["round"] for r in again.metrics] == [1, 2, 3, 4]
 
 
+def test_resume_continues_its_own_rounds_only(spark, y, w):
+    m, start, other = matrix_of(spark, y), factor_of(spark, w), factor_of(spark, w + 1)
+    layout = prepare(m, K, folder=new_dir(spark, "two-fits"))
+    first = em.ppca_em_wide(m, FitParams(K, max_rounds=3), init=start, layout=layout)
+    em.ppca_em_wide(m, FitParams(K, max_rounds=1), init=other, layout=layout)
+    resumed = em.ppca_em_wide(m, FitParams(K, max_rounds=3), init=other, layout=layout, resume=True)
+    assert np.allclose(dense(resumed.factor, D, "w"), wide(y, w + 1, 3))
+    em.ppca_em_wide(m, FitParams(K, max_rounds=1), init=start, layout=layout)
+    assert np.allclose(dense(first.factor, D, "w"), wide(y, w, 3))
+    for changed in (
+        lambda: em.ppca_em_wide(m, FitParams(K, max_rounds=2), init=factor_of(spark, w + 2), layout=layout, resume=True),
+        lambda: em.ppca_em(m, FitParams(K, max_rounds=2), init=start, ss=0.7, layout=layout, resume=True),
+    ):
+        with pytest.raises(ValueError, match="nothing to resume"):
+            changed()
+    layout.release()
+
+
 def test_row_order_and_partitions_do_not_matter(spark, y, w):
     start = factor_of(spark, w)
     fits = []
