@@ -112,6 +112,7 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, limit: int = LENGTH, l
 
     Walking through the text, a suffix shares at least one byte less than the one before it did. Many stretches of the text are
     walked side by side. The rule holds below the limit, where the order is settled; after a full match the count starts anew.
+    `order` may leave suffixes out: bytes count as shared only if the suffix before moved along.
     """
     n = len(order)
     before = np.concatenate(([-1], order[:-1])) if n else order
@@ -119,12 +120,14 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, limit: int = LENGTH, l
     height = -(-n // lanes) if n else 0
     pad = height * lanes - n
     place = np.concatenate((text, np.full(pad, -1))).reshape(lanes, height)
-    out, shared, last = np.zeros(n, "int64"), np.zeros(lanes, "int64"), np.zeros(lanes, "int64")
+    out, shared = np.zeros(n, "int64"), np.zeros(lanes, "int64")
+    last, ahead = np.zeros(lanes, "int64"), np.full(lanes, -1, "int64")
     size = np.uint64(1)
     for column in place.T:
         i, j = np.where(column >= 0, order[column], 0), np.where(column >= 0, before[column], -1)
-        shared = np.where(shared < limit, np.maximum(shared - (i - last), 0), 0)
-        last = i
+        carried = (shared < limit) & (ahead >= 0) & (j - ahead == i - last)
+        shared = np.where(carried, np.maximum(shared - (i - last), 0), 0)
+        last, ahead = i, j
         open_ = np.flatnonzero(j >= 0)
         shared[j < 0] = 0
         while len(open_):
@@ -224,10 +227,11 @@ class Shard:
         cut = np.flatnonzero(np.concatenate(((covered[1:] != covered[:-1] + 1) | (of[1:] != of[:-1]), [True])))
         room = cut[np.searchsorted(cut, np.arange(len(covered)))] + 1 - np.arange(len(covered))
         words = words_at(stretch)
-        order, _ = suffix_order(words, room, length)
-        order = order[starts[covered[order]]]
-        run = np.cumsum(common_prefixes(words, order, length) < length) - 1
-        return covered[order], run
+        order, rank = suffix_order(words, room, length)
+        wanted = starts[covered[order]]
+        order, rank = order[wanted], rank[wanted]
+        # Equal ranks are equal strings.
+        return covered[order], np.cumsum(np.concatenate(([True], rank[1:] != rank[:-1]))) - 1
 
 
 def _rows(names: list[str], rows: list[tuple]) -> pd.DataFrame:

@@ -92,6 +92,41 @@ def test_order_and_common_prefixes():
         assert s.common_prefixes(words, order, 40, lanes).tolist() == want
 
 
+def carried_over():
+    """Texts in which the suffix before one has no successor of its own: '12F' and '11F' once counted as one string of 50 bytes."""
+    rng = random.Random(4)
+    f = "".join(rng.choices("abcdefgh", k=30_000))  # more than the lanes of common_prefixes
+    a, c = "x" * 5 + "q12" + f, "y" * 5 + "r11" + f
+    b = "z" * 10 + ("q12" + f)[:40] + "A" * 10
+    return [(1, c), (2, b), (9, a)]
+
+
+def test_runs_are_equal_strings():
+    texts = [t.encode() for _, t in carried_over()]
+    rng = random.Random(6)
+    for shard in [s.Shard(texts, np.arange(3))] + [s.Shard(["".join(rng.choices("ab", k=200)).encode() * 2], np.arange(1)) for _ in range(20)]:
+        starts = np.zeros(len(shard.data), bool)
+        for low, size in zip(shard.starts, shard.sizes):
+            starts[low : low + size - 49] = [len(texts) == len(shard.texts) or rng.random() < 0.5 for _ in range(size - 49)]
+        at, run = shard.runs(starts, 50)
+        cut = [shard.data[i : i + 50] for i in at]
+        assert sorted(at.tolist()) == np.flatnonzero(starts).tolist()
+        assert [x == y for x, y in zip(cut, cut[1:])] == (run[1:] == run[:-1]).tolist()
+
+
+def test_common_prefixes_of_some_suffixes():
+    data = "".join(t for _, t in carried_over()).encode()
+    order = np.array(sorted(random.Random(1).sample(range(len(data) - 49), 9_000), key=lambda i: data[i : i + 50]))
+    want = [0] + [next((k for k in range(50) if data[a + k] != data[b + k]), 50) for a, b in zip(order, order[1:])]
+    for lanes in (1, 7, 4096):
+        assert s.common_prefixes(s.words_at(data), order, 50, lanes).tolist() == want
+
+
+def test_strings_that_differ_early(documents):
+    rows = carried_over()
+    assert got(s.remove_repeats(documents(*rows))) == brute(rows)
+
+
 def test_query_against_brute_force(spark):
     sf_dir = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
