@@ -201,7 +201,11 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT, words_in_
 def without_near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT, words_in_shingle: int = SHINGLE) -> DataFrame:
     """`docs` with one document of each component: that with the smallest id, ids before null, of equal ids the smallest MD5 of
     the text. Of repeated rows one stays."""
-    found = _members(docs, bits, hot, words_in_shingle)
+    return first_of_parts(docs, _members(docs, bits, hot, words_in_shingle))
+
+
+def first_of_parts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`docs` with one row of each part of `found` (doc_id, mark, part), as `without_near_duplicates` says."""
     # Structs order null first; the flag puts rows without id last.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "mark")).alias("first")
     kept = found.groupBy("part").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
