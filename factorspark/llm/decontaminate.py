@@ -49,13 +49,13 @@ class Phrases:
     items: list[str]  # item ids as text
 
 
-def phrases_of(items: list[tuple[str, bytes]], window: int, step: int = 1) -> Phrases:
-    """Every run of `window` words of each item (all words of a shorter one), `step` words apart."""
+def phrases_of(items: list[tuple[str, bytes]], window: int) -> Phrases:
+    """Every run of `window` words of each item (all words of a shorter one)."""
     vocabulary: dict[bytes, int] = {}
     found: dict[tuple[int, ...], list[int]] = {}
     for number, (_, text) in enumerate(items):
         terms = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
-        for at in range(0, max(1, len(terms) - window + 1), step):
+        for at in range(max(1, len(terms) - window + 1)):
             run = tuple(terms[at : at + window])
             if run and found.setdefault(run, [number])[-1] != number:
                 found[run].append(number)
@@ -134,12 +134,17 @@ def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
     return out
 
 
-def exact_starts(lists: dict[int, np.ndarray], windows: np.ndarray, sizes: np.ndarray, order: np.ndarray):
-    """(window, position) of every occurrence: lists of each window's terms, intersected from the rarest on."""
+def all_present(lists: dict[int, np.ndarray], windows: np.ndarray) -> np.ndarray:
+    """Which windows have all their terms in `lists`."""
     present = np.zeros(int(windows.max(initial=-1)) + 2, bool)  # the last is for the padding
     present[[t for t in lists if t < len(present) - 1]] = True
     present[-1] = True
-    for w in np.flatnonzero(present[windows].all(axis=1)):
+    return present[windows].all(axis=1)
+
+
+def exact_starts(lists: dict[int, np.ndarray], windows: np.ndarray, sizes: np.ndarray, order: np.ndarray):
+    """(window, position) of every occurrence: lists of each window's terms, intersected from the rarest on."""
+    for w in np.flatnonzero(all_present(lists, windows)):
         terms, found = windows[w], None
         for place in order[w, : sizes[w]]:
             here = lists[int(terms[place])]
@@ -174,14 +179,25 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
 
 
-def search(index: DataFrame, phrases: Phrases, loose: Phrases, window: int, slop: int) -> DataFrame:
+def bags_of(phrases: Phrases) -> tuple[np.ndarray, list[list[int]]]:
+    """Windows with different sets of terms, one for each set, and which items hold a window of the set."""
+    first: dict[tuple[int, ...], int] = {}
+    of: list[set[int]] = []
+    for w, (terms, size) in enumerate(zip(phrases.windows, phrases.sizes)):
+        at = first.setdefault(tuple(sorted(set(terms[:size].tolist()))), w)
+        of.append(set())
+        of[at].update(phrases.of[w])
+    chosen = list(first.values())
+    return np.array(chosen, "int64"), [sorted(of[w]) for w in chosen]
+
+
+def search(index: DataFrame, phrases: Phrases, window: int, slop: int) -> DataFrame:
     """By document of the index: runs of hit words, and the items with an exact and with a proximity match."""
     weight = term_counts(index, len(phrases.vocabulary))
     cost = np.where(phrases.windows >= 0, weight[phrases.windows], np.iinfo("int64").max)
     order = np.argsort(cost, axis=1, kind="stable")
-    groups = [np.unique(w[:n]) for w, n in zip(loose.windows, loose.sizes)]
-    groups = [g[np.argsort(weight[g], kind="stable")] for g in groups]
-    windows, sizes, of, loose_of, names = phrases.windows, phrases.sizes, phrases.of, loose.of, phrases.items
+    bags, bags_in = bags_of(phrases)
+    windows, sizes, of, names = phrases.windows, phrases.sizes, phrases.of, phrases.items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,9 +214,11 @@ def search(index: DataFrame, phrases: Phrases, loose: Phrases, window: int, slop
                     marks[found + sizes[w]] -= 1
                     for d in np.unique(np.searchsorted(starts, found, "right") - 1):
                         exact[d].update(names[i] for i in of[w])
-                for g, numbers in zip(groups, loose_of):
-                    for d in np.unique(np.searchsorted(starts, near_places(lists, g, window + slop), "right") - 1):
-                        near[d].update(names[i] for i in numbers)
+                for b in np.flatnonzero(all_present(lists, windows)[bags]):
+                    bag = np.unique(windows[bags[b], : sizes[bags[b]]])
+                    bag = bag[np.argsort(weight[bag], kind="stable")]
+                    for d in np.unique(np.searchsorted(starts, near_places(lists, bag, window + slop), "right") - 1):
+                        near[d].update(names[i] for i in bags_in[b])
                 low, high = _spans(np.cumsum(marks) > 0)
                 hit = [[] for _ in starts]
                 for d, a, b in zip(np.searchsorted(starts, low, "right") - 1, low, high):
@@ -240,14 +258,14 @@ def contamination(
 
     A window is `window` consecutive words of an item, or all words of a shorter one. A word is hit if it lies in an exact
     occurrence of a window. A proximity match has all words of a window within `window + slop` words of its rarest one, in any
-    order; windows for it are taken end to end. Null and empty texts have no words; items without words or id match nothing;
+    order. Null and empty texts have no words; items without words or id match nothing;
     an id of several items counts once. Equal rows of `docs` give equal rows. An empty benchmark hits nothing.
     """
     found, groups = None, 0
     for group in item_groups(items, item_words):
-        phrases, loose = phrases_of(group, window), phrases_of(group, window, window)
+        phrases = phrases_of(group, window)
         index = build_index(docs, phrases.vocabulary, window + slop + 1, block_bytes)
-        one = search(index, phrases, loose, window, slop)
+        one = search(index, phrases, window, slop)
         found, groups = one if found is None else found.union(one), groups + 1
     if groups > 1:  # each row was searched once for each group
         lists = {c: F.flatten(F.collect_set(c)).alias(c) for c in ("hit", "exact", "near")}

@@ -66,6 +66,16 @@ def test_proximity(spark, documents):
     assert [(r.contaminated, r.near_items) for r in sorted(got.collect(), key=lambda r: r.doc_id)] == [(False, ["1"]), (False, []), (True, ["1"])]
 
 
+def test_proximity_at_any_offset(spark, documents):
+    words = [f"w{i}" for i in range(1, 20)]
+    table = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:18]) + " other")], "item_id int, text string")
+    runs = [words[5:15], words[9:19], words[:10], words[5:14], words[8:18]]
+    docs = documents(*(" ".join(reversed(run)) for run in runs), "w6 w8 x w7 w9 w10 w15 w14 w13 w12 y w11")
+    got = {r.doc_id: (r.contaminated, r.near_items) for r in d.contamination(docs, table).collect()}
+    both = (False, ["1", "2"])
+    assert got == {0: both, 1: (False, ["1"]), 2: both, 3: (False, []), 4: both, 5: both}
+
+
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id int, text string")
     row = d.contamination(documents("a b c"), none).collect()
