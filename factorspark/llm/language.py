@@ -23,6 +23,8 @@ ORDER, BUCKET_BITS = 4, 15
 BUCKETS = ORDER << BUCKET_BITS
 #: Training rows of a language and in all, by the hash of their ids; landmarks among them; ridge.
 PER_LANGUAGE, TRAINING, LANDMARKS, RIDGE = 800, 8_000, 256, 1e-2
+#: Landmarks of each language at least, as far as it has rows, even if that makes more than `LANDMARKS`.
+LEAST_LANDMARKS = 8
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -59,13 +61,25 @@ def _presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return found % BUCKETS, np.searchsorted(found, np.arange(len(texts) + 1) * BUCKETS)
 
 
+def landmarks_first(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS) -> tuple[list[tuple[str, np.ndarray]], int]:
+    """(rows with the landmarks first, number of these): languages take turns, each with its rows in the order given."""
+    turns: dict[str, int] = {}
+    keys = []
+    for i, (lang, _) in enumerate(rows):
+        turns[lang] = turns.get(lang, -1) + 1
+        keys.append((turns[lang], i))
+    least = sum(turn < LEAST_LANDMARKS for turn, _ in keys)
+    return [rows[i] for _, i in sorted(keys)], min(len(rows), max(landmarks, least))
+
+
 def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Ridge regression of each language against the rest on the Nyström features of rows (language, buckets)."""
     languages = tuple(sorted({lang for lang, _ in rows}))
     rows = [r for r in rows if len(r[1])]
     if not rows:
         return Model(languages, np.zeros((BUCKETS, len(languages))))
-    marks = rows[: min(landmarks, len(rows))]
+    rows, n_marks = landmarks_first(rows, landmarks)
+    marks = rows[:n_marks]
     used = np.unique(np.concatenate([b for _, b in marks]))
     place = np.full(BUCKETS, -1, "int64")
     place[used] = np.arange(len(used))
@@ -77,8 +91,13 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: f
             row[at[at >= 0]] = len(buckets) ** -0.5
         return out
 
-    of_marks = dense(marks)
-    kernel = np.concatenate([dense(rows[i : i + 64]) @ of_marks.T for i in range(0, len(rows), 64)]).astype("float64")
+    # Many languages have many landmarks; only some are dense at a time.
+    blocks = [slice(i, min(i + 256, n_marks)) for i in range(0, n_marks, 256)]
+    kernel = np.zeros((len(rows), n_marks))
+    for block in blocks:
+        of_marks = dense(marks[block])
+        for i in range(0, len(rows), 64):
+            kernel[i : i + 64, block] = dense(rows[i : i + 64]) @ of_marks.T
     values, vectors = np.linalg.eigh(kernel[: len(marks)])
     kept = values > 1e-6 * values[-1]
     root = vectors[:, kept] * values[kept] ** -0.5
@@ -86,7 +105,8 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: f
     targets = np.array([[float(lang == x) for x in languages] for lang, _ in rows])
     gram = features.T @ features + ridge * len(rows) / 100 * np.eye(features.shape[1])
     weights = np.zeros((BUCKETS, len(languages)))
-    weights[used] = of_marks.T @ (root @ np.linalg.solve(gram, features.T @ targets))
+    parts = root @ np.linalg.solve(gram, features.T @ targets)
+    weights[used] = sum(dense(marks[block]).T @ parts[block] for block in blocks)
     return Model(languages, weights)
 
 
@@ -128,7 +148,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, training: int = TRA
 
     rows = open_rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("lang", "text")
     found = rows.mapInArrow(buckets_of, "lang string, buckets binary").collect()
-    # Landmarks are the first rows, so they are put in an order that knows no partitions and mixes the languages.
+    # Landmarks are the first rows of each language, so they are put in an order that knows no partitions.
     mixed = sorted(((r.lang, bytes(r.buckets)) for r in found), key=lambda r: (xxhash.xxh64_intdigest(r[1]), r))
     return fit([(lang, np.frombuffer(b, "int32")) for lang, b in mixed], **options)
 

@@ -82,6 +82,19 @@ def test_kernel_weights_equal_the_kernel():
     assert [model.languages[i] for i in scores.argmax(axis=1)] == [lang for lang, _ in rows]
 
 
+def test_rare_and_many_languages():
+    """Languages of a script of their own, one with 10 rows among 2,000 and then 150 of them, are told from the first name."""
+    rng = np.random.default_rng(7)
+    text = lambda base: "".join(chr(base + c) if c < 20 else " " for c in rng.integers(0, 24, 120))
+    buckets = lambda texts: [b[x:y] for _, b, n in language.presence(texts) for x, y in zip(n[:-1], n[1:])]
+    common = [("aa" if i % 2 else "bb", t) for i, t in enumerate(buckets([text(0x61) if i % 2 else text(0x430) for i in range(2_000)]))]
+    rare = [("rare", b) for b in buckets([text(0x10A0 + 0x30) for _ in range(10)])]
+    assert language.score(language.fit(common + rare), [text(0x10A0 + 0x30) for _ in range(20)])[0] == ["rare"] * 20
+    bases = [0x4E00 + 32 * i for i in range(150)]
+    rows = [(f"l{i:03}", b) for i, x in enumerate(bases) for b in buckets([text(x) for _ in range(6)])]
+    assert language.score(language.fit(rows), [text(x) for x in bases])[0] == [f"l{i:03}" for i in range(150)]
+
+
 @pytest.mark.parametrize("lang", ["en", None])
 def test_language_odd_rows(documents, lang):
     df = documents((0, "hello there", lang), (2, None, lang), (3, "123 !", "en"), (3, "123 !", "en"), (None, "abc", lang), (5, "w" * 300_000, lang))
