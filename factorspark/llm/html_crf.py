@@ -37,6 +37,7 @@ BLOCK = frozenset(
 SECTION = frozenset("article aside footer form header main nav section table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg select object xmp noembed noframes".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 _CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)),
@@ -63,18 +64,20 @@ class _Open:
 
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks with text, in page order; character references decoded, white space joined. Unclosed and stray tags are mended
-    the usual way: a paragraph ends where a block begins, an end tag closes what is open inside its element."""
+    the usual way: a paragraph ends where a block begins, an end tag closes what is open inside its element, the head ends at what
+    cannot stand in it, and what is not shown is left out up to its end tag (without one, only a script runs to the end)."""
     stack: list[_Open] = []
     out: list[Block] = []
     parts: list[str] = []
     linked, at, end = 0, 0, len(page)
+    unended: set[str] = set()  # no end tag of these is ahead
     last = max(page.rfind(">"), page.rfind("<!--"))  # no markup begins after these
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not any(o.tag == "head" for o in stack):
+            if text:
                 words = frozenset().union(*(o.words for o in stack)) if stack else frozenset()
                 out.append(Block(text, linked, tuple(o.tag for o in stack), words, int(any(o.main for o in stack))))
             parts.clear()
@@ -91,6 +94,8 @@ def leaf_blocks(page: str) -> list[Block]:
     def text(raw: str):
         nonlocal linked
         if raw:
+            if raw.strip(" \t\n\f\r"):
+                close(("head",))
             decoded = html.unescape(raw)
             parts.append(decoded)
             if any(o.tag == "a" for o in stack):
@@ -111,10 +116,17 @@ def leaf_blocks(page: str) -> list[Block]:
                 flush()
             close((tag,), () if tag not in ("p", "li") else ("article", "main", "body"))
             continue
+        if tag not in IN_HEAD:
+            close(("head",))
         if tag in RAW:
-            if not m[3].endswith("/"):
+            if not m[3].endswith("/") and tag not in unended:
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                if stop:
+                    at = stop.end()
+                elif tag == "script":
+                    at = end
+                else:
+                    unended.add(tag)
             parts.append(" ")
             continue
         if tag in BLOCK:

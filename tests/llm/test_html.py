@@ -31,6 +31,29 @@ def test_page(model):
     ]
 
 
+BODY = "<article><h1>A title</h1><p>First paragraph, long enough to be read by anyone.</p><p>Second one.</p></article>"
+
+
+@pytest.mark.parametrize("head", [
+    "<html><head><title>t</title><body>", "<html><head><meta charset=utf-8><link rel=x><style>p{}</style><div>", "<head>\n<script>a</script><iframe></iframe>",
+])
+def test_head_without_end(head):
+    blocks = h.leaf_blocks(head + BODY)
+    assert [b.text for b in blocks] == ["A title", "First paragraph, long enough to be read by anyone.", "Second one."]
+    assert not any("head" in b.tags for b in blocks)
+
+
+def test_head_ends_at_text():
+    assert [b.text for b in h.leaf_blocks("<html><head><title>t</title> Bare text<p>More")] == ["Bare text", "More"]
+
+
+@pytest.mark.parametrize("tag", ["noscript", "iframe", "svg", "select", "object", "template", "title"])
+def test_hidden_element_without_end(tag):
+    page = f"<html><body><p>Before.<{tag} class=x>{BODY}<{tag}><p>After."
+    assert [b.text for b in h.leaf_blocks(page)] == ["Before.", "A title", "First paragraph, long enough to be read by anyone.", "Second one.", "After."]
+    assert [b.text for b in h.leaf_blocks(f"<p>a<{tag}>b</{tag}>c<p>d<{tag}><p>e<script>f")] == ["a c", "d", "e"]
+
+
 def test_held_out_pages(model):
     right = total = 0
     for page in labelled_pages(60, seed=99):
