@@ -7,12 +7,16 @@ page of its component; a block rule of any page of its component; allow.
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import table, written
+from factorspark.llm.common import small_batches, table, texts_of, written
 from factorspark.llm.graph import components
 
 
@@ -31,8 +35,13 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+# Tags and their attributes as in html_crf; quotes may hold `>`.
+_TAG = re.compile(r"""<(link|meta|base)\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:["'][^>]+)?)>""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_URL_IN_REFRESH = re.compile(r"""^[\s\d.]*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
+# RFC 3986, appendix B.
+_REFERENCE = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?", re.S)
+_BLANK = " \t\n\f\r"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,23 +76,73 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), _after_scheme(url, "[^/?#]*([^#]*)")))
 
 
-def target_of(url: Column, href: Column) -> Column:
-    """The absolute form of `href` on the page `url`: whole, `//host/path` or `/path`; others name no other page."""
-    scheme = F.regexp_extract(url, r"^[^:/?#]*", 0)
-    return (
-        F.when(href.contains("://"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), href))
-    )
+def without_dots(path: str) -> str:
+    """Dot segments removed (RFC 3986, 5.2.4)."""
+    out: list[str] = []
+    parts = path.split("/")
+    for i, part in enumerate(parts):
+        if part in (".", ".."):
+            if part == ".." and len(out) > 1:
+                out.pop()
+            if i == len(parts) - 1:
+                out.append("")
+        else:
+            out.append(part)
+    return "/".join(out)
+
+
+def resolved(base: str, reference: str) -> str | None:
+    """The absolute form of `reference` on `base` (RFC 3986, 5.2.2), without fragment; None if it names no host."""
+    scheme, host, path, query = _REFERENCE.match(reference).groups()
+    if scheme is None:
+        scheme, base_host, base_path, base_query = _REFERENCE.match(base).groups()
+        if host is None:
+            host = base_host
+            if not path:
+                path, query = base_path, base_query if query is None else query
+            elif not path.startswith("/"):
+                path = (base_path[: base_path.rfind("/") + 1] or "/") + path
+    if scheme is None or not host:
+        return None
+    return f"{scheme}://{host}{without_dots(path)}{query or ''}"
+
+
+def targets_of(url: str, html_text: str) -> list[str]:
+    """What the page's canonical links and refreshes name, all of them, against the page's `base` if it has one."""
+    base, found = None, []
+    for tag, inside in _TAG.findall(html_text):
+        given: dict[str, str] = {}
+        for name, *values in _ATTRIBUTE.findall(inside):
+            given.setdefault(name.lower(), html.unescape("".join(values)))
+        tag = tag.lower()
+        if tag == "base" and base is None and "href" in given:
+            base = resolved(url, given["href"].strip(_BLANK))
+        if tag == "link" and "canonical" in given.get("rel", "").lower().split():
+            found.append(given.get("href", "").strip(_BLANK))
+        if tag == "meta" and given.get("http-equiv", "").strip(_BLANK).lower() == "refresh":
+            m = _URL_IN_REFRESH.match(given.get("content", ""))
+            found.append(next((x for x in m.groups() if x), "").strip(_BLANK) if m else "")
+    return [t for reference in found if reference and (t := resolved(base or url, reference))]
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): resources that a page's canonical link or refresh says are the same."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    named = F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))
-    hrefs = pages.where(F.lower(html).rlike("canonical|http-equiv")).select("url", F.explode(named).alias("href"))
-    hrefs = written(hrefs.where("href <> ''"), "hrefs")
-    ends = hrefs.select(node_of(F.col("url")).alias("a"), node_of(target_of(F.col("url"), F.col("href"))).alias("b"))
+    """(a, b): resources that a page's canonical links and refreshes say are the same. A url with dot segments is the same as without."""
+    small_batches(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls, targets = [], []
+            for url, text in zip(batch.column("url").to_pylist(), texts_of(batch, "html")):
+                named = targets_of(url, text)
+                if without_dots(_REFERENCE.match(url)[3]) != _REFERENCE.match(url)[3] and (own := resolved("", url)):
+                    named.append(own)
+                urls += [url] * len(named)
+                targets += named
+            yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(targets, pa.string())], names=["url", "target"])
+
+    some = F.lower("html").rlike("canonical|http-equiv") | F.col("url").rlike(r"/\.\.?([/?#]|$)")
+    found = written(pages.where(some & F.col("url").isNotNull()).select("url", "html").mapInArrow(run, "url string, target string"), "hrefs")
+    ends = found.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
     return ends.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
@@ -120,7 +179,7 @@ def op2_url_filter(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql(rules: tuple[Rule, ...] = RULES) -> str:
-    """The same in DuckDB; components by a recursive set of reachable nodes, which suits small tables only."""
+    """The same in DuckDB, but for references that are relative to a path, hold character references or are not the first of their page; components by a recursive set of reachable nodes, which suits small tables only."""
     order = sorted(range(len(rules)), key=lambda i: (-len(rules[i].host + rules[i].path), i))
     fits = [
         f"WHEN (host = '{rules[i].host}' OR ends_with(host, '.{rules[i].host}')) AND starts_with(path, '{rules[i].path}')"

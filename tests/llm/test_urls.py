@@ -52,6 +52,35 @@ def test_verdicts(spark):
     assert len(got) == len(PAGES) and {r.page_id: tuple(r)[1:] for r in got} == WANT
 
 
+@pytest.mark.parametrize("reference,want", [
+    ("g", "http://a/b/c/g"), ("./g", "http://a/b/c/g"), ("g/", "http://a/b/c/g/"), ("/g", "http://a/g"), ("//g", "http://g"),
+    ("?y", "http://a/b/c/d;p?y"), ("g?y", "http://a/b/c/g?y"), ("#s", "http://a/b/c/d;p?q"), ("..", "http://a/b/"), ("../g", "http://a/b/g"),
+    ("../..", "http://a/"), ("../../../g", "http://a/g"), ("g..", "http://a/b/c/g.."), ("./../g", "http://a/b/g"), ("g/./h", "http://a/b/c/g/h"),
+    ("", "http://a/b/c/d;p?q"), ("ftp://x/./y", "ftp://x/y"), ("/l?next=http://x/", "http://a/l?next=http://x/"), ("mailto:a?b://c", None),
+])
+def test_references_of_rfc_3986(reference, want):
+    assert urls.resolved("http://a/b/c/d;p?q", reference) == want
+
+
+@pytest.mark.parametrize("url,html,target", [
+    ("http://p.net/x/y", '<link rel="canonical" href="z">', "http://p.net/x/z"),
+    ("http://p.net/x/y", '<link rel="canonical" href="../z">', "http://p.net/z"),
+    ("http://p.net/x/y", "<link rel=canonical href=?a=1&amp;b=2>", "http://p.net/x/y?a=1&b=2"),
+    ("http://p.net/x/y", '<link rel="nofollow canonical" href="/z">', "http://p.net/z"),
+    ("http://p.net/x/y", '<link rel=canonical href="/1"><link rel=canonical href="/z">', "http://p.net/z"),
+    ("http://p.net/x/y", '<meta http-equiv=refresh content="0;url=1"><meta content="5; URL=\'z\'" http-equiv="Refresh">', "http://p.net/x/z"),
+    ("http://p.net/x/y", '<base href="/w/"><link rel=canonical href="z">', "http://p.net/w/z"),
+    ("http://p.net/x/y", '<link rel=canonical href="http://q.net/a/../z">', "http://q.net/a/../z"),
+])
+def test_aliases_take_the_block(spark, url, html, target):
+    host = target.split("/")[2]
+    rules = (urls.Rule("block", host, "/" + target.split("/", 3)[3].split("?")[0]),)
+    pages = [(1, url, html), (2, target, None)]
+    if "?" in target:  # the path is that of the alias itself
+        rules, pages = (urls.Rule("block", "q.net", "/"),), [*pages, (3, "http://q.net/", f'<link rel=canonical href="{target}">')]
+    assert {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(pages, SCHEMA), rules).collect()}[1] == "block"
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert urls.judge_urls(df).count() == 0
