@@ -256,6 +256,16 @@ def test_residual_norm_is_the_spectral_norm(spark, y, w, form):
     assert np.isclose(quality.relative_spectral_error(norm, 2.0), (norm - 2.0) / 2.0)
 
 
+def test_residual_norm_runs_until_it_repeats(spark, y, w):
+    m = matrix_of(spark, y)
+    layout = prepare(m, D)
+    basis = em.ppca_em_wide(m, FitParams(K, max_rounds=1), init=factor_of(spark, w), layout=layout).components()
+    norm, course = quality.residual_spectral_norm(layout, basis, K, subsample=3)
+    assert len(course) > 3 and abs(course[-1] - course[-2]) <= 1e-10 * norm and norm == course[-1]
+    with pytest.warns(UserWarning, match="not settled after 2 rounds"):
+        assert quality.residual_spectral_norm(layout, basis, K, subsample=3, rounds=2)[1] == course[:2]
+
+
 def test_scored_fit_stops_on_the_error(spark, y):
     values = np.linalg.svd(y - y.mean(axis=0), compute_uv=False)
     fit = quality.ppca_em_scored(

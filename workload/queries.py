@@ -22,7 +22,6 @@ K = 2
 SEED = 42
 SAMPLE_RATE = 0.1
 START_SS = 1.0
-NORM_ROUNDS = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -457,8 +456,8 @@ def ppca_em_scored(spark, sf_dir):
     m = orders_suppliers(spark, sf_dir)
     layout = prepare(m, 16)
     best = em.ppca_em_wide(m, FitParams(K, max_rounds=4), layout=layout)
-    sigma, _ = quality.residual_spectral_norm(layout, best.components(), K, rounds=NORM_ROUNDS)
-    fit = quality.ppca_em_scored(m, FitParams(K, max_rounds=2), sigma, norm_rounds=NORM_ROUNDS, layout=layout)
+    sigma, _ = quality.residual_spectral_norm(layout, best.components(), K)
+    fit = quality.ppca_em_scored(m, FitParams(K, max_rounds=2), sigma, layout=layout)
     rows = [(r["round"], r["ss"], r["error"]) for r in fit.metrics]
     return spark.createDataFrame(rows, "round int, ss double, error double")
 
@@ -487,7 +486,7 @@ def residual_spectral_norm(spark, sf_dir):
     m = orders_suppliers(spark, sf_dir)
     layout = prepare(m, 16)
     fit = em.ppca_em_wide(m, FitParams(K, max_rounds=3), layout=layout)
-    norm, course = quality.residual_spectral_norm(layout, fit.components(), K, rounds=NORM_ROUNDS)
+    norm, course = quality.residual_spectral_norm(layout, fit.components(), K)
     return spark.createDataFrame([(norm, len(course))], "norm double, rounds int")
 
 
@@ -498,7 +497,7 @@ def relative_spectral_error(spark, sf_dir):
     norms = []
     for r in (1, 4):
         fit = em.ppca_em_wide(m, FitParams(K, max_rounds=r), layout=layout)
-        norms.append(quality.residual_spectral_norm(layout, fit.components(), K, rounds=NORM_ROUNDS)[0])
+        norms.append(quality.residual_spectral_norm(layout, fit.components(), K)[0])
     return spark.createDataFrame([(quality.relative_spectral_error(*norms),)], "error double")
 
 
