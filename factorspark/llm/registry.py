@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from factorspark.llm import ann, bpe, decontaminate, html_crf, language, pii, quality, simhash, suffix_dedup, urls
+from factorspark.llm import ann, bpe, decontaminate, html_crf, language, pii, quality, simhash, suffix_dedup, token_counts, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_language": language.op10_language,
+    "op12_token_counts": token_counts.op12_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 
