@@ -31,6 +31,14 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that no column of `df` has, nor has with a line added."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or f"{name}_".lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows in an Arrow batch; batches are cut by bytes as well (`spark.sql.execution.arrow.maxBytesPerBatch`)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

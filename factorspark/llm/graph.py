@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import written
+from factorspark.llm.common import discard, written
 
 
 def _starred(pairs: DataFrame) -> DataFrame:
@@ -42,8 +42,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     )
     before = None
     for _ in range(most_rounds):
-        now = written(small_star(large_star(now)), "stars")
+        earlier, now = now, written(small_star(large_star(now)), "stars")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(earlier)
         if tuple(state) == before:
             own = now.select(F.col("v").alias("u"), "v").distinct()
             return now.union(own).select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -1,141 +1,347 @@
 """Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (stage of the pipeline).
 
-Sets that similar share one of the first `n - ceil(0.8 n) + 1` shingles of each, whatever order all sets are read in. So each
-set is indexed by these only, and every pair that meets is verified by its whole sets: no pair is missed. Shingles that are
-common in a sample come last in the order, which only makes the lists of the index short.
+SimHash deletion variants (operator 1, over the majority bits of the same sets) bring most copies together first. What they miss
+is found by an index: sets that similar share one of the first `n - ceil(0.8 n) + 1` shingles of each, whatever order all sets
+are read in, so each set is indexed by these only. Shingles that are common in a sample come last in the order, which only
+makes the lists of the index short. Every pair that meets, by either way, is verified by its whole sets: none is missed or added.
 
-Equal sets are one node from the start. In a few rounds each list links its members to one of them; lists whose members are
-all of one component are done. What then lies in different components is paired in full. Shingles are compared by 64-bit hashes.
+Equal sets are one node from the start. In a few rounds each list links its members to one of them; nodes linked are one part
+from then on, and lists within one part are done. Of lists that still hold several parts, the nodes outside the
+largest part are paired with the rest. A list with more than `HOT` of them is refined first: sets that similar share two of their
+first `n - ceil(0.8 n) + 2` shingles, so it is cut by a second shingle, then by a third. Sets are hashed anew from the texts whenever they are needed, and kept only for nodes that share a list.
+Shingles are compared by 64-bit hashes, whole sets by 128 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import itertools
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import small_batches, texts_of, written
+from factorspark.llm import simhash
+from factorspark.llm.common import discard, small_batches, texts_of, written
 from factorspark.llm.graph import components
-from factorspark.llm.simhash import SEED, first_of_parts
 
 SHINGLE = 5
 #: The least similarity, as a fraction, so that comparisons are of whole numbers.
 SIMILAR = (4, 5)
 #: Nodes that the order of shingles is learned from, buckets of its counts, and the least count that moves a bucket.
 SAMPLE, BUCKETS, COMMON = 20_000, 1 << 20, 24
-#: Rounds of stars before what is left is paired.
-STARS = 3
+#: Rounds of stars before what is left is paired, nodes outside the largest part of a list that is paired, and shingles that
+#: lists are cut by.
+STARS, HOT, DEEPEST = 3, 256, 3
+#: Nodes that are broadcast, once counted; beyond, the join is a shuffle.
+BROADCAST = 1 << 19
+#: Bytes hashed at a time, and different nodes that a task remembers.
+CHUNK, SEEN = 1 << 20, 1 << 18
 
+_WHITE = re.compile(rb"[\x20\x09-\x0d]")
 
-def shingles(text: str, words_in_shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted different hashes of the runs of lower-cased words; of a shorter text, of all its words."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, "i8")
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(words_in_shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())], "u8").view("i8"))
 
+class Hasher:
+    """Hashes of the runs of words of texts: a polynomial over the bytes, modulo 2^64, of the lower-cased words and a space after
+    each. Its value does not depend on where a run stands, so a text is hashed in chunks of whole words."""
 
-def shingle_sets(docs: DataFrame, words_in_shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, mark, node, n, grams): MD5 of the text, hash and size of its set, and the set. Null text is empty."""
+    def __init__(self, words: int = SHINGLE, seed: int = 0):
+        rng = np.random.default_rng([seed, 42])
+        self.words = words
+        self.of_byte = rng.integers(0, 1 << 64, 256, dtype="u8")
+        self.base = int(rng.integers(0, 1 << 64, dtype="u8")) | 5
+        self._power(1)
+
+    def _power(self, n: int) -> None:
+        n = 1 << max(16, n.bit_length())
+        up, down = np.full(n, self.base, "u8"), np.full(n, pow(self.base, -1, 1 << 64), "u8")
+        up[0] = down[0] = 1
+        self.up, self.down = np.cumprod(up), np.cumprod(down)
+
+    @staticmethod
+    def _compact(data: bytes) -> np.ndarray:
+        """The words, each with one space after it."""
+        raw = np.frombuffer(data, "u1")
+        white = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        keep = ~white
+        keep[1:] |= ~white[:-1]
+        raw = np.where(white, np.uint8(32), raw)[keep]
+        return raw if not len(raw) or raw[-1] == 32 else np.append(raw, np.uint8(32))
+
+    def _runs(self, block: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+        """Hashes of all runs of k words, and where the last k - 1 words begin (0 if there are no more)."""
+        ends = np.flatnonzero(block == 32) + 1
+        starts = np.concatenate(([0], ends[:-1]))
+        if len(ends) < k or not k:
+            return np.zeros(0, "u8"), 0
+        if len(block) >= len(self.up):
+            self._power(len(block))
+        sums = np.concatenate((np.zeros(1, "u8"), np.cumsum(self.of_byte[block] * self.up[: len(block)])))
+        first, last = starts[: len(ends) - k + 1], ends[k - 1 :]
+        x = (sums[last] - sums[first]) * self.down[first]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ (x >> np.uint64(32)), int(starts[len(ends) - k + 1]) if k > 1 else len(block)
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Sorted different hashes of the runs of `words` words; of a shorter text, of all its words."""
+        data = text.encode().lower()
+        found, held, at = [], np.zeros(0, "u1"), 0
+        while at < len(data):
+            cut = _WHITE.search(data, at + CHUNK) if at + CHUNK < len(data) else None
+            end = cut.end() if cut else len(data)
+            held = np.concatenate((held, self._compact(data[at:end])))
+            hashes, rest = self._runs(held, self.words)
+            found.append(hashes)
+            held, at = held[rest:], end
+        all_ = np.concatenate([np.zeros(0, "u8"), *found])
+        if not len(all_):
+            all_ = self._runs(held, int(np.count_nonzero(held == 32)))[0]
+        return np.unique(all_.view("i8"))
+
+
+def node_of(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def majority(grams: np.ndarray) -> int:
+    """SimHash fingerprint of a set."""
+    counts = np.zeros(64, "int64")
+    for at in range(0, len(grams), 65_536):
+        bits = np.unpackbits(grams[at : at + 65_536].view("u1").reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype="int64")
+    return int.from_bytes(np.packbits(counts * 2 > len(grams), bitorder="little").tobytes(), "little", signed=True)
+
+
+def _over_nodes(docs: DataFrame, hasher: Hasher, each: Callable, schema: str, names: list[str]) -> DataFrame:
+    """Rows that `each(node, grams)` gives as arrays, for the nodes of a task; one that it remembers is not taken again."""
     small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingles(t, words_in_shingle) for t in texts_of(batch)]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], "u8").view("i8")
+            found = []
+            for text in texts_of(batch):
+                grams = hasher(text)
+                node = node_of(grams)[0]
+                if node not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
+                    found.append(each(node, grams))
+            columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else list(c) for c in zip(*(f for f in found if f))]
+            if columns:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return docs.select("text").mapInArrow(of, schema)
+
+
+def named(docs: DataFrame, hasher: Hasher) -> DataFrame:
+    """(doc_id, mark, node, other, fp): MD5 of the text, 128 bits and SimHash of its set. Null text is empty."""
+    small_batches(docs.sparkSession)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [hasher(t) for t in texts_of(batch)]
+            nodes = np.array([node_of(s) for s in sets], "i8").reshape(-1, 2)
+            prints = pa.array([majority(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array(sets, pa.list_(pa.int64()))],
-                names=["doc_id", "mark", "node", "n", "grams"],
-            )
+                [batch.column("doc_id"), batch.column("mark"), pa.array(nodes[:, 0]), pa.array(nodes[:, 1]), prints],
+                names=["doc_id", "mark", "node", "other", "fp"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("mark"), "text")
-    return rows.mapInArrow(of, "doc_id bigint, mark string, node bigint, n int, grams array<bigint>")
+    return rows.mapInArrow(of, "doc_id bigint, mark string, node bigint, other bigint, fp bigint")
 
 
-def common_buckets(sets: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+def common_buckets(docs: DataFrame, hasher: Hasher, rows: int, sample: int = SAMPLE) -> np.ndarray:
     """How often the shingles of each bucket occur in a sample of the nodes; small counts are 0."""
-    share = max(1, -(-sets.count() // sample))
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select(F.explode("grams").alias("gram"))
-    counts = some.groupBy(F.col("gram").bitwiseAND(BUCKETS - 1).alias("bucket")).count().where(F.col("count") >= COMMON)
-    out = np.zeros(BUCKETS, "int64")
-    for row in counts.toLocalIterator():
-        out[row["bucket"]] = row["count"]
+    share = max(1, -(-rows // sample))
+
+    def each(node: int, grams: np.ndarray):
+        return (grams & (BUCKETS - 1),) if node % share == 0 else None
+
+    counts = _over_nodes(docs, hasher, each, "bucket bigint", ["bucket"]).groupBy("bucket").count()
+    out = np.zeros(BUCKETS, "int32")
+    for row in counts.where(F.col("count") >= COMMON).toLocalIterator():
+        out[row["bucket"]] = min(row["count"], np.iinfo("int32").max)
     return out
 
 
-def prefixes(sets: DataFrame, common: np.ndarray, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(gram, node, n): the shingles of each set of which a similar set has at least one among its own."""
+def in_order(grams: np.ndarray, common: np.ndarray, similar: tuple[int, int], depth: int = 1) -> np.ndarray:
+    """The first shingles of a set, of which a similar set has at least `depth` among its own first ones."""
     top, bottom = similar
+    length = len(grams) - -(-top * len(grams) // bottom) + depth if len(grams) else 0
+    return grams[np.lexsort((grams, common[grams & (BUCKETS - 1)]))[:length]]
+
+
+def postings(docs: DataFrame, hasher: Hasher, common: np.ndarray, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(gram, node, n): the shingles of each set of which a similar set has at least one among its own."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def each(node: int, grams: np.ndarray):
+        first = in_order(grams, shared.value, similar)
+        return first, np.full(len(first), node, "i8"), np.full(len(first), len(grams), "i4")
+
+    return _over_nodes(docs, hasher, each, "gram bigint, node bigint, n int", ["gram", "node", "n"])
+
+
+def sets_of(docs: DataFrame, hasher: Hasher, nodes: DataFrame) -> DataFrame:
+    """(node, grams) of the given nodes, written."""
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
+    small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts, sizes = [np.zeros(0, "i8")], []
-            for grams in batch.column("grams"):
-                grams = grams.values.to_numpy(zero_copy_only=False)
-                length = len(grams) - -(-top * len(grams) // bottom) + 1 if len(grams) else 0
-                firsts.append(grams[np.lexsort((grams, common[grams & (BUCKETS - 1)]))[:length]])
-                sizes.append(length)
-            rest = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("node", "n")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *rest], names=["gram", "node", "n"])
+            sets = [hasher(t) for t in texts_of(batch)]
+            keys = pa.array([node_of(s)[0] for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    return sets.select("node", "n", "grams").mapInArrow(of, "gram bigint, node bigint, n int")
+    made = docs.select("text").mapInArrow(of, "node bigint, grams array<bigint>")
+    return written(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar, written."""
+    """Those of the pairs (a, b) of nodes whose sets are similar, written."""
     top, bottom = similar
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    met = written(sets.select("node", "grams").join(ends, "node", "left_semi").dropDuplicates(["node"]), "met")
-    left, right = (met.select(F.col("node").alias(c), F.col("grams").alias(f"of_{c}")) for c in "ab")
+    left, right = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     enough = both * (top + bottom) >= (F.size("of_a") + F.size("of_b")) * top
-    return written(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "links")
+    return written(pairs.join(right, "b").join(left, "a").where(enough).select("a", "b"), "links")
+
+
+class Parts:
+    """Which part each node belongs to, as links come in."""
+
+    def __init__(self, nodes: DataFrame, sets: DataFrame, similar: tuple[int, int]):
+        self.sets, self.similar = sets, similar
+        self.of = written(nodes.select("node", F.col("node").alias("part")), "parts")
+
+    def link(self, pairs: DataFrame) -> None:
+        """Join the parts of those pairs (a, b) that are similar; pairs of one part are not looked at again."""
+        a, b = (self.of.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
+        open_ = written(pairs.distinct().join(a, "a").join(b, "b").where("part_a <> part_b").select("a", "b"), "pairs")
+        if open_.isEmpty():
+            discard(open_)
+            return
+        links = verified(open_, self.sets, self.similar)
+        joined = components(links.join(a, "a").join(b, "b"), "part_a", "part_b").select(F.col("node").alias("part"), "component")
+        before = self.of
+        self.of = written(before.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("part")), "parts")
+        for old in (before, open_, links):
+            discard(old)
+
+
+def _of_several(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of lists (key, node, n) with their part, of lists that hold more than one, written. `major` is the part with most
+    nodes of the list, `minor` counts the others."""
+    now = rows.select("key", "node", "n").join(parts, "node")
+    shares = now.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
+    most = F.max(F.struct("m", "part"))
+    lists = shares.groupBy("key").agg(most["part"].alias("major"), (F.sum("m") - most["m"]).alias("minor")).where("minor > 0")
+    return written(now.join(lists, "key"), "index")
 
 
-def similar_links(sets: DataFrame, similar: tuple[int, int] = SIMILAR, stars: int = STARS) -> DataFrame:
-    """(a, b): links between similar nodes, enough of them to reach whatever all links reach."""
+def _fits(similar: tuple[int, int]):
     top, bottom = similar
-    index = prefixes(sets, common_buckets(sets), similar)
+    return F.greatest("n", "k") * top <= F.least("n", "k") * bottom
+
+
+def _star(rows: DataFrame, number: int, similar: tuple[int, int]) -> DataFrame:
+    """(a, b): each node of a list with one of another part than its own: the first in an order that differs by round."""
+    middle = F.min(F.struct(F.xxhash64("node", F.lit(number)), "node", "n", "part")).alias("m")
+    hubs = rows.groupBy("key").agg(middle).select("key", F.col("m.node").alias("b"), F.col("m.n").alias("k"), F.col("m.part").alias("of"))
+    met = rows.join(hubs, "key").where((F.col("part") != F.col("of")) & _fits(similar))
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+
+
+def _all_pairs(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(a, b): the nodes of a list outside its major part with those of all other parts."""
+    other = rows.where("part <> major").select("key", F.col("node").alias("b"), F.col("n").alias("k"), F.col("part").alias("of"))
+    met = rows.join(other, "key").where((F.col("part") != F.col("of")) & _fits(similar))
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+
+
+def _cut_deeper(rows: DataFrame, sets: DataFrame, common: np.ndarray, similar: tuple[int, int], depth: int) -> DataFrame:
+    """Lists (key, used, node, n) cut by one more shingle: similar sets share `depth` of their first ones, those used included."""
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for used, grams, node, n in zip(*(batch.column(c).to_pylist() for c in ("used", "grams", "node", "n"))):
+                more = np.setdiff1d(in_order(np.array(grams, "i8"), shared.value, similar, depth), np.array(used, "i8"))
+                # A shingle is added to a list once, in whatever order the others came.
+                lists = [sorted([*used, int(g)]) for g in more]
+                m = len(lists)
+                columns = [pa.array(lists, pa.list_(pa.int64())), pa.array([node] * m, pa.int64()), pa.array([n] * m, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["used", "node", "n"])
+
+    deeper = rows.select("used", "node", "n").join(sets, "node").mapInArrow(of, "used array<bigint>, node bigint, n int")
+    return deeper.distinct().withColumn("key", F.xxhash64("used"))
+
+
+def similar_parts(docs: DataFrame, hasher: Hasher, names: DataFrame, similar: tuple[int, int] = SIMILAR, stars: int = STARS, hot: int = HOT) -> DataFrame:
+    """(node, part): the smallest node reachable by similar sets, for every node that meets another."""
+    common = common_buckets(docs, hasher, names.count())
     # Copies are one node; only shingles of several nodes bring anything together.
-    shared = index.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram")
-    rows = written(index.join(shared, "gram").distinct().withColumn("part", F.col("node")), "index")
-    fits = lambda x, y: (F.greatest(x, y) * top <= F.least(x, y) * bottom)
-    found = None
-    for number in range(stars + 1):
-        if rows.isEmpty():
+    index = postings(docs, hasher, common, similar)
+    several = index.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram")
+    rows = index.join(several, "gram").distinct().select(F.col("gram").alias("key"), "node", "n")
+    rows = written(rows.withColumn("used", F.array("key")), "postings")
+
+    # Operator 1: fingerprints within reach of each other, by one node of each; nodes of one fingerprint by its first.
+    nodes = written(names.select("node", "fp").distinct(), "nodes")
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    near = simhash.links(nodes.select("fp")).join(a, "a").join(b, "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    met = written(same.union(near).distinct(), "met")
+
+    ends = rows.select("node").union(met.select("a")).union(met.select("b")).distinct()
+    ends = written(ends, "ends")
+    sets = sets_of(docs, hasher, ends)
+    parts = Parts(ends, sets, similar)
+    parts.link(met)
+    for old in (nodes, met, ends):
+        discard(old)
+
+    lists = rows
+    for depth in itertools.count(1):
+        for number in range(stars):
+            now = _of_several(lists, parts.of)
+            if now.isEmpty():
+                discard(now)
+                break
+            parts.link(_star(now, number, similar))
+            discard(now)
+        now = _of_several(lists, parts.of)
+        parts.link(_all_pairs(now.where(F.col("minor") <= hot) if depth < DEEPEST else now, similar))
+        left = now.where(F.col("minor") > hot).select("key").distinct()
+        if depth == DEEPEST or left.isEmpty():
+            discard(now)
+            break
+        lists = written(_cut_deeper(lists.join(left, "key"), sets, common, similar, depth + 1), "lists")
+    return parts.of
+
+
+def without_similar(docs: DataFrame, similar: tuple[int, int] = SIMILAR, words_in_shingle: int = SHINGLE, stars: int = STARS, hot: int = HOT) -> DataFrame:
+    """`docs` with one document of each component of similar ones: that with the smallest id, ids before null, of equal ids the
+    smallest MD5 of the text.
+
+    Null and empty texts, and those of white space only, have the empty set, which is similar to itself alone. A text of fewer
+    words than a shingle is one shingle. Of repeated rows one stays. Long texts are hashed in chunks; their sets are held whole.
+    An empty table stays empty. Other columns are passed on, whatever their names.
+    """
+    for seed in itertools.count():
+        hasher = Hasher(words_in_shingle, seed)
+        names = written(named(docs, hasher), "names")
+        # Nodes go by 64 of their 128 bits; should those of two sets agree, all is hashed anew.
+        if names.groupBy("node").agg((F.min("other") < F.max("other")).alias("two")).where("two").isEmpty():
             break
-        if number < stars:
-            middle = F.min(F.struct(F.xxhash64("node", F.lit(number)), "node", "n", "part")).alias("m")
-            other = rows.groupBy("gram").agg(middle).select("gram", F.col("m.node").alias("b"), F.col("m.n").alias("k"), F.col("m.part").alias("of"))
-        else:
-            other = rows.select("gram", F.col("node").alias("b"), F.col("n").alias("k"), F.col("part").alias("of"))
-        apart = (F.col("part") != F.col("of")) & fits(F.col("n"), F.col("k"))
-        if number == stars:
-            apart &= F.col("node") < F.col("b")
-        pairs = rows.join(other, "gram").where(apart).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        links = verified(written(pairs.distinct(), "pairs"), sets, similar)
-        found = links if found is None else found.union(links)
-        if number < stars:
-            parts = components(found).withColumnRenamed("component", "joined")
-            rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("joined", "part")).drop("joined")
-            several = rows.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("gram")
-            rows = written(rows.join(several, "gram"), "index")
-    return found if found is not None else rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
-
-
-def without_similar(docs: DataFrame, similar: tuple[int, int] = SIMILAR, words_in_shingle: int = SHINGLE) -> DataFrame:
-    """`docs` with one document of each component of similar ones, chosen as by `simhash.without_near_duplicates`."""
-    sets = written(shingle_sets(docs, words_in_shingle), "sets")
-    parts = components(similar_links(sets, similar)).withColumnRenamed("component", "part")
-    found = sets.select("doc_id", "mark", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    return first_of_parts(docs, found)
+    parts = similar_parts(docs, hasher, names, similar, stars, hot)
+    found = names.select("doc_id", "mark", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    return simhash.first_of_parts(docs, found)

@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import small_batches, table, texts_of, written
+from factorspark.llm.common import fresh, small_batches, table, texts_of, written
 from factorspark.llm.graph import components
 
 SHINGLE, BITS, SEED = 3, 3, 42
 SMALL, HOT = 32, 4_096
+#: Keys of documents that are broadcast, once counted.
+BROADCAST = 1 << 18
 
 
 def fingerprint(text: str, words_in_shingle: int = SHINGLE) -> int:
@@ -204,14 +206,32 @@ def without_near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT, w
     return first_of_parts(docs, _members(docs, bits, hot, words_in_shingle))
 
 
-def first_of_parts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """`docs` with one row of each part of `found` (doc_id, mark, part), as `without_near_duplicates` says."""
+def first_of_parts(docs: DataFrame, found: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """`docs` with one row of each part of `found` (doc_id, mark, part), as `without_near_duplicates` says.
+
+    What goes, and what is repeated, is counted first: up to `most` keys are broadcast, more are joined by a shuffle.
+    """
     # Structs order null first; the flag puts rows without id last.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "mark")).alias("first")
-    kept = found.groupBy("part").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
-    rows = docs.withColumn("_md5", F.md5("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_md5").eqNullSafe(F.col("_mark"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_md5"]).drop("_md5")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "mark")
+    rows = found.groupBy("part", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).withColumn("own", order)
+    first = rows.groupBy("part").agg(F.min("own").alias("first"))
+    keys = rows.join(first, "part").select(
+        F.col("doc_id").alias("key_id"), F.col("mark").alias("key_mark"), (F.col("own") == F.col("first")).alias("kept"), "n"
+    )
+    keys = written(keys.where("NOT kept OR n > 1"), "keys")
+    id_, mark = fresh(docs, "key_id"), fresh(docs, "key_mark")
+    with_mark = docs.withColumn(mark, F.md5("text"))
+
+    def chosen(rows: DataFrame, condition: str, how: str) -> DataFrame:
+        some = keys.where(condition).select(F.col("key_id").alias(id_), F.col("key_mark").alias(f"{mark}_"))
+        some = F.broadcast(some) if some.count() <= most else some
+        return rows.join(some, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col(mark).eqNullSafe(F.col(f"{mark}_")), how)
+
+    rows = chosen(with_mark, "NOT kept", "left_anti")
+    if keys.where("kept").isEmpty():
+        return rows.drop(mark)
+    single = chosen(rows, "kept", "left_anti").unionByName(chosen(rows, "kept", "left_semi").dropDuplicates(["doc_id", mark]))
+    return single.drop(mark)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -58,8 +58,34 @@ def test_copies_of_any_similarity(documents):
     assert sorted(r.doc_id for r in kept.collect()) == brute(rows)
 
 
-def test_pairing_without_stars(documents):
-    rows = planted()
-    sets = jaccard.written(jaccard.shingle_sets(documents(*rows)), "sets")
-    some, none = (jaccard.components(jaccard.similar_links(sets, stars=n)) for n in (3, 0))
-    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, none.collect()))
+def test_pairing_without_stars_and_with_cut_lists(documents):
+    rng, line = random.Random(5), [f"line{i}" for i in range(10)]
+    rows = [(i, " ".join(line + [f"w{rng.randrange(2)}" for _ in range(5)])) for i in range(40)]
+    want = brute(rows)
+    assert 2 < len(want) < 40
+    for stars, hot in ((0, 256), (0, 2)):
+        kept = jaccard.without_similar(documents(*rows), stars=stars, hot=hot)
+        assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_hasher_is_that_of_words_wherever_it_is_cut(monkeypatch):
+    text = "  a\tB c\x1cd  eé\n\n" + " ".join(f"word{i % 700}" for i in range(3_000)) + " a b c\x1cd eé word0 word1  "
+    whole, words = jaccard.Hasher()(text), text.lower().replace("\x1c", "~").split()
+    runs = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    assert len(whole) == len(runs)
+    for size in (1, 7, 1_000):
+        monkeypatch.setattr(jaccard, "CHUNK", size)
+        assert (jaccard.Hasher()(text) == whole).all()
+        assert len(jaccard.Hasher()("One  two")) == 1 and (jaccard.Hasher()("one two ") == jaccard.Hasher()("One  two")).all()
+        assert len(jaccard.Hasher()(" \n ")) == len(jaccard.Hasher()("")) == 0
+
+
+def test_clashing_names_repeated_rows_and_a_long_text(documents):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    df = documents((1, long), (2, long + " more"), (2, "x"), (2, "x"), (None, "y z"), (None, "y z"), (7, None))
+    names = ["mark", "key_id", "key_mark", "_key_id", "part", "node", "kept", "n"]
+    df = df.selectExpr("*", *(f"doc_id AS {n}" for n in names))
+    for most in (0, 100):
+        found = jaccard.without_similar(df)
+        assert found.columns == df.columns
+        assert sorted(map(str, (r.doc_id for r in found.collect()))) == ["1", "2", "7", "None"]

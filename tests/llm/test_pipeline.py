@@ -2,11 +2,11 @@ from __future__ import annotations
 
 import corpus_pipeline as c
 from made_documents import documents  # noqa: F401
-from factorspark.llm import quality, simhash
+from factorspark.llm import quality
 from test_bpe import want as tokens_of
 from test_decontaminate import brute as contaminated
 from test_pii import KINDS, valid
-from test_simhash import brute_components, brute_fingerprint
+from test_jaccard import brute as first_of_similar, shingle_set, similarity
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -22,11 +22,11 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in good.collect()} == {i for i, p in scores.items() if p} and good.columns == docs.columns
 
     texts = {r.doc_id: r.text for r in good.collect()}
-    part = brute_components({i: brute_fingerprint(t) for i, t in texts.items()})
+    ids = first_of_similar(list(texts.items()))
     single = stage["near_duplicates"](spark, good, SF_DIR).cache()
-    assert sorted(r.doc_id for r in single.collect()) == sorted(set(part.values())) and single.columns == docs.columns
+    assert sorted(r.doc_id for r in single.collect()) == ids and single.columns == docs.columns
 
-    rows = [(i, texts[i]) for i in set(part.values())]
+    rows = [(i, texts[i]) for i in ids]
     clean = {i for i, t in rows if contaminated([(i, t)], items)[0].endswith("False)")}
     fresh = stage["decontamination"](spark, single, SF_DIR).cache()
     assert {r.doc_id for r in fresh.collect()} == clean and fresh.columns == docs.columns
@@ -48,7 +48,7 @@ def test_repeated_and_odd_rows(spark, documents):
     long = "some words that make up a text of their own which is long enough to be told from all others here"
     df = documents((1, long), (1, long), (1, "another text altogether, with the same id"), (None, long + " again"), (None, None), (7, ""))
     kept = sorted((str(r.doc_id), str(r.text)[:7]) for r in c.drop_near_duplicates(spark, df, SF_DIR).collect())
-    near = bin(simhash.fingerprint(long) ^ simhash.fingerprint(long + " again")).count("1") <= 3
+    near = similarity(shingle_set(long), shingle_set(long + " again")) >= 0.8
     assert kept == sorted([("1", "some wo"), ("1", "another"), ("7", "")] + ([] if near else [("None", "some wo")]))
     for _, stage in c.STAGES:
         assert stage(spark, df.where("false"), SF_DIR).count() == 0
