@@ -5,10 +5,11 @@ is found by an index: sets that similar share one of the first `n - ceil(0.8 n)
 are read in, so each set is indexed by these only. Shingles that are common in a sample come last in the order, which only
 makes the lists of the index short. Every pair that meets, by either way, is verified by its whole sets: none is missed or added.
 
-Equal sets are one node from the start. In a few rounds each list links its members to one of them; nodes linked are one part
-from then on, and lists within one part are done. Of lists that still hold several parts, the nodes outside the
-largest part are paired with the rest. A list with more than `HOT` of them is refined first: sets that similar share two of their
-first `n - ceil(0.8 n) + 2` shingles, so it is cut by a second shingle, then by a third. Sets are hashed anew from the texts whenever they are needed, and kept only for nodes that share a list.
+Equal sets are one node from the start. Pairs are first ruled out by the parities of their sets, a bit for each shingle; whole sets are
+fetched only for what passes. Short lists are paired; in a few rounds each longer list links its members to one of them; nodes
+linked are one part from then on, and lists within one part are done. Of lists that still hold several
+parts, the nodes outside the largest part are paired with the rest. A list with more than `HOT` of them is refined first: sets that similar share two of their
+first `n - ceil(0.8 n) + 2` shingles, so it is cut by a second shingle, then by a third. Sets are hashed anew from the texts whenever they are needed.
 Shingles are compared by 64-bit hashes, whole sets by 128 bits.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorspark.llm import simhash
@@ -36,6 +37,8 @@ SAMPLE, BUCKETS, COMMON = 20_000, 1 << 20, 24
 #: Rounds of stars before what is left is paired, nodes outside the largest part of a list that is paired, and shingles that
 #: lists are cut by.
 STARS, HOT, DEEPEST = 3, 256, 3
+#: Entries of a list whose nodes are all paired at once.
+SMALL = 64
 #: Nodes that are broadcast, once counted; beyond, the join is a shuffle.
 BROADCAST = 1 << 19
 #: Bytes hashed at a time, and different nodes that a task remembers.
@@ -108,6 +111,14 @@ def node_of(grams: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """A bit for each shingle and more, at least 64, in words: which places an odd number of shingles fall on. Two sets differ by at
+    least as many shingles as their parities by bits."""
+    width = 64 << max(0, (len(grams) - 1).bit_length() - 6)
+    odd = np.bincount((grams.view("u8") >> np.uint64(40)).astype("i8") & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").view("i8")
+
+
 def majority(grams: np.ndarray) -> int:
     """SimHash fingerprint of a set."""
     counts = np.zeros(64, "int64")
@@ -141,7 +152,7 @@ def _over_nodes(docs: DataFrame, hasher: Hasher, each: Callable, schema: str, na
 
 
 def named(docs: DataFrame, hasher: Hasher) -> DataFrame:
-    """(doc_id, mark, node, other, fp): MD5 of the text, 128 bits and SimHash of its set. Null text is empty."""
+    """(doc_id, mark, node, other, fp, n, bits): MD5 of the text; 128 bits, SimHash, size and parity of its set. Null text is empty."""
     small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +160,14 @@ def named(docs: DataFrame, hasher: Hasher) -> DataFrame:
             sets = [hasher(t) for t in texts_of(batch)]
             nodes = np.array([node_of(s) for s in sets], "i8").reshape(-1, 2)
             prints = pa.array([majority(s) for s in sets], pa.int64())
+            sizes, bits = pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), pa.array(nodes[:, 0]), pa.array(nodes[:, 1]), prints],
-                names=["doc_id", "mark", "node", "other", "fp"],
+                [batch.column("doc_id"), batch.column("mark"), pa.array(nodes[:, 0]), pa.array(nodes[:, 1]), prints, sizes, bits],
+                names=["doc_id", "mark", "node", "other", "fp", "n", "bits"],
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("mark"), "text")
-    return rows.mapInArrow(of, "doc_id bigint, mark string, node bigint, other bigint, fp bigint")
+    return rows.mapInArrow(of, "doc_id bigint, mark string, node bigint, other bigint, fp bigint, n int, bits array<bigint>")
 
 
 def common_buckets(docs: DataFrame, hasher: Hasher, rows: int, sample: int = SAMPLE) -> np.ndarray:
@@ -206,64 +218,82 @@ def sets_of(docs: DataFrame, hasher: Hasher, nodes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets are similar, written."""
+    """Those of the pairs (a, b, ...) of nodes whose sets are similar, written."""
     top, bottom = similar
     left, right = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     enough = both * (top + bottom) >= (F.size("of_a") + F.size("of_b")) * top
-    return written(pairs.join(right, "b").join(left, "a").where(enough).select("a", "b"), "links")
+    return written(pairs.join(right, "b").join(left, "a").where(enough).drop("of_a", "of_b"), "links")
+
+
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two parities differ; that of the larger set is folded, as its size is at most a quarter larger."""
+
+    def folded(x: str, y: str) -> Column:
+        half = F.size(y)
+        both = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > half, both).otherwise(F.col(x))
+
+    bits = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda s, x: s + x)
 
 
 class Parts:
     """Which part each node belongs to, as links come in."""
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, similar: tuple[int, int]):
-        self.sets, self.similar = sets, similar
+    def __init__(self, docs: DataFrame, hasher: Hasher, nodes: DataFrame, similar: tuple[int, int]):
+        self.docs, self.hasher, self.nodes, self.similar = docs, hasher, nodes, similar
         self.of = written(nodes.select("node", F.col("node").alias("part")), "parts")
 
+    def _likely(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of different parts that their sizes and parities do not rule out."""
+        top, bottom = self.similar
+        known = self.nodes.select("node", "n", "bits").join(self.of, "node")
+        a, b = (known.select(*[F.col(c).alias(f"{c}_{x}") for c in known.columns]).withColumnRenamed(f"node_{x}", x) for x in "ab")
+        n, least = F.col("n_a") + F.col("n_b"), F.least("n_a", "n_b") * bottom >= F.greatest("n_a", "n_b") * top
+        # Of n elements in both sets together, similar ones share n * top / (top + bottom) or more.
+        most = n * (bottom - top) >= _differ("bits_a", "bits_b") * (bottom + top)
+        met = pairs.distinct().join(a, "a").join(b, "b").where((F.col("part_a") != F.col("part_b")) & least).where(most)
+        return written(met.select("a", "b", "part_a", "part_b"), "pairs")
+
     def link(self, pairs: DataFrame) -> None:
         """Join the parts of those pairs (a, b) that are similar; pairs of one part are not looked at again."""
-        a, b = (self.of.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
-        open_ = written(pairs.distinct().join(a, "a").join(b, "b").where("part_a <> part_b").select("a", "b"), "pairs")
-        if open_.isEmpty():
-            discard(open_)
+        likely = self._likely(pairs)
+        ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+        if ends.isEmpty():
+            discard(likely)
             return
-        links = verified(open_, self.sets, self.similar)
-        joined = components(links.join(a, "a").join(b, "b"), "part_a", "part_b").select(F.col("node").alias("part"), "component")
+        sets = sets_of(self.docs, self.hasher, ends)
+        links = verified(likely, sets, self.similar)
+        joined = components(links, "part_a", "part_b").select(F.col("node").alias("part"), "component")
         before = self.of
         self.of = written(before.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("part")), "parts")
-        for old in (before, open_, links):
+        for old in (before, likely, sets, links):
             discard(old)
 
 
 def _of_several(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of lists (key, node, n) with their part, of lists that hold more than one, written. `major` is the part with most
+    """Rows of lists (key, used, node, n) with their part, of lists that hold more than one, written. `major` is the part with most
     nodes of the list, `minor` counts the others."""
-    now = rows.select("key", "node", "n").join(parts, "node")
+    now = rows.join(parts, "node")
     shares = now.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
     most = F.max(F.struct("m", "part"))
     lists = shares.groupBy("key").agg(most["part"].alias("major"), (F.sum("m") - most["m"]).alias("minor")).where("minor > 0")
     return written(now.join(lists, "key"), "index")
 
 
-def _fits(similar: tuple[int, int]):
-    top, bottom = similar
-    return F.greatest("n", "k") * top <= F.least("n", "k") * bottom
-
-
-def _star(rows: DataFrame, number: int, similar: tuple[int, int]) -> DataFrame:
+def _star(rows: DataFrame, number: int) -> DataFrame:
     """(a, b): each node of a list with one of another part than its own: the first in an order that differs by round."""
-    middle = F.min(F.struct(F.xxhash64("node", F.lit(number)), "node", "n", "part")).alias("m")
-    hubs = rows.groupBy("key").agg(middle).select("key", F.col("m.node").alias("b"), F.col("m.n").alias("k"), F.col("m.part").alias("of"))
-    met = rows.join(hubs, "key").where((F.col("part") != F.col("of")) & _fits(similar))
-    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(number)), "node", "part")).alias("m"))
+    met = rows.join(hubs, "key").where("part <> m.part")
+    return met.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"))
 
 
-def _all_pairs(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def _all_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): the nodes of a list outside its major part with those of all other parts."""
-    other = rows.where("part <> major").select("key", F.col("node").alias("b"), F.col("n").alias("k"), F.col("part").alias("of"))
-    met = rows.join(other, "key").where((F.col("part") != F.col("of")) & _fits(similar))
-    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    other = rows.where("part <> major").select("key", F.col("node").alias("other"), F.col("part").alias("of"))
+    met = rows.join(other, "key").where("part <> of")
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 def _cut_deeper(rows: DataFrame, sets: DataFrame, common: np.ndarray, similar: tuple[int, int], depth: int) -> DataFrame:
@@ -284,51 +314,64 @@ def _cut_deeper(rows: DataFrame, sets: DataFrame, common: np.ndarray, similar: t
     return deeper.distinct().withColumn("key", F.xxhash64("used"))
 
 
-def similar_parts(docs: DataFrame, hasher: Hasher, names: DataFrame, similar: tuple[int, int] = SIMILAR, stars: int = STARS, hot: int = HOT) -> DataFrame:
-    """(node, part): the smallest node reachable by similar sets, for every node that meets another."""
+def _pairs_of_small(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(a, b): all nodes of a list of at most `SMALL`."""
+    lists = rows.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("x")).where(F.size("x") > 1)
+    top, bottom = similar
+
+    def after(x: Column, i: Column) -> Column:
+        fit = lambda y: F.greatest(x["n"], y["n"]) * top <= F.least(x["n"], y["n"]) * bottom
+        rest = F.filter(F.slice("x", i + 2, F.size("x")), fit)
+        return F.transform(rest, lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
+
+    return lists.select(F.explode(F.flatten(F.transform("x", after))).alias("p")).select("p.a", "p.b")
+
+
+def similar_parts(docs: DataFrame, hasher: Hasher, names: DataFrame, similar: tuple[int, int] = SIMILAR, stars: int = STARS, hot: int = HOT, small: int = SMALL) -> DataFrame:
+    """(node, part): the smallest node reachable by similar sets, for every node."""
     common = common_buckets(docs, hasher, names.count())
-    # Copies are one node; only shingles of several nodes bring anything together.
-    index = postings(docs, hasher, common, similar)
-    several = index.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram")
-    rows = index.join(several, "gram").distinct().select(F.col("gram").alias("key"), "node", "n")
-    rows = written(rows.withColumn("used", F.array("key")), "postings")
+    nodes = written(names.select("node", "fp", "n", "bits").dropDuplicates(["node"]), "nodes")
+    parts = Parts(docs, hasher, nodes, similar)
 
     # Operator 1: fingerprints within reach of each other, by one node of each; nodes of one fingerprint by its first.
-    nodes = written(names.select("node", "fp").distinct(), "nodes")
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
     near = simhash.links(nodes.select("fp")).join(a, "a").join(b, "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
-    met = written(same.union(near).distinct(), "met")
+    parts.link(same.union(near))
 
-    ends = rows.select("node").union(met.select("a")).union(met.select("b")).distinct()
-    ends = written(ends, "ends")
-    sets = sets_of(docs, hasher, ends)
-    parts = Parts(ends, sets, similar)
-    parts.link(met)
-    for old in (nodes, met, ends):
-        discard(old)
+    # Copies are one node; only shingles of several nodes bring anything together.
+    index = postings(docs, hasher, common, similar)
+    several = index.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("rows"))
+    rows = index.join(several.where("low < high").select("gram", "rows"), "gram").withColumnRenamed("gram", "key")
+    rows = written(rows, "postings")
+    parts.link(_pairs_of_small(rows.where(F.col("rows") <= small), similar))
 
-    lists = rows
+    lists = written(rows.where(F.col("rows") > small).select("key", F.array("key").alias("used"), "node", "n").distinct(), "lists")
+    discard(rows)
     for depth in itertools.count(1):
         for number in range(stars):
             now = _of_several(lists, parts.of)
             if now.isEmpty():
                 discard(now)
                 break
-            parts.link(_star(now, number, similar))
+            parts.link(_star(now, number))
             discard(now)
         now = _of_several(lists, parts.of)
-        parts.link(_all_pairs(now.where(F.col("minor") <= hot) if depth < DEEPEST else now, similar))
-        left = now.where(F.col("minor") > hot).select("key").distinct()
+        parts.link(_all_pairs(now.where(F.col("minor") <= hot) if depth < DEEPEST else now))
+        left = now.where(F.col("minor") > hot)
         if depth == DEEPEST or left.isEmpty():
-            discard(now)
             break
-        lists = written(_cut_deeper(lists.join(left, "key"), sets, common, similar, depth + 1), "lists")
+        sets = sets_of(docs, hasher, left.select("node").distinct())
+        deeper = written(_cut_deeper(left, sets, common, similar, depth + 1), "lists")
+        for old in (lists, now, sets):
+            discard(old)
+        lists = deeper
+    discard(lists)
     return parts.of
 
 
-def without_similar(docs: DataFrame, similar: tuple[int, int] = SIMILAR, words_in_shingle: int = SHINGLE, stars: int = STARS, hot: int = HOT) -> DataFrame:
+def without_similar(docs: DataFrame, similar: tuple[int, int] = SIMILAR, words_in_shingle: int = SHINGLE, stars: int = STARS, hot: int = HOT, small: int = SMALL) -> DataFrame:
     """`docs` with one document of each component of similar ones: that with the smallest id, ids before null, of equal ids the
     smallest MD5 of the text.
 
@@ -342,6 +385,6 @@ def without_similar(docs: DataFrame, similar: tuple[int, int] = SIMILAR, words_i
         # Nodes go by 64 of their 128 bits; should those of two sets agree, all is hashed anew.
         if names.groupBy("node").agg((F.min("other") < F.max("other")).alias("two")).where("two").isEmpty():
             break
-    parts = similar_parts(docs, hasher, names, similar, stars, hot)
-    found = names.select("doc_id", "mark", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = similar_parts(docs, hasher, names, similar, stars, hot, small)
+    found = names.select("doc_id", "mark", "node").join(parts, "node")
     return simhash.first_of_parts(docs, found)

@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import corpus_pipeline as c
+import numpy as np
 from made_documents import documents  # noqa: F401
 from factorspark.llm import jaccard
 
@@ -63,11 +64,23 @@ def test_pairing_without_stars_and_with_cut_lists(documents):
     rows = [(i, " ".join(line + [f"w{rng.randrange(2)}" for _ in range(5)])) for i in range(40)]
     want = brute(rows)
     assert 2 < len(want) < 40
-    for stars, hot in ((0, 256), (0, 2)):
-        kept = jaccard.without_similar(documents(*rows), stars=stars, hot=hot)
+    for stars, hot, small in ((0, 256, 0), (1, 2, 0), (0, 2, 5)):
+        kept = jaccard.without_similar(documents(*rows), stars=stars, hot=hot, small=small)
         assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_parities_differ_by_no_more_than_their_sets(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for n in (1, 3, 60, 65, 130, 255, 257, 500):
+        x = rng.integers(-(1 << 62), 1 << 62, n)
+        y = np.concatenate((x[: n - n // 9], rng.integers(-(1 << 62), 1 << 62, n // 8)))
+        rows.append((jaccard.parity(x).tolist(), jaccard.parity(y).tolist()))
+        want.append(len(np.setxor1d(x, y)))
+    found = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select(jaccard._differ("a", "b").alias("d")).collect()
+    assert all(r.d <= w for r, w in zip(found, want)) and any(r.d for r in found)
+
+
 def test_hasher_is_that_of_words_wherever_it_is_cut(monkeypatch):
     text = "  a\tB c\x1cd  eé\n\n" + " ".join(f"word{i % 700}" for i in range(3_000)) + " a b c\x1cd eé word0 word1  "
     whole, words = jaccard.Hasher()(text), text.lower().replace("\x1c", "~").split()
