@@ -28,8 +28,8 @@ from tokenizers import Tokenizer
 from factorspark.llm.common import small_batches, table, texts_of
 
 MODEL, LIMIT = "byte_bpe_50k.json", 512
-#: Pieces that a worker remembers, and the longest of them.
-REMEMBERED, SHORT = 200_000, 64
+#: Pieces that a worker remembers twice over, the longest of them, and from where symbols are kept in packed arrays.
+REMEMBERED, SHORT, LONG = 300_000, 64, 4_096
 #: Texts up to this many characters are cut at once, longer ones piece by piece.
 AT_ONCE = 1 << 18
 
@@ -43,45 +43,54 @@ def byte_names() -> list[str]:
 
 
 class Pieces(dict):
-    """Number of tokens of each piece, counted when first asked for."""
+    """Number of tokens of each piece, counted when first asked for. Those asked for since the one before last were full are kept."""
 
-    def __init__(self, symbols: list[int], merges: dict[int, tuple[int, int]]):
+    def __init__(self, symbols: list[int], merges: list[dict[int, tuple[int, int]]]):
         self.symbols, self.merges = symbols, merges
+        self.earlier: dict[str, int] = {}
 
     def __missing__(self, piece: str) -> int:
-        n = self.count(piece.encode())
+        n = self.earlier.get(piece) or self.count(piece.encode())
         if len(piece) <= SHORT:
             if len(self) >= REMEMBERED:
+                self.earlier = dict(self)
                 self.clear()
             self[piece] = n
         return n
 
     def count(self, data: bytes) -> int:
-        n = len(data)
-        merges = self.merges.get
-        own = array("q", map(self.symbols.__getitem__, data))
-        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        n, merges = len(data), self.merges
+        numbers = list if n < LONG else lambda x: array("q", x)
+        own = numbers(map(self.symbols.__getitem__, data))
         # An entry is rank * n + place. It is stale if the pair at that place is no longer the one of this rank.
-        heap = [m[0] * n + i for i in range(n - 1) if (m := merges(own[i] << 32 | own[i + 1]))]
+        heap = []
+        for i in range(n - 1):
+            if m := merges[own[i]].get(own[i + 1]):
+                heap.append(m[0] * n + i)
+        if not heap:
+            return n
         heapq.heapify(heap)
+        after, before = numbers(range(1, n + 1)), numbers(range(-1, n - 1))
         left = n
         while heap:
-            rank, i = divmod(heapq.heappop(heap), n)
+            entry = heapq.heappop(heap)
+            i = entry % n
             j = after[i]
             if own[i] < 0 or j >= n:
                 continue
-            found = merges(own[i] << 32 | own[j])
-            if found is None or found[0] != rank:
+            found = merges[own[i]].get(own[j])
+            if not found or found[0] != entry // n:
                 continue
-            own[i], own[j] = found[1], -1
+            own[i] = joined = found[1]
+            own[j] = -1
             k = after[i] = after[j]
             left -= 1
             if k < n:
                 before[k] = i
-                if m := merges(own[i] << 32 | own[k]):
+                if m := merges[joined].get(own[k]):
                     heapq.heappush(heap, m[0] * n + i)
             h = before[i]
-            if h >= 0 and (m := merges(own[h] << 32 | own[i])):
+            if h >= 0 and (m := merges[own[h]].get(joined)):
                 heapq.heappush(heap, m[0] * n + h)
         return left
 
@@ -116,7 +125,9 @@ class TokenCounter:
             raise ValueError(f"{path} has added tokens with rules of their own")
         vocab = model["vocab"]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        merges = {vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        merges: list[dict[int, tuple[int, int]]] = [{} for _ in range(max(vocab.values()) + 1)]
+        for rank, (a, b) in enumerate(pairs):
+            merges[vocab[a]][vocab[b]] = rank, vocab[a + b]
         self.pieces = Pieces([vocab[c] for c in byte_names()], merges)
         # Longest first, as the library takes the longest of those that begin at a place.
         strings = sorted((t["content"] for t in made["added_tokens"] if t["content"]), key=len, reverse=True)
