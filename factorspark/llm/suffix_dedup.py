@@ -3,15 +3,16 @@
 A byte goes if it lies in a string of `LENGTH` bytes that also starts in a document with a smaller id.
 
 1. Documents are dealt to shards by the smallest hash of their 16-byte grams, so that near copies lie together, and a shard
-   holds each different text once. Ranges of (hash, text, id) are cut by rows, so a text with many copies spans shards.
+   holds each different text once. Ranges of (hash, text, id) are cut by rows, so a text with many copies spans shards. A text
+   longer than a shard is dealt in stretches that overlap by a string less a byte; its rows are put together at the end.
 2. Every string of 50 bytes holds a gram whose hash is the least of its 35; these anchors depend on the string alone. Grams that
    only one text has cannot lie in a repeated string. Each shard sends its different anchors, packed by ranges of hashes.
 3. A shard sorts the suffixes around shared anchors by Larsson-Sadakane refinement (groups of equal prefixes are sorted by the
    rank of what follows, doubling the length; settled ones rest) and cuts them into runs of equal strings by Kasai's common
    prefixes. Strings around anchors that other shards have as well are sent on once a shard, with their smallest id: those in a
    row with the same least gram as one stretch of text, to the range of that gram, where all equal strings meet.
-4. There the sorted digests (128 bits) of all shards are merged by binary search; a shard learns of each string whether a
-   smaller id than its own has it.
+4. There the sorted strings of the shards are merged pairwise by binary search, byte for byte; a shard learns of each string
+   whether a smaller id than its own has it.
 
 All that is sent are packed arrays; nothing is ever gathered by string, so a passage that a third of all documents share is one
 entry of each shard.
@@ -20,6 +21,7 @@ entry of each shard.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +36,8 @@ from factorspark.llm.common import discard, small_batches, table, written
 
 LENGTH, GRAM = 50, 16
 #: Bytes of different texts in a shard; anchors and runs in a range of hashes.
-SHARD_BYTES, RANGE = 2 << 20, 250_000
-NOBODY = np.iinfo("int64").max  # the id of documents without one: larger than all others
+SHARD_BYTES, RANGE = 1 << 20, 250_000
+NOBODY = np.iinfo("int64").max  # stands for the id of documents without one, which are marked: "-"
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -74,37 +76,41 @@ def anchors(hashes: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return np.flatnonzero(hashes == _sliding(np.concatenate((edge, low, edge)), width, np.maximum))
 
 
-def suffix_order(words: np.ndarray, room: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes with `length` bytes of room, in order of these bytes; their ranks), by Larsson-Sadakane refinement.
+def _heads(key: np.ndarray) -> np.ndarray:
+    """Of each place in a sorted array the first with the same value."""
+    first = np.zeros(len(key), "int32")
+    fresh = np.flatnonzero(key[1:] != key[:-1]) + 1
+    first[fresh] = fresh
+    return np.maximum.accumulate(first, out=first)
+
+
+def suffix_order(words: np.ndarray, room: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Suffixes with `length` bytes of room, in order of these bytes, by Larsson-Sadakane refinement.
 
     `room` counts the bytes up to the end of a suffix's own text. Each round sorts only the groups that are not settled.
     """
-    at = np.flatnonzero(room >= 8)
+    at = np.flatnonzero(room >= 8).astype("int32")
     key = words[at].byteswap()
     order = np.argsort(key)
     at, key = at[order], key[order]
-    rank = np.full(len(words) + length, -1, "int64")
-    head = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(at)), 0)) if len(at) else at
+    rank = np.full(len(words) + length, -1, "int32")
+    head = _heads(key)
     rank[at] = head
+    del key, order
     known = 8
     while known < length:
         step = min(known, length - known)
-        sizes = np.bincount(head, minlength=len(words) + 1) if len(at) else np.zeros(1, int)
-        here = np.flatnonzero(room >= known + step)
-        here = here[sizes[rank[here]] > 1] if len(at) else here
-        both = rank[here] << 32 | rank[here + step]
+        sizes = np.bincount(head, minlength=1)
+        here = np.flatnonzero(room >= known + step).astype("int32")
+        here = here[sizes[rank[here]] > 1] if len(here) else here
+        both = rank[here].astype("int64") << 32 | rank[here + step]
         order = np.argsort(both)
         here, both = here[order], both[order]
-        old = both >> 32
-        i = np.arange(len(here))
-        new = np.maximum.accumulate(np.where(np.concatenate(([True], both[1:] != both[:-1])), i, 0)) if len(here) else i
-        first = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), i, 0)) if len(here) else i
-        rank[here] = old + new - first
+        rank[here] = (both >> 32).astype("int32") + _heads(both) - _heads(both >> 32)
         known += step
-        at = np.flatnonzero(room >= known)
-        head = rank[at]
-    order = np.argsort(head, kind="stable")
-    return at[order], head[order]
+        head = rank[np.flatnonzero(room >= known)]
+    at = np.flatnonzero(room >= length).astype("int32")
+    return at[np.argsort(rank[at], kind="stable")]
 
 
 def common_prefixes(words: np.ndarray, order: np.ndarray, limit: int = LENGTH, lanes: int = 4_096) -> np.ndarray:
@@ -114,13 +120,13 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, limit: int = LENGTH, l
     walked side by side. The rule holds below the limit, where the order is settled; after a full match the count starts anew.
     `order` may leave suffixes out: bytes count as shared only if the suffix before moved along.
     """
-    n = len(order)
+    n, order = len(order), order.astype("int64")
     before = np.concatenate(([-1], order[:-1])) if n else order
     text = np.argsort(order)
     height = -(-n // lanes) if n else 0
     pad = height * lanes - n
     place = np.concatenate((text, np.full(pad, -1))).reshape(lanes, height)
-    out, shared = np.zeros(n, "int64"), np.zeros(lanes, "int64")
+    out, shared = np.zeros(n, "int32"), np.zeros(lanes, "int64")
     last, ahead = np.zeros(lanes, "int64"), np.full(lanes, -1, "int64")
     size = np.uint64(1)
     for column in place.T:
@@ -141,14 +147,45 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, limit: int = LENGTH, l
     return out
 
 
-def digests(words: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the `length` bytes from each of the positions on."""
-    a, b = np.full(len(at), length, "u8"), np.full(len(at), length + 1, "u8")
-    for offset in [*range(0, length - 7, 8), length - 8]:
-        w = words[at + offset]
-        a = _mix((a ^ w) * _ODD[0] + _ODD[1])
-        b = _mix((b + w) * _ODD[2] ^ (b >> np.uint64(31)))
-    return a, b
+def rows_of_words(words: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The `length` bytes from each of the positions on as rows of big-endian numbers, which are in order as the bytes are."""
+    return np.stack([words[at + offset].byteswap() for offset in [*range(0, length - 7, 8), length - 8]], axis=1)
+
+
+def find(strings: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each wanted row among sorted different rows, whether it is there) by binary search, word by word."""
+    low = np.searchsorted(strings[:, 0], wanted[:, 0], "left")
+    high = np.searchsorted(strings[:, 0], wanted[:, 0], "right")
+    for k in range(1, strings.shape[1]):
+        # Between `low` and `high` the words before are equal to those wanted.
+        several = np.flatnonzero(high > low)
+        if not len(several):
+            break
+        column, value = strings[:, k], wanted[several, k]
+        ends = []
+        for right in (False, True):
+            a, b = low[several].copy(), high[several].copy()
+            open_ = np.arange(len(several))
+            while len(open_):
+                middle = (a[open_] + b[open_]) >> 1
+                before = column[middle] <= value[open_] if right else column[middle] < value[open_]
+                a[open_] = np.where(before, middle + 1, a[open_])
+                b[open_] = np.where(before, b[open_], middle)
+                open_ = open_[a[open_] < b[open_]]
+            ends.append(a)
+        low[several], high[several] = ends
+    return low, high > low
+
+
+def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of (sorted different strings, smallest id of each) as one."""
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    place, there = find(a[0], b[0])
+    least = a[1].copy()
+    least[place[there]] = np.minimum(least[place[there]], b[1][there])
+    new = ~there
+    return np.insert(a[0], place[new], b[0][new], axis=0), np.insert(least, place[new], b[1][new])
 
 
 class Shard:
@@ -159,7 +196,6 @@ class Shard:
         self.data = b"".join(texts)
         self.sizes = np.array([len(t) for t in texts], "int64")
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.words = words_at(self.data)
         self._all_anchors: tuple | None = None
 
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +205,7 @@ class Shard:
         return self._all_anchors
 
     def _find_anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        hashes = gram_hashes(self.words)
+        hashes = gram_hashes(words_at(self.data))
         at = anchors(hashes, length)
         of = np.searchsorted(self.starts, at, "right") - 1
         inside = at + GRAM <= (self.starts + self.sizes)[of]
@@ -206,32 +242,35 @@ class Shard:
         low = np.maximum(at[hit] - (length - GRAM), self.starts[of[hit]])
         high = np.minimum(at[hit], (self.starts + self.sizes)[of[hit]] - length)
         fine = low <= high
-        marks = np.zeros(len(self.data) + 1, "int32")
-        np.add.at(marks, low[fine], 1)
-        np.add.at(marks, high[fine] + 1, -1)
-        return np.cumsum(marks[:-1]) > 0
+        n = len(self.data) + 1
+        marks = np.bincount(low[fine], minlength=n).astype("int32")
+        marks -= np.bincount(high[fine] + 1, minlength=n).astype("int32")
+        return np.cumsum(marks[:-1], out=marks[:-1]) > 0
 
     def runs(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions of `starts` in suffix order, number of the run of equal strings of each)."""
         # The suffixes sorted are all of the stretches that the strings cover, as if each stretch were a text.
         marks = np.zeros(len(self.data) + 1, "int32")
         at = np.flatnonzero(starts)
-        np.add.at(marks, at, 1)
-        np.add.at(marks, at + length, -1)
-        covered = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        marks[at] += 1
+        marks[at + length] -= 1
+        covered = np.flatnonzero(np.cumsum(marks[:-1], out=marks[:-1]) > 0).astype("int32")
         if not len(covered):
             return at, at
         # Stretches of neighbouring texts may touch; a string that would cross is left out below.
         stretch = np.frombuffer(self.data, "u1")[covered].tobytes()
-        of = np.searchsorted(self.starts, covered, "right") - 1
-        cut = np.flatnonzero(np.concatenate(((covered[1:] != covered[:-1] + 1) | (of[1:] != of[:-1]), [True])))
-        room = cut[np.searchsorted(cut, np.arange(len(covered)))] + 1 - np.arange(len(covered))
+        fresh = np.zeros(len(self.data) + 1, bool)
+        fresh[self.starts] = True
+        ends = np.append((covered[1:] != covered[:-1] + 1) | fresh[covered[1:]], True)
+        cut = np.flatnonzero(ends)
+        room = np.repeat(cut, np.diff(cut, prepend=-1)).astype("int32") + 1 - np.arange(len(covered), dtype="int32")
         words = words_at(stretch)
-        order, rank = suffix_order(words, room, length)
+        order = suffix_order(words, room, length)
+        # A suffix begins a new run where it shares less than a string with the one before it.
+        run = np.cumsum(common_prefixes(words, order, length) < length) - 1
         wanted = starts[covered[order]]
-        order, rank = order[wanted], rank[wanted]
-        # Equal ranks are equal strings.
-        return covered[order], np.cumsum(np.concatenate(([True], rank[1:] != rank[:-1]))) - 1
+        run = run[wanted]
+        return covered[order[wanted]].astype("int64"), np.cumsum(np.diff(run, prepend=run[:1]) > 0)
 
 
 def _rows(names: list[str], rows: list[tuple]) -> pd.DataFrame:
@@ -260,61 +299,82 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
-def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """A written table of shards: its different texts end to end (compressed), their sizes, the ids of the rows of each."""
+def shards_of(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """A written table of shards: its different texts end to end (compressed), their sizes, the ids of the rows of each, and, for
+    stretches of longer texts, whose row they are of and the how many-th."""
     spark = docs.sparkSession
     small_batches(spark)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column("data").to_pylist()]
+            ids, texts, of = [], [], []
+            for key, none, text in zip(*(batch.column(c).to_pylist() for c in ("id", "none", "data"))):
+                text, end = text or b"", "-" if none else ""
+                if len(text) <= shard_bytes:
+                    ids.append(key)
+                    texts.append(text)
+                    of.append(end or None)
+                    continue
+                own = uuid.uuid4().hex
+                for k, a in enumerate(range(0, len(text) - length + 1, shard_bytes)):
+                    ids.append(key)
+                    texts.append(text[a : a + shard_bytes + length - 1])
+                    of.append(f"{own} {k} {end}")
             near = [int(h.min().view("i8")) if len(h := gram_hashes(words_at(t))) else 0 for t in texts]
             mark = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(texts, pa.binary()), pa.array(near, pa.int64()), pa.array(mark, pa.binary())],
-                names=["id", "data", "near", "mark"],
-            )
+            columns = [pa.array(c, k) for c, k in ((ids, pa.int64()), (texts, pa.binary()), (near, pa.int64()), (mark, pa.binary()), (of, pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "data", "near", "mark", "of"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
         ids: list[list] = []
+        rows: list[list] = []
         marks: list[bytes] = []
         total = 0
 
         def flush():
-            own = hashlib.blake2b(repr((ids, marks)).encode(), digest_size=16).hexdigest()
-            columns = [[own], [_packed(b"".join(texts))], [list(map(len, texts))], [ids]]
-            kinds = [pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "data", "sizes", "ids"])
+            own = hashlib.blake2b(repr((ids, rows, marks)).encode(), digest_size=16).hexdigest()
+            columns = [[own], [_packed(b"".join(texts))], [list(map(len, texts))], [ids], [rows]]
+            kinds = [pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "data", "sizes", "ids", "rows"])
 
         for batch in batches:
-            for key, text, mark in zip(*(batch.column(c).to_pylist() for c in ("id", "data", "mark"))):
+            for key, text, mark, of in zip(*(batch.column(c).to_pylist() for c in ("id", "data", "mark", "of"))):
                 if marks and mark == marks[-1]:
                     ids[-1].append(key)
+                    rows[-1].append(of)
                     continue
                 if texts and total + len(text) > shard_bytes:
                     yield flush()
-                    texts, ids, marks, total = [], [], [], 0
+                    texts, ids, rows, marks, total = [], [], [], [], 0
                 texts.append(text)
                 ids.append([key])
+                rows.append([of])
                 marks.append(mark)
                 total += len(text)
         if texts:
             yield flush()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NOBODY))).alias("id"), F.col("text").cast("binary").alias("data"))
-    dealt = rows.mapInArrow(keyed, "id bigint, data binary, near bigint, mark binary").repartitionByRange("near", "mark", "id")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NOBODY))).alias("id"), F.col("doc_id").isNull().alias("none"), F.col("text").cast("binary").alias("data"))
+    dealt = rows.mapInArrow(keyed, "id bigint, data binary, near bigint, mark binary, of string").repartitionByRange("near", "mark", "id")
     dealt = dealt.sortWithinPartitions("near", "mark", "id")
-    return written(dealt.mapInArrow(pack, "shard string, data binary, sizes array<int>, ids array<array<bigint>>"), "shards")
+    return written(dealt.mapInArrow(pack, "shard string, data binary, sizes array<int>, ids array<array<bigint>>, rows array<array<string>>"), "shards")
 
 
 def _shard(row) -> tuple[Shard, list[list]]:
-    """The shard of a row, and the ids of the rows of each of its texts."""
+    """The shard of a row, and the (id, stretch) of the rows of each of its texts."""
     ends = np.cumsum(np.asarray(row["sizes"], "int64"))
     data = _unpacked(row["data"])
     texts = [data[b - n : b] for n, b in zip(row["sizes"], ends)]
-    ids = [[int(x) for x in group] for group in row["ids"]]
-    return Shard(texts, np.array([min(g) for g in ids], "int64")), ids
+    ids = [[(int(x), of) for x, of in zip(*both)] for both in zip(row["ids"], row["rows"])]
+    return Shard(texts, np.array([min(x for x, _ in g) for g in ids], "int64")), ids
+
+
+def _outcome(raw: np.ndarray, gone: np.ndarray) -> tuple[int, int, int, str, bytes]:
+    """What is told of a text of which some bytes go."""
+    kept = raw[~gone].tobytes()
+    spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype("i1")))) > 0))
+    return len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept
 
 
 def remove_repeats(
@@ -323,12 +383,14 @@ def remove_repeats(
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) by row of `docs`; `keep_text` adds `kept binary`.
 
     Null text is empty. Rows with equal ids never take from each other. A null id counts as larger than all others. Strings are
-    judged on the input. Texts shorter than `length` keep everything.
+    judged on the input. Texts shorter than `length` keep everything. Repeated rows are rows of their own: of equal texts with
+    different ids all but that with the smallest go whole. Texts longer than a shard are sorted in stretches. An empty table gives
+    an empty result. Other columns are not read, whatever their names.
     """
     if length < 2 * GRAM:
         raise ValueError(f"the length must be at least {2 * GRAM}")
-    shards = shards_of(docs, shard_bytes)
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+    shards = shards_of(docs, length, shard_bytes)
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, of string, raw binary, gone binary"
     size = shards.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-int(size) // (per_range * 16)))
 
@@ -375,17 +437,24 @@ def remove_repeats(
         raw, out = np.frombuffer(held.data, "u1"), []
         for d in range(len(ids)) if only is None else only:
             a, n, first = held.starts[d], int(held.sizes[d]), held.ids[d]
-            lost = gone[a : a + n]
-            kept = raw[a : a + n][~lost].tobytes()
-            spans = int(np.count_nonzero(np.diff(np.concatenate(([0], lost.astype("i1")))) > 0))
-            own = (n, int(lost.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None)
+            text, lost = raw[a : a + n], gone[a : a + n]
             # A copy finds all its strings in the first of its kind.
-            copy = (n, n, 1, hashlib.sha256(b"").hexdigest(), b"" if keep_text else None) if n >= length else own
-            out += [(None if x == NOBODY else x, *(own if x == first else copy)) for x in ids[d]]
+            every = np.full(n, n >= length)
+            told: dict[bool, tuple] = {}
+            for x, of in ids[d]:
+                own = x == first
+                if own not in told:
+                    told[own] = _outcome(text, lost if own else lost | every)
+                key = None if of and of.endswith("-") else x
+                if of in (None, "-"):
+                    out.append((key, *told[own][:4], told[own][4] if keep_text else None, None, None, None))
+                else:
+                    bits = np.packbits(lost if own else lost | every).tobytes()
+                    out.append((key, n, None, None, None, None, of, _packed(text.tobytes()), zlib.compress(bits, 1)))
         return out
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    pending = ["shard", "data", "sizes", "ids", "covered", "starts", "runs", "stretches"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "of", "raw", "gone"]
+    pending = ["shard", "data", "sizes", "ids", "rows", "covered", "starts", "runs", "stretches"]
     sending = ["part", "first", "text", "counts", "least"]
 
     def sort(held: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
@@ -435,14 +504,14 @@ def remove_repeats(
             keep = np.concatenate([np.arange(shard.starts[d], shard.starts[d] + shard.sizes[d]) for d in touched])
             state = (
                 row["shard"], _packed(b"".join(shard.texts[d] for d in touched)), [int(shard.sizes[d]) for d in touched],
-                [ids[d] for d in touched], zlib.compress(np.packbits(covered[keep]).tobytes(), 1), _steps(here + shift[of]),
+                [[x for x, _ in ids[d]] for d in touched], [[of for _, of in ids[d]] for d in touched], zlib.compress(np.packbits(covered[keep]).tobytes(), 1), _steps(here + shift[of]),
                 _steps(number[np.searchsorted(kinds, kind)]), [dict(zip(sending, x)) for x in stretches],
             )
             out.append((*state, *[None] * len(names)))
         return _rows(pending + names, out)
 
     stretch = "part: bigint, first: int, text: binary, counts: binary, least: binary"
-    lists = "shard string, data binary, sizes array<int>, ids array<array<bigint>>, covered binary, starts binary, runs binary"
+    lists = "shard string, data binary, sizes array<int>, ids array<array<bigint>>, rows array<array<string>>, covered binary, starts binary, runs binary"
     sorted_ = written(
         shards.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(sort, f"{lists}, stretches array<struct<{stretch}>>, {schema}"),
         "suffixes",
@@ -452,23 +521,24 @@ def remove_repeats(
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         """Whether another shard's id of a string is smaller: each list is looked up in the merged one by binary search."""
-        lists = []
+        lists, sorted_lists = [], []
         for text, counts, least in zip(group["text"], group["counts"], group["least"]):
             counts = np.frombuffer(counts, "int32").astype("int64")
             begin = np.cumsum(counts + length - 1) - (counts + length - 1)
             at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            lists.append((*digests(words_at(_unpacked(text)), at, length), np.repeat(np.frombuffer(least, "i8"), counts)))
-        a, b, least = map(np.concatenate, zip(*lists))
-        order = np.lexsort((least, b, a))
-        a, b, least = a[order], b[order], least[order]
-        heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        a, b, least = a[heads], b[heads], least[heads]
+            strings, own = rows_of_words(words_at(_unpacked(text)), at, length), np.repeat(np.frombuffer(least, "i8"), counts)
+            lists.append((strings, own))
+            # A shard sends each string once.
+            order = np.lexsort(strings.T[::-1])
+            sorted_lists.append((strings[order], own[order]))
+        while len(sorted_lists) > 1:
+            pairs = list(zip(sorted_lists[::2], sorted_lists[1::2]))
+            sorted_lists = [merged(a, b) for a, b in pairs] + sorted_lists[2 * len(pairs) :]
+        every, least = sorted_lists[0]
         out = []
-        for own, first, (x, y, mine) in zip(group["shard"], group["first"], lists):
-            at = np.searchsorted(a, x)
-            while (off := b[at] != y).any():  # first hashes that collide stand side by side
-                at = at + off
-            out.append((own, first, len(x), np.packbits(least[at] < mine).tobytes()))
+        for own, first, (strings, mine) in zip(group["shard"], group["first"], lists):
+            place, _ = find(every, strings)
+            out.append((own, first, len(mine), np.packbits(least[place] < mine).tobytes()))
         return _rows(["shard", "first", "n", "smaller"], out)
 
     dealt = waiting.select("shard", F.explode("stretches").alias("x")).select("shard", "x.*")
@@ -485,9 +555,26 @@ def remove_repeats(
         covered[at[smaller[run]]] = True
         return _rows(names, settle(shard, ids, covered))
 
-    waiting = waiting.select("shard", "data", "sizes", "ids", "covered", "starts", "runs")
+    waiting = waiting.select("shard", "data", "sizes", "ids", "rows", "covered", "starts", "runs")
     rest = waiting.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(finish, schema)
-    out = done.unionByName(rest)
+
+    def assemble(group: pd.DataFrame) -> pd.DataFrame:
+        """One long text from its stretches: one cell of the input. Where they overlap a byte goes if it goes in one of them."""
+        rows = sorted(zip(group["of"].str.split(" ").str[1].astype(int), group["n_bytes"], group["raw"], group["gone"], strict=True))
+        raw = np.zeros(rows[-1][0] * shard_bytes + int(rows[-1][1]), "u1")
+        gone = np.zeros(len(raw), bool)
+        for k, n, text, bits in rows:
+            here = slice(k * shard_bytes, k * shard_bytes + int(n))
+            raw[here] = np.frombuffer(_unpacked(text), "u1")
+            gone[here] |= np.unpackbits(np.frombuffer(zlib.decompress(bits), "u1"), count=int(n)).astype(bool)
+        told = _outcome(raw, gone)
+        key = group["doc_id"].iloc[0]
+        return _rows(names[:6], [(None if pd.isna(key) else int(key), *told[:4], told[4] if keep_text else None)])
+
+    every = written(done.unionByName(rest), "told")
+    short = every.where("of IS NULL").select(names[:6])
+    long = every.where("of IS NOT NULL").groupBy(F.substring_index("of", " ", 1).alias("row")).applyInPandas(assemble, schema.split(", of")[0])
+    out = short.unionByName(long)
     return out if keep_text else out.drop("kept")
 
 

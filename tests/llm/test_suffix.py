@@ -83,10 +83,9 @@ def test_order_and_common_prefixes():
     data = "".join(rng.choices("ab", k=600)).encode() * 2 + bytes(3) + b"ab" * 100
     words = s.words_at(data)
     room = len(data) - np.arange(len(data))
-    order, rank = s.suffix_order(words, room, 40)
+    order = s.suffix_order(words, room, 40)
     cut = [data[i : i + 40] for i in order]
     assert cut == sorted(data[i : i + 40] for i in range(len(data) - 39))
-    assert [a == b for a, b in zip(cut, cut[1:])] == (rank[1:] == rank[:-1]).tolist()
     want = [0] + [next((k for k in range(40) if a[k] != b[k]), 40) for a, b in zip(cut, cut[1:])]
     for lanes in (1, 7, 4096):
         assert s.common_prefixes(words, order, 40, lanes).tolist() == want
@@ -127,6 +126,45 @@ def test_strings_that_differ_early(documents):
     assert got(s.remove_repeats(documents(*rows))) == brute(rows)
 
 
+def test_merging_by_binary_search():
+    rng = random.Random(8)
+    lists = [sorted({"".join(rng.choices("ab\xff", k=50)).encode("latin-1")[:47] + bytes(rng.choices([0, 1], k=3)) for _ in range(n)}) for n in (200, 1, 90, 300)]
+    lists[2] = sorted({*lists[2], *lists[0][::3], *lists[3][::2]})
+    tables = [(s.rows_of_words(s.words_at(b"".join(x)), np.arange(len(x)) * 50, 50), np.array([rng.randrange(9) for _ in x])) for x in lists]
+    want = {}
+    for x, (_, ids) in zip(lists, tables):
+        for text, i in zip(x, ids.tolist()):
+            want[text] = min(i, want.get(text, 99))
+    every = s.merged(s.merged(tables[1], tables[0]), s.merged(tables[2], tables[3]))
+    assert every[1].tolist() == [want[t] for t in sorted(want)]
+    for x, (rows, _) in zip(lists, tables):
+        place, there = s.find(every[0], rows)
+        assert there.all() and [sorted(want)[i] for i in place] == x
+    assert not s.find(every[0], tables[0][0] + np.uint64(1 << 40))[1].any()
+
+
+def test_long_texts_are_dealt_in_stretches(documents):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choices("abcdefé", k=n))
+    long, again = text(2_000), text(700)
+    rows = [
+        (3, long), (5, long), (4, long[300:900] + text(100)), (9, text(230) + again + long[590:640]), (1, again[:60]), (2, again[200:500] + "z" * 400),
+        (None, long[:410]), (None, text(300) + "z" * 120), (2**63 - 1, long[5:300]), (6, "a" * 1_500), (7, "a" * 260), (8, "short"), (8, long[-120:]),
+    ]
+    for size in (150, 400):
+        assert got(s.remove_repeats(documents(*rows), shard_bytes=size)) == brute(rows)
+    kept = {r.doc_id: r.kept for r in s.remove_repeats(documents(*rows), shard_bytes=150, keep_text=True).collect() if r.doc_id in (3, 5)}
+    assert kept == {3: long.encode(), 5: b""}
+
+
+def test_a_text_of_fifty_megabytes(documents):
+    rng = np.random.default_rng(1)
+    long = (rng.integers(97, 123, 50_000_000, dtype="u1")).tobytes().decode()
+    part = long[25_000_000:25_001_000]
+    found = {r.doc_id: tuple(r)[1:4] for r in s.remove_repeats(documents((1, long), (2, "own " + part), (3, "other"))).collect()}
+    assert found == {1: (50_000_000, 0, 0), 2: (1_004, 1_000, 1), 3: (5, 0, 0)}
+
+
 def test_query_against_brute_force(spark):
     sf_dir = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
