@@ -39,8 +39,8 @@ SAMPLE, BUCKETS, COMMON = 20_000, 1 << 20, 24
 STARS, HOT, DEEPEST = 3, 256, 3
 #: Entries of a list whose nodes are all paired at once.
 SMALL = 64
-#: Nodes that are broadcast, once counted; beyond, the join is a shuffle.
-BROADCAST = 1 << 19
+#: Marks of texts that are broadcast, once counted; beyond, the join is a shuffle.
+BROADCAST = 1 << 17
 #: Bytes hashed at a time, and different nodes that a task remembers.
 CHUNK, SEEN = 1 << 20, 1 << 18
 
@@ -202,9 +202,12 @@ def postings(docs: DataFrame, hasher: Hasher, common: np.ndarray, similar: tuple
     return _over_nodes(docs, hasher, each, "gram bigint, node bigint, n int", ["gram", "node", "n"])
 
 
-def sets_of(docs: DataFrame, hasher: Hasher, nodes: DataFrame) -> DataFrame:
-    """(node, grams) of the given nodes, written."""
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
+def sets_of(docs: DataFrame, hasher: Hasher, names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, grams) of the given nodes, written. Of each one text is read, found by its MD5."""
+    marks = names.select("node", "mark").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
+    marks = written(marks.select(F.col("mark").alias("wanted")), "marks")
+    wanted = F.broadcast(marks) if marks.count() <= BROADCAST else marks
+    some = docs.select("text").join(wanted, F.md5("text") == F.col("wanted"), "left_semi")
     small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +216,9 @@ def sets_of(docs: DataFrame, hasher: Hasher, nodes: DataFrame) -> DataFrame:
             keys = pa.array([node_of(s)[0] for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([keys, pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    made = docs.select("text").mapInArrow(of, "node bigint, grams array<bigint>")
-    return written(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    made = written(some.mapInArrow(of, "node bigint, grams array<bigint>").dropDuplicates(["node"]), "sets")
+    discard(marks)
+    return made
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -241,8 +245,8 @@ def _differ(a: str, b: str) -> Column:
 class Parts:
     """Which part each node belongs to, as links come in."""
 
-    def __init__(self, docs: DataFrame, hasher: Hasher, nodes: DataFrame, similar: tuple[int, int]):
-        self.docs, self.hasher, self.nodes, self.similar = docs, hasher, nodes, similar
+    def __init__(self, docs: DataFrame, hasher: Hasher, names: DataFrame, nodes: DataFrame, similar: tuple[int, int]):
+        self.docs, self.hasher, self.names, self.nodes, self.similar = docs, hasher, names, nodes, similar
         self.of = written(nodes.select("node", F.col("node").alias("part")), "parts")
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
@@ -263,7 +267,7 @@ class Parts:
         if ends.isEmpty():
             discard(likely)
             return
-        sets = sets_of(self.docs, self.hasher, ends)
+        sets = sets_of(self.docs, self.hasher, self.names, ends)
         links = verified(likely, sets, self.similar)
         joined = components(links, "part_a", "part_b").select(F.col("node").alias("part"), "component")
         before = self.of
@@ -331,7 +335,7 @@ def similar_parts(docs: DataFrame, hasher: Hasher, names: DataFrame, similar: tu
     """(node, part): the smallest node reachable by similar sets, for every node."""
     common = common_buckets(docs, hasher, names.count())
     nodes = written(names.select("node", "fp", "n", "bits").dropDuplicates(["node"]), "nodes")
-    parts = Parts(docs, hasher, nodes, similar)
+    parts = Parts(docs, hasher, names, nodes, similar)
 
     # Operator 1: fingerprints within reach of each other, by one node of each; nodes of one fingerprint by its first.
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
@@ -362,7 +366,7 @@ def similar_parts(docs: DataFrame, hasher: Hasher, names: DataFrame, similar: tu
         left = now.where(F.col("minor") > hot)
         if depth == DEEPEST or left.isEmpty():
             break
-        sets = sets_of(docs, hasher, left.select("node").distinct())
+        sets = sets_of(docs, hasher, names, left.select("node").distinct())
         deeper = written(_cut_deeper(left, sets, common, similar, depth + 1), "lists")
         for old in (lists, now, sets):
             discard(old)

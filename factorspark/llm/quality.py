@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from factorspark.llm.common import held_out, slices, small_batches, table, texts_of
 
 PASSAGE = 400
-#: Labelled documents to learn from, by the hash of their ids; a documented bound.
-TRAINING = 4_000
+#: Labelled documents to learn from, by the hash of their ids, and passages of them all; documented bounds.
+TRAINING, PASSAGES = 4_000, 40_000
 HIDDEN, GATE, EPOCHS, RATE = 24, 12, 160, 0.02
 
 # Character classes: own ones for some signs, the others by kind.
@@ -85,11 +85,23 @@ def _forward(p: dict, x: np.ndarray, starts: np.ndarray, counts: np.ndarray) ->
     return {"h": h, "t": t, "s": s, "weight": weight, "z": z, "p": _sigmoid(z @ p["c"] + p["d"])}
 
 
-def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Log-loss over documents by Adam on the whole sample; weights start from a fixed seed."""
+def _moments(x: np.ndarray, rows: int = 4_096) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the columns, some rows at a time."""
+    blocks = [x[a : a + rows] for a in range(0, len(x), rows)]
+    mean = sum(b.sum(axis=0, dtype="float64") for b in blocks) / len(x)
+    return mean, np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in blocks) / len(x))
+
+
+def fit(
+    x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7, in_place: bool = False
+) -> Model:
+    """Log-loss over documents by Adam on the whole sample; weights start from a fixed seed. `in_place` may overwrite `x`."""
     rng = np.random.default_rng(seed)
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-2
-    x = (x - mean) / spread
+    mean, spread = (m.astype(x.dtype) for m in _moments(x))
+    spread += np.asarray(1e-2, x.dtype)
+    x = x if in_place else x.copy()
+    x -= mean
+    x /= spread
     f = "float32"
     p = {
         "w": (rng.standard_normal((x.shape[1], HIDDEN)) / np.sqrt(x.shape[1])).astype(f), "b": np.zeros(HIDDEN, f),
@@ -131,32 +143,49 @@ def score(model: Model | None, texts: list[str]) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, training: int = TRAINING, **options) -> Model | None:
-    """A model from at most `training` labelled documents that are not held out; None if there are none.
+def train(docs: DataFrame, labels: DataFrame, training: int = TRAINING, most: int = PASSAGES, **options) -> Model | None:
+    """A model from at most `training` labelled documents that are not held out, and `most` passages; None if there are none.
 
-    Which ones is decided by the hash of the id. Their texts are read whole; what is gathered are features of passages. A
-    document with several labels counts with their rounded mean; null labels and null texts teach nothing.
+    Which ones is decided by the hash of the id; one that would exceed the passages is passed over. Their texts are read whole; what
+    is gathered are features of passages. A document with several labels counts with their rounded mean, repeated rows count once;
+    null labels and null texts teach nothing.
     """
     small_batches(docs.sparkSession, 200)
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
     known = known.groupBy(F.col("doc_id").alias("labelled")).agg(F.round(F.avg("quality")).cast("float").alias("label"))
     # Ids of the sample are chosen before any text is read; a label without document only makes the sample smaller.
     known = known.orderBy(F.xxhash64("labelled"), "labelled").limit(training)
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))
+    rows = rows.select("labelled", "label", "text", F.xxhash64("text").alias("version"))
+    size = F.greatest(F.lit(1), F.ceil(F.length("text") / PASSAGE)).cast("bigint")
+    sizes = rows.groupBy("labelled", "version").agg(F.max(size).alias("n")).orderBy(F.xxhash64("labelled"), "labelled", "version")
+    chosen, total = [], 0
+    for row in sizes.limit(training).collect():
+        if total + row["n"] <= most:
+            chosen.append((row["labelled"], row["version"]))
+            total += row["n"]
+    if not chosen:
+        return None
+    kind = labels.schema["doc_id"].dataType.simpleString()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"labelled {kind}, version bigint"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [passages([t])[0].tobytes() for t in texts_of(batch)]
-            arrays = [batch.column("labelled"), batch.column("label"), pa.array(rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "label", "x"])
-
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))
-    kind = labels.schema["doc_id"].dataType.simpleString()
-    found = rows.select("labelled", "label", "text").mapInArrow(features, f"doc_id {kind}, label float, x binary").collect()
-    if not found:
-        return None
-    found.sort(key=lambda r: (r.doc_id, len(r.x), bytes(r.x[:64])))
-    bags = [np.frombuffer(r.x, "float32").reshape(-1, WIDTH) for r in found]
-    return fit(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([r.label for r in found], "float32"), **options)
+            arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["labelled", "version", "label", "x"])
+
+    rows = rows.join(wanted, ["labelled", "version"]).groupBy("labelled", "version", "label").agg(F.first("text").alias("text"))
+    found = rows.mapInArrow(features, f"labelled {kind}, version bigint, label float, x binary").toLocalIterator()
+    bags = sorted(((r.labelled, r.version), r.label, bytes(r.x)) for r in found)
+    counts = np.array([len(x) // (4 * WIDTH) for *_, x in bags])
+    y = np.array([label for _, label, _ in bags], "float32")
+    x, at = np.empty((counts.sum(), WIDTH), "float32"), 0
+    bags.reverse()
+    for n in counts:
+        x[at : at + n] = np.frombuffer(bags.pop()[2], "float32").reshape(-1, WIDTH)
+        at += n
+    return fit(x, counts, y, in_place=True, **options)
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -38,6 +38,60 @@ def test_quality_gradient():
     assert np.allclose(np.add.reduceat(p["weight"], np.cumsum(counts) - counts), 1, atol=1e-5)
 
 
+def test_quality_weights_equal_plain_gradient_descent():
+    """Three steps of Adam with gradients by differences of the loss, each bag on its own, in double precision."""
+    rng = np.random.default_rng(2)
+    counts = np.array([1, 3, 2, 4])
+    x, y = rng.standard_normal((10, 5)), np.array([1.0, 0.0, 1.0, 0.0])
+    got = quality.fit(x.astype("float32"), counts, y.astype("float32"), epochs=0)
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-2
+    assert np.allclose(got.mean, mean, atol=1e-6) and np.allclose(got.spread, spread, atol=1e-6)
+    p = {k: w.astype("float64") for k, w in got.weights.items()}
+    bags = np.split((x - mean) / spread, np.cumsum(counts)[:-1])
+
+    def loss(p):
+        out = 1e-4 * (p["w"] ** 2).sum() / 2
+        for bag, label in zip(bags, y):
+            h = [np.tanh(row @ p["w"] + p["b"]) for row in bag]
+            e = np.exp([(np.tanh(v @ p["v"]) / (1 + np.exp(-v @ p["u"]))) @ p["a"] for v in h])
+            s = 1 / (1 + np.exp(-(sum(w * v for w, v in zip(e / e.sum(), h)) @ p["c"] + p["d"])))
+            out -= np.log(s if label else 1 - s) / len(y)
+        return out
+
+    m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
+    for step in (1, 2, 3):
+        for k in p:
+            grad = np.zeros(np.shape(p[k]))
+            for i in np.ndindex(np.shape(p[k])):
+                ends = []
+                for d in (1e-6, -1e-6):
+                    moved = {**p, k: np.array(p[k])}
+                    moved[k][i] += d
+                    ends.append(loss(moved))
+                grad[i] = (ends[0] - ends[1]) / 2e-6
+            m[k], v[k] = 0.9 * m[k] + 0.1 * grad, 0.99 * v[k] + 0.01 * grad**2
+        p = {k: p[k] - quality.RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8) for k in p}
+    fitted = quality.fit(x.astype("float32"), counts, y.astype("float32"), epochs=3)
+    # Adam turns gradients near zero into steps of either sign, so a few weights may differ by up to a step.
+    off = np.concatenate([np.abs(fitted.weights[k] - p[k]).ravel() for k in p])
+    assert np.quantile(off, 0.98) < 1e-3 and off.max() <= 6.1 * quality.RATE
+
+
+def test_quality_sample_is_bounded_in_passages(spark, documents):
+    df = documents(*[(i, "word " * 100 * (1 + i % 3)) for i in range(40)], *[(5, "word " * 300)] * 20)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    seen = []
+    original = quality.fit
+    quality.fit = lambda x, counts, y, **a: seen.append(counts.tolist()) or original(x, counts, y, epochs=1)
+    try:
+        for most in (7, 1_000, 0):
+            quality.train(df, labels, most=most)
+    finally:
+        quality.fit = original
+    assert sum(seen[0]) <= 7 and 5 < sum(seen[0]) and len(seen) == 2
+    assert len(seen[1]) == sum(not out(i) for i in range(40))
+
+
 def test_passages_cover_whole_texts():
     texts = ["", "a" * 401, "B c!", "x" * 1_000_000]
     x, counts = quality.passages(texts)
