@@ -75,7 +75,7 @@ def main() -> None:
     )
     timed(
         "residual_spectral_norm",
-        lambda: quality.residual_spectral_norm(layout, fit.components(), K, subsample=9, rounds=2),
+        lambda: quality.residual_spectral_norm(layout, fit.components(), K, subsample=9),
     )
     layout.release()
 

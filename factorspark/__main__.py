@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("--method", choices=METHODS, default="wide")
     fit.add_argument("--max-iter", type=int, default=3)
     fit.add_argument("--tolerance", type=float, help="change of the factor, or error, to stop at")
-    fit.add_argument("--error-rate", type=float, help="share of rows for the reconstruction error")
+    fit.add_argument("--error-rate", type=float, default=1.0, help="share of rows for the reconstruction error")
     fit.add_argument("--reconstruction", action="store_true", help="measure that error in each round (noise)")
     fit.add_argument("--next-singular-value", type=float, help="for the spectral error (scored)")
     fit.add_argument("--subsample", type=int, default=10)
@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("--work", help="folder for the rounds; with --resume a fit continues there")
     fit.add_argument("--resume", action="store_true")
     fit.add_argument("--out-format", choices=writers.FORMATS, default="parquet")
-    fit.add_argument("--project", choices=BASES[:2], help="also write the rows in this basis")
+    fit.add_argument("--project", choices=BASES, help="also write the rows in this basis")
     return top
 
 
@@ -68,7 +68,25 @@ def convert(spark: SparkSession, args: argparse.Namespace) -> None:
     read(spark, args).filter("value <> 0").write.mode("overwrite").parquet(args.output)
 
 
+def refuse(args: argparse.Namespace) -> None:
+    """End on options that the method has no use for, or lacks."""
+    wrong = {
+        "--method scored needs --next-singular-value": args.method == "scored" and args.next_singular_value is None,
+        "--method scored takes no --work and no --resume": args.method == "scored" and (args.work or args.resume),
+        "--method noise takes --tolerance with --reconstruction only": args.method == "noise" and args.tolerance is not None and not args.reconstruction,
+        "--reconstruction goes with --method noise": args.reconstruction and args.method != "noise",
+        "--resume needs --work": args.resume and not args.work,
+        "--method sites needs --site-rows": args.method == "sites" and not args.site_rows,
+        "--project posterior goes with --method noise or scored": args.project == "posterior" and args.method not in ("noise", "scored"),
+        "--error-rate must lie above 0 and not above 1": not 0 < args.error_rate <= 1,
+    }
+    for said, so in wrong.items():
+        if so:
+            raise SystemExit(said)
+
+
 def fit(spark: SparkSession, args: argparse.Namespace) -> None:
+    refuse(args)
     site_rows = spark.read.parquet(args.site_rows).persist() if args.site_rows else None
     entries = bound_nonzero(read(spark, args), args.cols)
     matrix = SparseMatrix(entries, args.rows, args.cols, site_rows=site_rows)
@@ -82,8 +100,6 @@ def fit(spark: SparkSession, args: argparse.Namespace) -> None:
             matrix, params, center=args.center, folder=folder, resume=args.resume, track_change=True
         )
     elif args.method == "scored":
-        if args.next_singular_value is None:
-            raise SystemExit("--method scored needs --next-singular-value")
         result = quality.ppca_em_scored(matrix, params, args.next_singular_value, args.tolerance)
     else:
         layout = prepare(matrix, k, folder=folder)
@@ -104,9 +120,11 @@ def fit(spark: SparkSession, args: argparse.Namespace) -> None:
         app=args.method, data_set=args.data_set,
     )
     if args.project:
-        factor = spark.read.parquet(f"{args.output}/factor")
-        tables.save_projection(transform(matrix, factor, k, args.project), f"{args.output}/projection")
+        factor, means = spark.read.parquet(f"{args.output}/factor"), result.layout.stats
+        tables.save_projection(transform(matrix, factor, k, args.project, result.ss, means), f"{args.output}/projection")
     result.layout.release()
+    if site_rows is not None:
+        site_rows.unpersist()
     print(f"{result.rounds} rounds, stopped by {result.stopped_by}, noise variance {result.ss}")
 
 

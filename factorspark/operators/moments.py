@@ -14,15 +14,18 @@ from factorspark.operators.joins import lookup
 from factorspark.operators.small import products
 
 
-def col_stats(matrix: SparseMatrix) -> DataFrame:
+def col_stats(matrix: SparseMatrix, digest: bool = False) -> DataFrame:
     """Per column: stored cells, their sum, the mean over all rows and the squared
     deviation from it over all rows, empty ones included. With sites: per site and column.
+
+    `digest` adds a digest of the cells, places and values, whatever their order.
     """
     keys = ["site", "col_id"] if matrix.has_sites else ["col_id"]
     stats = matrix.checked_entries.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_nonzero"),
         F.sum("value").alias("total"),
         F.var_pop("value").alias("spread"),
+        *([F.bit_xor(F.xxhash64("row_id", "col_id", "value")).alias("digest")] if digest else []),
     )
     if matrix.has_sites:
         sites = matrix.site_rows.select("site", "n_rows")
@@ -35,7 +38,8 @@ def col_stats(matrix: SparseMatrix) -> DataFrame:
     n, stored = F.col("n_rows").cast("double"), F.col("n_nonzero").cast("double")
     mean, own = F.col("total") / n, F.col("total") / stored
     deviation = stored * F.col("spread") + stored * (own - mean) * (own - mean) + (n - stored) * mean * mean
-    return stats.select(*keys, "n_nonzero", "total", mean.alias("mean"), deviation.alias("deviation"))
+    told = ["digest"] if digest else []
+    return stats.select(*keys, "n_nonzero", "total", mean.alias("mean"), deviation.alias("deviation"), *told)
 
 
 def col_means(matrix: SparseMatrix) -> DataFrame:

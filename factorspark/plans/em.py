@@ -19,7 +19,7 @@ from factorspark.operators.moments import centered_frobenius, noise_variance
 from factorspark.operators.params import FitParams
 from factorspark.operators.small import products, to_arrays
 from factorspark.plans.layout import Layout, Shift, gram_product, prepare
-from factorspark.session import path_exists, table_done
+from factorspark.session import claim, path_exists, table_done
 
 
 @dataclass
@@ -120,27 +120,28 @@ class Loop:
         return f"{self.folder}/round={r}"
 
     def mark(self, start: DataFrame, ss: float | None) -> str:
-        """A digest of method, size, start and numbers of cells by column, whatever the order of rows.
-
-        Sums of values are left out, as their last bits change with the order of adding.
-        """
+        """A digest of method, size, start and cells, their values included, whatever the order of rows."""
         matrix = self.layout.matrix
         rows = start.select(F.xxhash64("col_id", *names("w", self.k)).cast("decimal(38,0)").alias("h"))
-        keys = [c for c in ("site", "col_id", "n_nonzero") if c in self.layout.stats.columns]
+        keys = [c for c in ("site", "col_id", "n_nonzero", "digest") if c in self.layout.stats.columns]
         cells = self.layout.stats.select(F.xxhash64(*keys).cast("decimal(38,0)").alias("h"))
         hashed = [table.agg(F.sum("h"), F.count("h")).first() for table in (rows, cells)]
         told = (self.method, self.k, matrix.n_rows, matrix.n_cols, None if ss is None else float(ss), *map(tuple, hashed))
         return hashlib.sha256(repr(told).encode()).hexdigest()[:16]
 
     def _own_folder(self, start: DataFrame, ss: float | None, resume: bool) -> str:
-        """The last attempt of the same fit if it is to be resumed, else a new one."""
+        """The last attempt of the same fit if it is to be resumed, else a new one, which no other fit can take as well."""
         spark, rounds = start.sparkSession, f"{self.layout.folder}/rounds"
         run, n = f"{rounds}/run={self.mark(start, ss)}", 0
         while path_exists(spark, f"{run}/attempt={n}"):
             n += 1
         if resume and n == 0 and path_exists(spark, rounds):
-            raise ValueError(f"nothing to resume: the rounds below {rounds} belong to fits with another method, size, start or number of cells")
-        return f"{run}/attempt={max(0, n - 1) if resume else n}"
+            raise ValueError(f"nothing to resume: the rounds below {rounds} belong to fits with another method, size, start or other cells")
+        if resume and n:
+            return f"{run}/attempt={n - 1}"
+        while not claim(spark, f"{run}/attempt={n}/owner"):
+            n += 1
+        return f"{run}/attempt={n}"
 
     def run(self, start: DataFrame, ss: float | None = None, resume: bool = False) -> Fit:
         spark, k = start.sparkSession, self.k

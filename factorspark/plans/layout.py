@@ -30,7 +30,7 @@ class Layout:
     light   (part, [site,] row_id, col_id, value), each row inside one part
     heavy   cells of rows too large for one task, or None
     needs   which columns each part refers to, kept when factors are too large to broadcast
-    stats   written table of `col_stats`
+    stats   written table of `col_stats`, with digests of the cells
     """
 
     matrix: SparseMatrix
@@ -79,7 +79,7 @@ def prepare(matrix: SparseMatrix, k: int, parts: int | None = None, folder: str
     everything = light.select(*matrix.row_keys, "col_id", "value")
     if heavy is not None:
         everything = everything.unionByName(heavy)
-    col_stats(matrix.with_entries(everything)).write.mode("overwrite").parquet(f"{folder}/col_stats")
+    col_stats(matrix.with_entries(everything), digest=True).write.mode("overwrite").parquet(f"{folder}/col_stats")
     stats = spark.read.parquet(f"{folder}/col_stats")
     return Layout(matrix, light, heavy, needs, stats, parts, n_heavy, folder)
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -76,6 +77,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(conf).exists(target)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing still to run reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, unless it is there: of several that try at once one succeeds."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(target)
+    except Py4JJavaError as failed:
+        if not failed.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
+            raise
+        return False
+
+
 def table_done(spark: SparkSession, path: str) -> bool:
     """Was the table at `path` written to the end?"""
     return path_exists(spark, f"{path}/_SUCCESS")

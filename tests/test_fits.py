@@ -1,3 +1,6 @@
+import math
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from conftest import FORMS, dense, entries_of, factor_of, matrix_of, sparse
@@ -94,6 +97,31 @@ def test_change_stops_and_resume_continues(spark, y, w):
     assert [r["round"] for r in again.metrics] == [1, 2, 3, 4]
 
 
+def test_resume_notices_other_values(spark, y, w):
+    """The same places and sums of values, but two cells of a column changed about."""
+    folder, start = new_dir(spark, "values"), factor_of(spark, w)
+    other = y.copy()
+    i, j = np.flatnonzero(y[:, 3])[:2]
+    assert y[i, 3] + 1 != y[j, 3]
+    other[i, 3], other[j, 3] = y[i, 3] + 1, y[j, 3] - 1
+    fits = lambda x, **a: em.ppca_em_wide(
+        m := matrix_of(spark, x), FitParams(K, max_rounds=2), init=start, layout=prepare(m, K, folder=folder), **a)
+    first = dense(fits(y).factor, D, "w")
+    assert np.array_equal(dense(fits(y, resume=True).factor, D, "w"), first)
+    with pytest.raises(ValueError, match="other cells"):
+        fits(other, resume=True)
+    assert np.allclose(dense(fits(other).factor, D, "w"), wide(other, w, 2)) and not np.allclose(first, wide(other, w, 2))
+
+
+def test_two_fits_at_once_do_not_meet(spark, y, w):
+    m, start = matrix_of(spark, y), factor_of(spark, w)
+    layout = prepare(m, K, folder=new_dir(spark, "both"))
+    loops = [em.Loop(layout, K, em.wide_update, max_rounds=1) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        folders = list(pool.map(lambda x: x._own_folder(start, None, False), loops))
+    assert len(set(folders)) == 4
+
+
 def test_resume_continues_its_own_rounds_only(spark, y, w):
     m, start, other = matrix_of(spark, y), factor_of(spark, w), factor_of(spark, w + 1)
     layout = prepare(m, K, folder=new_dir(spark, "two-fits"))
@@ -251,19 +279,37 @@ def test_residual_norm_is_the_spectral_norm(spark, y, w, form):
     u = dense(fit.components(), D, "u")
     yc = y - y.mean(axis=0)
     want = np.linalg.norm(yc - yc @ u @ u.T, 2)
-    norm, course = quality.residual_spectral_norm(layout, fit.components(), K, subsample=8, rounds=6)
-    assert abs(norm - want) < 1e-4 and course[-2:] == [norm, norm]
+    norm, bound, converged, course = quality.residual_spectral_norm(layout, fit.components(), K, subsample=8, rounds=6)
+    assert abs(norm - want) <= 1e-6 * want and converged and course[-1] == norm and bound <= 1e-7 * norm
     assert np.isclose(quality.relative_spectral_error(norm, 2.0), (norm - 2.0) / 2.0)
 
 
-def test_residual_norm_runs_until_it_repeats(spark, y, w):
+def test_residual_norm_runs_until_it_is_near_enough(spark, y, w):
     m = matrix_of(spark, y)
     layout = prepare(m, D)
     basis = em.ppca_em_wide(m, FitParams(K, max_rounds=1), init=factor_of(spark, w), layout=layout).components()
-    norm, course = quality.residual_spectral_norm(layout, basis, K, subsample=3)
-    assert len(course) > 3 and abs(course[-1] - course[-2]) <= 1e-10 * norm and norm == course[-1]
-    with pytest.warns(UserWarning, match="not settled after 2 rounds"):
-        assert quality.residual_spectral_norm(layout, basis, K, subsample=3, rounds=2)[1] == course[:2]
+    u, yc = dense(basis, D, "u"), y - y.mean(axis=0)
+    want = np.linalg.norm(yc - yc @ u @ u.T, 2)
+    found = quality.residual_spectral_norm(layout, basis, K, subsample=1)
+    assert len(found.course) > 2 and found.converged and abs(found.norm - want) <= 1e-6 * want
+    # Each value is below the norm and below the next one.
+    assert all(a <= b * (1 + 1e-12) <= want * (1 + 1e-9) for a, b in zip(found.course, found.course[1:]))
+    with pytest.warns(UserWarning, match="after 2 rounds"):
+        early = quality.residual_spectral_norm(layout, basis, K, subsample=1, rounds=2)
+    assert not early.converged and early.course == found.course[:2] and early.norm <= want <= early.norm + 3 * early.bound
+
+
+def test_residual_norm_when_nothing_is_left(spark):
+    """A matrix of rank one, whose only component is the basis; and one whose blocks soon hold all there is."""
+    x = np.outer(np.arange(9.0), [1.0, 2.0, 3.0, 4.0])
+    m = matrix_of(spark, x)
+    v = np.array([[1.0], [2.0], [3.0], [4.0]]) / math.sqrt(30)
+    layout = prepare(m, 4)
+    assert quality.residual_spectral_norm(layout, factor_of(spark, v, "u"), 1).norm < 1e-6
+    other = np.array([[1.0], [0.0], [0.0], [0.0]])
+    want = np.linalg.norm((x - x.mean(axis=0)) @ (np.eye(4) - other @ other.T), 2)
+    found = quality.residual_spectral_norm(layout, factor_of(spark, other, "u"), 1, subsample=0)
+    assert found.converged and np.isclose(found.norm, want)
 
 
 def test_scored_fit_stops_on_the_error(spark, y):

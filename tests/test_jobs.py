@@ -31,12 +31,23 @@ def test_convert_and_fit(spark, y, capsys):
     rounds = spark.read.parquet(f"{path}/wide/metrics")
     assert rounds.count() > 1 and rounds.filter("dw is null").isEmpty()
 
-    main(["fit", *common, "--method", "noise", "--max-iter", "2", "--reconstruction", "--output", f"{path}/noise"])
+    main(["fit", *common, "--method", "noise", "--max-iter", "2", "--reconstruction", "--output", f"{path}/noise", "--project", "posterior"])
     errors = [r["error"] for r in spark.read.parquet(f"{path}/noise/metrics").orderBy("round").collect()]
     assert len(errors) == 2 and all(0 < e < 2 for e in errors)
     assert "noise variance" in capsys.readouterr().out
+    c, ss = dense(spark.read.parquet(f"{path}/noise/factor"), 8, "w"), spark.read.parquet(f"{path}/noise/metrics").orderBy("round").collect()[-1]["ss"]
+    x = dense(spark.read.parquet(f"{path}/noise/projection"), 20, "x", "row_id")
+    some = sorted(set(np.nonzero(y)[0]))
+    assert np.allclose(x[some], ((y - y.mean(axis=0)) @ c @ np.linalg.inv(c.T @ c + ss * np.eye(2)))[some])
+
+
+@pytest.mark.parametrize("options", [
+    "--method scored", "--method scored --next-singular-value 1 --resume --work x", "--method noise --tolerance 0.1", "--reconstruction",
+    "--resume", "--method sites", "--project posterior", "--method noise --reconstruction --error-rate 0", "--error-rate 2",
+])
+def test_options_without_effect_are_refused(spark, options):
     with pytest.raises(SystemExit):
-        main(["fit", *common, "--method", "scored", "--output", path])
+        main(["fit", "--rows", "20", "--cols", "8", "--pcs", "2", "--input", "none", "--output", "none", *options.split()])
 
 
 def test_sites_job(spark, y):

@@ -456,7 +456,7 @@ def ppca_em_scored(spark, sf_dir):
     m = orders_suppliers(spark, sf_dir)
     layout = prepare(m, 16)
     best = em.ppca_em_wide(m, FitParams(K, max_rounds=4), layout=layout)
-    sigma, _ = quality.residual_spectral_norm(layout, best.components(), K)
+    sigma = quality.residual_spectral_norm(layout, best.components(), K).norm
     fit = quality.ppca_em_scored(m, FitParams(K, max_rounds=2), sigma, layout=layout)
     rows = [(r["round"], r["ss"], r["error"]) for r in fit.metrics]
     return spark.createDataFrame(rows, "round int, ss double, error double")
@@ -486,8 +486,9 @@ def residual_spectral_norm(spark, sf_dir):
     m = orders_suppliers(spark, sf_dir)
     layout = prepare(m, 16)
     fit = em.ppca_em_wide(m, FitParams(K, max_rounds=3), layout=layout)
-    norm, course = quality.residual_spectral_norm(layout, fit.components(), K)
-    return spark.createDataFrame([(norm, len(course))], "norm double, rounds int")
+    found = quality.residual_spectral_norm(layout, fit.components(), K)
+    row = (found.norm, found.bound, found.converged, len(found.course))
+    return spark.createDataFrame([row], "norm double, bound double, converged boolean, rounds int")
 
 
 def relative_spectral_error(spark, sf_dir):
@@ -497,7 +498,7 @@ def relative_spectral_error(spark, sf_dir):
     norms = []
     for r in (1, 4):
         fit = em.ppca_em_wide(m, FitParams(K, max_rounds=r), layout=layout)
-        norms.append(quality.residual_spectral_norm(layout, fit.components(), K)[0])
+        norms.append(quality.residual_spectral_norm(layout, fit.components(), K).norm)
     return spark.createDataFrame([(quality.relative_spectral_error(*norms),)], "error double")
 
 
