@@ -37,6 +37,8 @@ from factorspark.llm.common import discard, small_batches, table, written
 LENGTH, GRAM = 50, 16
 #: Bytes of different texts in a shard; anchors and runs in a range of hashes.
 SHARD_BYTES, RANGE = 1 << 20, 250_000
+#: Strings that are merged at a time.
+AT_ONCE = 1 << 17
 NOBODY = np.iinfo("int64").max  # stands for the id of documents without one, which are marked: "-"
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -521,24 +523,32 @@ def remove_repeats(
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         """Whether another shard's id of a string is smaller: each list is looked up in the merged one by binary search."""
-        lists, sorted_lists = [], []
+        lists = []
         for text, counts, least in zip(group["text"], group["counts"], group["least"]):
             counts = np.frombuffer(counts, "int32").astype("int64")
             begin = np.cumsum(counts + length - 1) - (counts + length - 1)
-            at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            strings, own = rows_of_words(words_at(_unpacked(text)), at, length), np.repeat(np.frombuffer(least, "i8"), counts)
-            lists.append((strings, own))
-            # A shard sends each string once.
-            order = np.lexsort(strings.T[::-1])
-            sorted_lists.append((strings[order], own[order]))
-        while len(sorted_lists) > 1:
-            pairs = list(zip(sorted_lists[::2], sorted_lists[1::2]))
-            sorted_lists = [merged(a, b) for a, b in pairs] + sorted_lists[2 * len(pairs) :]
-        every, least = sorted_lists[0]
-        out = []
-        for own, first, (strings, mine) in zip(group["shard"], group["first"], lists):
-            place, _ = find(every, strings)
-            out.append((own, first, len(mine), np.packbits(least[place] < mine).tobytes()))
+            at = (np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())).astype("int32")
+            lists.append((words_at(_unpacked(text)), at, np.repeat(np.frombuffer(least, "i8"), counts), np.zeros(len(at), bool)))
+        # Some strings at a time, the same of all shards: those whose first bytes fall into one of so many classes.
+        classes = max(1, -(-sum(len(at) for _, at, *_ in lists) // AT_ONCE))
+        kinds = [(_mix(words[at]) % np.uint64(classes)).astype("int32") for words, at, *_ in lists]
+        for kind in range(classes):
+            some = []
+            for (words, at, least, _), own in zip(lists, kinds):
+                here = np.flatnonzero(own == kind)
+                strings = rows_of_words(words, at[here], length)
+                # A shard sends each string once.
+                order = np.lexsort(strings.T[::-1])
+                some.append((here[order], strings[order], least[here[order]]))
+            every = [(strings, least) for _, strings, least in some if len(strings)]
+            while len(every) > 1:
+                pairs = list(zip(every[::2], every[1::2]))
+                every = [merged(a, b) for a, b in pairs] + every[2 * len(pairs) :]
+            for (*_, smaller), (here, strings, mine) in zip(lists, some):
+                if len(strings):
+                    place, _ = find(every[0][0], strings)
+                    smaller[here] = every[0][1][place] < mine
+        out = [(own, first, len(x[3]), np.packbits(x[3]).tobytes()) for own, first, x in zip(group["shard"], group["first"], lists)]
         return _rows(["shard", "first", "n", "smaller"], out)
 
     dealt = waiting.select("shard", F.explode("stretches").alias("x")).select("shard", "x.*")

@@ -143,6 +143,14 @@ def test_merging_by_binary_search():
     assert not s.find(every[0], tables[0][0] + np.uint64(1 << 40))[1].any()
 
 
+def test_strings_merged_some_at_a_time(documents, monkeypatch):
+    monkeypatch.setattr(s, "AT_ONCE", 40)
+    rng = random.Random(11)
+    shared = ["".join(rng.choices("abcdef", k=120)) for _ in range(6)]
+    rows = [(i, "".join(rng.choices("ghi", k=60)) + rng.choice(shared) + rng.choice(shared)) for i in range(40)]
+    assert got(s.remove_repeats(documents(*rows), shard_bytes=600)) == brute(rows)
+
+
 def test_long_texts_are_dealt_in_stretches(documents):
     rng = random.Random(9)
     text = lambda n: "".join(rng.choices("abcdefé", k=n))
