@@ -36,7 +36,9 @@ BLOCK = frozenset(
 )
 SECTION = frozenset("article aside footer form header main nav section table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select object xmp noembed noframes".split())
+RAW = frozenset("button script style textarea title noscript template iframe svg select object xmp noembed noframes".split())
+#: What of these holds no markup that counts.
+NO_MARKUP = frozenset("script style textarea title template iframe xmp noembed noframes".split())
 IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 _CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -62,6 +64,28 @@ class _Open:
     main: bool = False
 
 
+def start_tags(page: str, wanted: frozenset[str]) -> Iterator[tuple[str, str]]:
+    """(name, attributes) of the start tags with these names, in order, but not of those in comments, scripts, templates and the like,
+    nor in the attributes of others."""
+    at, unended = 0, set()
+    last = page.rfind(">")
+    while at <= last and (m := _TOKEN.search(page, at)):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if not tag or m[1]:
+            continue
+        if tag in wanted:
+            yield tag, m[3] or ""
+        if tag in NO_MARKUP and not m[3].endswith("/") and tag not in unended:
+            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if stop:
+                at = stop.end()
+            elif tag == "script":
+                return
+            else:
+                unended.add(tag)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks with text, in page order; character references decoded, white space joined. Unclosed and stray tags are mended
     the usual way: a paragraph ends where a block begins, an end tag closes what is open inside its element, the head ends at what
@@ -79,7 +103,7 @@ def leaf_blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 words = frozenset().union(*(o.words for o in stack)) if stack else frozenset()
-                out.append(Block(text, linked, tuple(o.tag for o in stack), words, int(any(o.main for o in stack))))
+                out.append(Block(text, linked, tuple(o.tag for o in stack if o.tag != MARK), words, int(any(o.main for o in stack))))
             parts.clear()
         linked = 0
 
@@ -112,7 +136,7 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in BLOCK:
+            if tag in BLOCK or tag == MARK:
                 flush()
             close((tag,), () if tag not in ("p", "li") else ("article", "main", "body"))
             continue

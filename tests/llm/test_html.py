@@ -31,6 +31,61 @@ def test_page(model):
     ]
 
 
+ARTICLE = "<article><h1>A title of it</h1><p>First paragraph, long enough to be read by anyone.</p><p>Second paragraph, which is longer still.</p></article>"
+TEXT = ["A title of it", "First paragraph, long enough to be read by anyone.", "Second paragraph, which is longer still."]
+
+
+@pytest.mark.parametrize("after", [
+    '<div class="replies"><p>Great read, thank you for sharing this with us all.</p></div>',
+    '<div class="responses"><h3>3 responses</h3><div class="response"><p>I do not agree with any of this, sorry.</p></div></div>',
+    '<section id="discussion"><p>What do the others think about it?</p><p>Nothing, as far as I know.</p></section>',
+    '<ul class="comments-area"><li><p>Nice article, thanks a lot for it.</p></li></ul>',
+    '<div class="share-buttons"><a href="/x">Share</a> <a href="/y">Send</a></div>',
+    '<div class="cookies"><p>We use cookies to make this better for you.</p></div>',
+])
+def test_company_that_no_generator_made(model, after):
+    assert h.main_text(model, f"<html><head><title>t</title></head><body>{ARTICLE}{after}</body></html>").split("\n\n") == TEXT
+    assert h.main_text(model, f"<body>{after}{ARTICLE}<footer>&copy; us</footer>").split("\n\n") == TEXT
+
+
+def test_buttons_inside_an_article(model):
+    page = ARTICLE.replace("</h1>", "</h1><button>Share</button>").replace("by anyone.</p>", "by anyone.<button class=x>Like it</button></p>")
+    assert h.main_text(model, page).split("\n\n") == TEXT
+
+
+@pytest.mark.parametrize("page", [
+    "<p>A page that is one bare paragraph of text, and nothing else.</p>", "A page that is one bare paragraph of text, and nothing else.",
+    "<html><body><p>A page that is one bare paragraph of text, and nothing else.</p></body></html>",
+    "<body>A page that is one bare paragraph of text, and nothing else.", "<div>A page that is one bare paragraph of text, and nothing else.</div>",
+])
+def test_bare_pages(model, page):
+    assert h.main_text(model, page) == "A page that is one bare paragraph of text, and nothing else."
+
+
+def test_forward_backward_gives_the_gradient():
+    """One step of training against differences of the likelihood, by adding up all labellings."""
+    pages = [p for p in labelled_pages(60) if 2 <= len(h.leaf_blocks(p)) <= 6][:3]
+    rows = [h.leaf_blocks(p) for p in pages]
+    names = sorted({f for b in rows for x in b for f in h.features(x)})
+
+    def loss(theta):
+        w, steps, first = dict(zip(names, theta)), theta[-6:-2].reshape(2, 2), theta[-2:]
+        total = 0.0
+        for blocks in rows:
+            own = [sum(w[f] for f in h.features(b)) for b in blocks]
+            value = lambda y: first[y[0]] + sum(a * b for a, b in zip(own, y)) + sum(steps[a, b] for a, b in zip(y, y[1:]))
+            every = [value(y) for y in itertools.product([0, 1], repeat=len(blocks))]
+            total += np.logaddexp.reduce(every) - value([b.label for b in blocks])
+        return total / len(rows) + 1e-4 * (theta**2).sum() / 2
+
+    theta = np.zeros(len(names) + 6)
+    grad = np.array([(loss(theta + e) - loss(theta - e)) / 2e-5 for e in np.eye(len(theta)) * 1e-5])
+    model = h.train(pages, epochs=1, rate=0.2)
+    got = np.array([model.weights[f] for f in names] + [x for row in model.steps for x in row] + list(model.first))
+    clear = np.abs(grad) > 1e-6
+    assert np.allclose(got[clear], -0.2 * np.sign(grad[clear]), atol=1e-3) and clear.sum() > 10
+
+
 BODY = "<article><h1>A title</h1><p>First paragraph, long enough to be read by anyone.</p><p>Second one.</p></article>"
 
 
