@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from factorspark.llm.common import small_batches, table, texts_of, written
 from factorspark.llm.graph import components
+from factorspark.llm.html_crf import NO_MARKUP, start_tags
 
 
 @dataclass(frozen=True)
@@ -35,8 +36,7 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-# Tags and their attributes as in html_crf; quotes may hold `>`.
-_TAG = re.compile(r"""<(link|meta|base)\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:["'][^>]+)?)>""", re.I)
+_NAMING = frozenset(("link", "meta", "base"))
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _URL_IN_REFRESH = re.compile(r"""^[\s\d.]*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
 # RFC 3986, appendix B.
@@ -108,13 +108,13 @@ def resolved(base: str, reference: str) -> str | None:
 
 
 def targets_of(url: str, html_text: str) -> list[str]:
-    """What the page's canonical links and refreshes name, all of them, against the page's `base` if it has one."""
+    """What the page's canonical links and refreshes name, all of them, against the page's `base` if it has one. Comments, scripts,
+    templates and the attributes of other tags name nothing."""
     base, found = None, []
-    for tag, inside in _TAG.findall(html_text):
+    for tag, inside in start_tags(html_text, _NAMING):
         given: dict[str, str] = {}
         for name, *values in _ATTRIBUTE.findall(inside):
             given.setdefault(name.lower(), html.unescape("".join(values)))
-        tag = tag.lower()
         if tag == "base" and base is None and "href" in given:
             base = resolved(url, given["href"].strip(_BLANK))
         if tag == "link" and "canonical" in given.get("rel", "").lower().split():
@@ -179,7 +179,8 @@ def op2_url_filter(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql(rules: tuple[Rule, ...] = RULES) -> str:
-    """The same in DuckDB, but for references that are relative to a path, hold character references or are not the first of their page; components by a recursive set of reachable nodes, which suits small tables only."""
+    """The same in DuckDB, but for dot segments, `base` and character references other than `&amp;`; components by a recursive set of
+    reachable nodes, which suits small tables only."""
     order = sorted(range(len(rules)), key=lambda i: (-len(rules[i].host + rules[i].path), i))
     fits = [
         f"WHEN (host = '{rules[i].host}' OR ends_with(host, '.{rules[i].host}')) AND starts_with(path, '{rules[i].path}')"
@@ -194,12 +195,18 @@ def _sql(rules: tuple[Rule, ...] = RULES) -> str:
         "CASE WHEN contains(href, '://') THEN href"
         " WHEN starts_with(href, '//') THEN regexp_extract(url, '^[^:/?#]*', 0) || ':' || href"
         " WHEN starts_with(href, '/') THEN regexp_extract(url, '^[^:/?#]*', 0) || '://' || "
-        + host.format(u="url") + " || href END"
+        + host.format(u="url") + " || href"
+        " WHEN starts_with(href, '?') THEN regexp_extract(url, '^[^?#]*', 0) || href"
+        " WHEN href <> '' AND NOT starts_with(href, '#') AND NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN"
+        " regexp_extract(url, '^[^:/?#]*', 0) || '://' || " + host.format(u="url") + " || coalesce(nullif(regexp_extract("
+        + rest.format(u="url") + ", '^[^/?#]*([^?#]*/)', 1), ''), '/') || href END"
     )
-    tag = {"canonical": r"<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*>", "refresh": r"<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*>"}
+    hidden = "|".join(["<!--.*?(?:-->|$)", *(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in sorted(NO_MARKUP)), r"<script\b[^>]*>.*$"])
+    clean = f"regexp_replace(html, '{hidden}', '', 'gis')"
+    tag = {"canonical": r"<link\b[^>]*\brel\s*=\s*(?:[\"''][^\"''>]*)?\bcanonical\b[^>]*>", "refresh": r"<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*>"}
     value = {"canonical": r"\bhref\s*=\s*[\"'']?([^\"''\s>]+)", "refresh": r"\burl\s*=\s*[\"'']?([^\"''\s>]+)"}
     hrefs = " UNION ALL ".join(
-        f"SELECT url, regexp_extract(regexp_extract(html, '{tag[k]}', 0, 'is'), '{value[k]}', 1, 'is') AS href FROM pages"
+        f"SELECT url, replace(regexp_extract(unnest(regexp_extract_all({clean}, '{tag[k]}', 0, 'is')), '{value[k]}', 1, 'is'), '&amp;', '&') AS href FROM pages"
         for k in tag
     )
     return f"""

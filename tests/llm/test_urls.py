@@ -81,6 +81,19 @@ def test_aliases_take_the_block(spark, url, html, target):
     assert {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(pages, SCHEMA), rules).collect()}[1] == "block"
 
 
+LINK = '<link rel=canonical href="http://b.com/y">'
+
+
+@pytest.mark.parametrize("html", [
+    f"<!-- {LINK} -->", f"<script>var x = '{LINK}';</script>", f"<template>{LINK}</template>", f"<title>{LINK}</title>", f"<style>{LINK}</style>",
+    f"<textarea>{LINK}</textarea>", f"<p title='{LINK}'>", f"<script>{LINK}", f"<!-- {LINK}", "<link rel=canonical>", "<linkx rel=canonical href=http://b.com/y>",
+])
+def test_what_names_no_alias(html):
+    assert urls.targets_of("http://a.com/x", html) == []
+    assert urls.targets_of("http://a.com/x", html.replace("<script>", "<p>") + ("-->" if "<!--" in html else "</script>") + LINK) in (
+        ["http://b.com/y"], ["http://b.com/y"] * 2)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert urls.judge_urls(df).count() == 0
@@ -89,8 +102,18 @@ def test_empty_tables(spark):
 
 
 def test_sql_on_fixture_and_tables(spark, tmp_path):
-    spark.createDataFrame(PAGES, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "w"))
-    next((tmp_path / "w").glob("part-*")).rename(tmp_path / "pages.parquet")
+    link = lambda host: f'<link rel="x canonical" href="http://{host}/de/">'
+    more = [
+        (20, "http://h.net/1", f"<!-- {link('e.com')} --><title>{link('e.com')}</title><p>"), (21, "http://h.net/2", f"<script>'{link('e.com')}'</script>"),
+        (22, "http://h.net/3", f"{link('i.net')}{link('e.com')}"), (23, "http://e.com/de/x", "<link rel=canonical href=y>"), (24, "http://e.com/de/y", None),
+        (25, "http://h.net/a/b", '<link rel=canonical href="c">'), (26, "http://h.net/a/c", link("e.com")), (27, "http://h.net/?q", "<link rel=canonical href='?r&amp;s'>"),
+        (28, "http://h.net/?r&s", link("e.com")), (29, "http://h.net/4", f"<script>{link('e.com')}"), (30, "http://h.net/5", "<link rel=canonical href='mailto:x'>"),
+    ]
+    rows = spark.createDataFrame(PAGES + more, SCHEMA)
+    verdicts = {r.page_id: r.verdict for r in urls.judge_urls(rows).collect()}
+    assert [verdicts[i] for i in (20, 21, 22, 25, 27, 29, 30)] == ["allow", "allow", "block", "block", "block", "allow", "allow"]
+    rows.coalesce(1).write.parquet(str(tmp_path / "more"))
+    next((tmp_path / "more").glob("part-*")).rename(tmp_path / "pages.parquet")
     assert compare(spark, connect(str(tmp_path)), str(tmp_path), "op2_url_filter").startswith("ok")
     sf_dir = "/root/testdata/sf0.001"
     assert compare(spark, connect(sf_dir), sf_dir, "op2_url_filter").startswith("ok")
