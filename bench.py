@@ -73,6 +73,10 @@ def main() -> None:
     timed(
         "reconstruction_error", lambda: quality.reconstruction_error(matrix, encode, fit.factor, means, K)
     )
+    timed(
+        "reconstruction_interval_2_percent",
+        lambda: quality.reconstruction_interval(matrix, encode, fit.factor, means, K, width=0.02),
+    )
     timed(
         "residual_spectral_norm",
         lambda: quality.residual_spectral_norm(layout, fit.components(), K, subsample=9),

@@ -8,6 +8,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.linalg import Vectors
 
 from factorspark import FitParams, SparseMatrix
+from factorspark.operators import moments
 from factorspark.operators.accumulate import PARTIALS_SCHEMA
 from factorspark.operators.factors import VALIDATION_FACTOR, VALIDATION_SS
 from factorspark.plans import em, quality, sites
@@ -254,6 +255,23 @@ def test_reconstruction_error(spark, y, w, tile, form, monkeypatch):
         assert np.allclose([sums[c] for c in range(D)], np.abs(err[sorted(taken)]).sum(axis=0))
 
 
+def test_error_interval_holds_the_exact_error(spark):
+    rng = np.random.default_rng(12)
+    n, d = 400, 9
+    x = rng.integers(1, 9, (n, d)) * (rng.random((n, d)) < 0.1)
+    x[:, 4] *= rng.random(n) < 0.5
+    yc = x - x.mean(axis=0)
+    c = np.linalg.svd(yc, full_matrices=False)[2][:2].T
+    want = np.abs(yc @ c @ c.T - yc).sum(axis=0).max() / np.abs(yc).sum(axis=0).max()
+    m = matrix_of(spark, x.astype(float))
+    args = m, factor_of(spark, c), factor_of(spark, c), moments.col_means(m), 2
+    exact = quality.reconstruction_interval(*args, width=0.0)
+    assert exact.rows == n and all(np.isclose(v, want) for v in exact[:3]) and np.isclose(quality.reconstruction_error(*args), want)
+    held = [quality.reconstruction_interval(*args, width=0.3, rows=64, seed=seed) for seed in range(8)]
+    assert sum(e.low <= want <= e.high for e in held) >= 7
+    assert all(e.high - e.low <= 0.3 and e.rows < n for e in held)
+
+
 def test_fit_stops_on_the_reconstruction_error(spark, y, w):
     m, start = matrix_of(spark, y), factor_of(spark, w)
     yc = y - y.mean(axis=0)

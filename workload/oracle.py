@@ -223,10 +223,12 @@ FROM orders LEFT JOIN cells ON o_orderkey = row_id GROUP BY o_orderkey""",
     "write_coo_text": f"""{with_(CELLS)}
 SELECT row_id || ',' || col_id || ',' || CAST(value AS VARCHAR) AS value FROM cells WHERE value <> 0""",
     "save_result": wide_cells() + " WHERE value <> 0",
-    "save_factor": f"""{with_(start(), DIMS)}
+    "save_factor": f"""{with_(*WIDE_1)}
 SELECT col_id, CAST(((col_id + 1) * 4 + CAST(d AS BIGINT) - 1) // CAST(d AS BIGINT) AS INTEGER) AS block,
-  {r('w_0', 9)}, {r('w_1', 9)} FROM f0 CROSS JOIN dims""",
-    "load_factor": f"{with_(start())}\nSELECT col_id, {r('w_0', 9)}, {r('w_1', 9)} FROM f0",
+  {W} FROM f1 CROSS JOIN dims""",
+    "load_factor": f"{with_(*WIDE_1)}\nSELECT col_id, {W} FROM f1",
+    "load_factor_block": f"""{with_(*WIDE_1)}
+SELECT col_id, {W} FROM f1 CROSS JOIN dims WHERE ((col_id + 1) * 4 + CAST(d AS BIGINT) - 1) // CAST(d AS BIGINT) = 2""",
     "write_partials": f"""{with_(*SITES_1, SITE_KINDS)}
 SELECT CAST(0 AS INTEGER) AS round, site, kind, CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, {r('value', 3)} FROM sent
 UNION ALL
@@ -276,10 +278,10 @@ SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {r('value', 2)} FROM (
   SELECT 0 AS i, 0 AS j, g00 AS value FROM g0 UNION ALL SELECT 0, 1, g01 FROM g0
   UNION ALL SELECT 1, 0, g01 FROM g0 UNION ALL SELECT 1, 1, g11 FROM g0)""",
     "cross_moment": f"{with_(*FIRST)}\nSELECT col_id, {r('p_0', 4, 'm_0')}, {r('p_1', 4, 'm_1')} FROM p0",
-    "factor_gramian": f"""{with_(start(), squares(0))}
-SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {r('value')} FROM (
-  SELECT 0 AS i, 0 AS j, m00 AS value FROM m0 UNION ALL SELECT 0, 1, m01 FROM m0
-  UNION ALL SELECT 1, 0, m01 FROM m0 UNION ALL SELECT 1, 1, m11 FROM m0)""",
+    "factor_gramian": f"""{with_(*WIDE_1, squares(1))}
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {r('value', 4)} FROM (
+  SELECT 0 AS i, 0 AS j, m00 AS value FROM m1 UNION ALL SELECT 0, 1, m01 FROM m1
+  UNION ALL SELECT 1, 0, m01 FROM m1 UNION ALL SELECT 1, 1, m11 FROM m1)""",
     "noise_variance": f"{with_(*NOISE_1)}\nSELECT {r('ss', 7)} FROM q1",
     "error_norms": f"""{with_(*POSTERIOR, DENSE.format(f='f0'), ERROR_NORMS)}
 SELECT {r('max(error)', 4, 'error_norm')}, {r('max(norm)', 4, 'data_norm')}, {r('max(error) / max(norm)', 4, 'ratio')}
@@ -294,10 +296,10 @@ FROM (SELECT max(greatest(abs(f0.w_0 - f1.w_0), abs(f0.w_1 - f1.w_1))) AS max_ch
 SELECT n_rows_stored, n_nonzero, {r('CAST(n_nonzero AS DOUBLE) / n_rows_stored', 8, 'avg_per_row')},
   {r('n_nonzero / (n * d)', 8, 'density')}
 FROM (SELECT count(DISTINCT row_id) AS n_rows_stored, count(*) AS n_nonzero FROM cells) CROSS JOIN dims""",
-    "right_multiply": f"""{with_(start())}
-SELECT col_id, {r('2e0 * w_0 + 5e-1 * w_1', 9, 'w_0')}, {r('3e0 * w_1 - w_0', 9, 'w_1')} FROM f0""",
-    "posterior_map": f"""{with_(start(), squares(0), Q0, posterior(0, 'q0'))}
-SELECT col_id, {r('w_0 * x00 + w_1 * x01', 10, 'w_0')}, {r('w_0 * x01 + w_1 * x11', 10, 'w_1')} FROM f0 CROSS JOIN sx0""",
+    "right_multiply": f"""{with_(*WIDE_1)}
+SELECT col_id, {r('2e0 * w_0 + 5e-1 * w_1', 6, 'w_0')}, {r('3e0 * w_1 - w_0', 6, 'w_1')} FROM f1""",
+    "posterior_map": f"""{with_(*WIDE_1, squares(1), Q0, posterior(1, 'q0'))}
+SELECT col_id, {r('w_0 * x00 + w_1 * x01', 7, 'w_0')}, {r('w_0 * x01 + w_1 * x11', 7, 'w_1')} FROM f1 CROSS JOIN sx1""",
     "init_factor": f"""SELECT p_partkey AS col_id, {r(drawn('p_partkey', 10), 9, 'w_0')}, {r(drawn('p_partkey', 11), 9, 'w_1')},
   {r(rule(0), 9, 'f_0')}, {r(rule(1), 9, 'f_1')} FROM part""",
     "init_validation": f"""WITH w(col_id, w_0, w_1, w_2) AS (VALUES {VALIDATION}),
@@ -305,9 +307,10 @@ counts AS (SELECT o_custkey AS row_id, CAST(substring(o_orderpriority, 1, 1) AS
   CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1, 2)
 SELECT row_id, {r('sum(value * w_0)', 9, 'x_0')}, {r('sum(value * w_1)', 9, 'x_1')}, {r('sum(value * w_2)', 9, 'x_2')}
 FROM counts JOIN w USING (col_id) GROUP BY row_id""",
-    "deflate": f"""{with_(start(3), squares(0), 'b AS (SELECT sum(w_0 * w_2) AS b0, sum(w_1 * w_2) AS b1 FROM f0)')}
-SELECT col_id, {r('w_2 - (w_0 * (m11 * b0 - m01 * b1) + w_1 * (m00 * b1 - m01 * b0)) / (m00 * m11 - m01 * m01)', 8, 'w_0')}
-FROM f0 CROSS JOIN m0 CROSS JOIN b""",
+    "deflate": f"""{with_(*WIDE_1, squares(1), f'z AS (SELECT p_partkey AS col_id, {rule(2)} AS w_2 FROM part)',
+  'b AS (SELECT sum(w_0 * w_2) AS b0, sum(w_1 * w_2) AS b1 FROM f1 JOIN z USING (col_id))')}
+SELECT col_id, {r('w_2 - (w_0 * (m11 * b0 - m01 * b1) + w_1 * (m00 * b1 - m01 * b0)) / (m00 * m11 - m01 * m01)', 7, 'w_0')}
+FROM f1 JOIN z USING (col_id) CROSS JOIN m1 CROSS JOIN b""",
     "tall_orthonormalize": f"""{with_(*FIRST)}
 SELECT col_id, {r('p_0 / sqrt(g00)', 6, 'w_0')},
   {r('(p_1 - p_0 * g01 / g00) / sqrt(g11 - g01 * g01 / g00)', 6, 'w_1')} FROM p0 CROSS JOIN g0""",
@@ -318,6 +321,8 @@ SELECT col_id, {r('p_0 / sqrt(g00)', 6, 'w_0')},
     "ppca_em_sites_exchange": f"{with_(*SITES_2)}\nSELECT col_id, {W} FROM f2",
     "reconstruction_error": f"""{with_(*NOISE_1, DENSE.format(f='f1'), ERROR_NORMS)}
 SELECT {r('max(error) / max(norm)', 7, 'ratio')} FROM norm_sums""",
+    "reconstruction_interval": f"""{with_(*NOISE_1, DENSE.format(f='f1'), ERROR_NORMS)}
+SELECT {r('max(error) / max(norm)', 7, 'ratio')}, CAST(0 AS DOUBLE) AS width, (SELECT count(*) FROM orders) AS n_rows FROM norm_sums""",
     "transform": f"""{with_(*WIDE_1)}
 SELECT row_id, {r('sum(value * w_0)', 6, 'x_0')}, {r('sum(value * w_1)', 6, 'x_1')}
 FROM cells JOIN f1 USING (col_id) GROUP BY row_id""",
@@ -327,22 +332,27 @@ FROM x0 CROSS JOIN s0 CROSS JOIN sx0""",
 }
 
 # Eigenvectors of W'W, largest first; the entry of largest size in each column is positive.
-BASIS = [
-    start(),
-    squares(0),
-    "l AS (SELECT *, sqrt((m00 - m11) * (m00 - m11) + 4 * m01 * m01) AS gap FROM m0)",
-    "e AS (SELECT *, (m00 + m11 + gap) / 2 AS l0, (m00 + m11 - gap) / 2 AS l1 FROM l)",
-    """v AS (SELECT m01 / sqrt(l0 * (m01 * m01 + (l0 - m00) * (l0 - m00))) AS a0,
+def basis(f: int, *before: str) -> list[str]:
+    """u, the basis of the factor f{f}."""
+    return [
+        *before,
+        squares(f),
+        f"l AS (SELECT *, sqrt((m00 - m11) * (m00 - m11) + 4 * m01 * m01) AS gap FROM m{f})",
+        "e AS (SELECT *, (m00 + m11 + gap) / 2 AS l0, (m00 + m11 - gap) / 2 AS l1 FROM l)",
+        """v AS (SELECT m01 / sqrt(l0 * (m01 * m01 + (l0 - m00) * (l0 - m00))) AS a0,
     (l0 - m00) / sqrt(l0 * (m01 * m01 + (l0 - m00) * (l0 - m00))) AS b0,
-    m01 / sqrt(l1 * (m01 * m01 + (l1 - m00) * (l1 - m00))) AS a1,
+        m01 / sqrt(l1 * (m01 * m01 + (l1 - m00) * (l1 - m00))) AS a1,
     (l1 - m00) / sqrt(l1 * (m01 * m01 + (l1 - m00) * (l1 - m00))) AS b1 FROM e)""",
-    "raw AS (SELECT col_id, w_0 * a0 + w_1 * b0 AS u_0, w_0 * a1 + w_1 * b1 AS u_1 FROM f0 CROSS JOIN v)",
-    """sign AS (SELECT CASE WHEN max(u_0) >= -min(u_0) THEN 1 ELSE -1 END AS s_0,
-    CASE WHEN max(u_1) >= -min(u_1) THEN 1 ELSE -1 END AS s_1 FROM raw)""",
-    "u AS (SELECT col_id, u_0 * s_0 AS u_0, u_1 * s_1 AS u_1 FROM raw CROSS JOIN sign)",
-]
+        f"raw AS (SELECT col_id, w_0 * a0 + w_1 * b0 AS u_0, w_0 * a1 + w_1 * b1 AS u_1 FROM f{f} CROSS JOIN v)",
+        """sign AS (SELECT CASE WHEN max(u_0) >= -min(u_0) THEN 1 ELSE -1 END AS s_0,
+        CASE WHEN max(u_1) >= -min(u_1) THEN 1 ELSE -1 END AS s_1 FROM raw)""",
+        "u AS (SELECT col_id, u_0 * s_0 AS u_0, u_1 * s_1 AS u_1 FROM raw CROSS JOIN sign)",
+    ]
+
+
+BASIS = basis(0, start())
 
-ORACLE["orthonormal_basis"] = f"{with_(*BASIS)}\nSELECT col_id, {r('u_0', 8)}, {r('u_1', 8)} FROM u"
+ORACLE["orthonormal_basis"] = f"{with_(*basis(1, *WIDE_1))}\nSELECT col_id, {r('u_0', 7)}, {r('u_1', 7)} FROM u"
 ORACLE["transform_orthonormal"] = f"""{with_(CELLS, *BASIS)}
 SELECT row_id, {r('sum(value * u_0)', 6, 'x_0')}, {r('sum(value * u_1)', 6, 'x_1')}
 FROM cells JOIN u USING (col_id) GROUP BY row_id"""

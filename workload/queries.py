@@ -95,6 +95,11 @@ def start(spark, matrix: SparseMatrix, k: int = K) -> DataFrame:
     return factors.init_factor(spark, matrix.n_cols, k, "formula")
 
 
+def fitted(spark, matrix: SparseMatrix) -> DataFrame:
+    """The factor after one round of the wide fit."""
+    return em.ppca_em_wide(matrix, FitParams(K, max_rounds=1), init="formula").factor
+
+
 def latent_of(spark, matrix):
     return products.multiply(matrix, start(spark, matrix), K)
 
@@ -167,16 +172,24 @@ def save_result(spark, sf_dir):
 def save_factor(spark, sf_dir):
     m = orders_parts(spark, sf_dir)
     path = new_dir(spark, "factor")
-    tables.save_factor(start(spark, m), path, 0, m.n_cols, blocks=4)
+    tables.save_factor(fitted(spark, m), path, 0, m.n_cols, blocks=4)
     saved = spark.read.parquet(f"{path}/round=0")
-    return rounded(saved.select("col_id", "block", *names("w", K)), 9)
+    return rounded(saved.select("col_id", "block", *names("w", K)))
 
 
 def load_factor(spark, sf_dir):
     m = orders_parts(spark, sf_dir)
     path = new_dir(spark, "factor")
-    tables.save_factor(start(spark, m), path, 0, m.n_cols, blocks=4)
-    return rounded(tables.load_factor(spark, path, 0, K), 9)
+    tables.save_factor(fitted(spark, m), path, 0, m.n_cols, blocks=4)
+    return rounded(tables.load_factor(spark, path, 0, K))
+
+
+def load_factor_block(spark, sf_dir):
+    """Only the rows of one block of columns, the third of four."""
+    m = orders_parts(spark, sf_dir)
+    path = new_dir(spark, "factor")
+    tables.save_factor(fitted(spark, m), path, 0, m.n_cols, blocks=4)
+    return rounded(tables.load_factor(spark, path, 0, K, block=2))
 
 
 def written_partials(spark, sf_dir) -> tuple[str, int]:
@@ -357,7 +370,7 @@ def cross_moment(spark, sf_dir):
 
 
 def factor_gramian(spark, sf_dir):
-    return rounded(moments.factor_gramian(start(spark, orders_parts(spark, sf_dir)), K))
+    return rounded(moments.factor_gramian(fitted(spark, orders_parts(spark, sf_dir)), K), 4)
 
 
 def noise_variance(spark, sf_dir):
@@ -394,16 +407,16 @@ def matrix_profile(spark, sf_dir):
 
 def right_multiply(spark, sf_dir):
     m = orders_parts(spark, sf_dir)
-    return rounded(factors.right_multiply(start(spark, m), np.array([[2.0, -1.0], [0.5, 3.0]])), 9)
+    return rounded(factors.right_multiply(fitted(spark, m), np.array([[2.0, -1.0], [0.5, 3.0]])))
 
 
 def posterior_map(spark, sf_dir):
     m = orders_parts(spark, sf_dir)
-    return rounded(factors.posterior_map(start(spark, m), K, START_SS)[0], 10)
+    return rounded(factors.posterior_map(fitted(spark, m), K, START_SS)[0], 7)
 
 
 def orthonormal_basis(spark, sf_dir):
-    return rounded(factors.orthonormal_basis(start(spark, orders_parts(spark, sf_dir)), K), 8)
+    return rounded(factors.orthonormal_basis(fitted(spark, orders_parts(spark, sf_dir)), K), 7)
 
 
 def init_factor(spark, sf_dir):
@@ -426,8 +439,8 @@ def init_validation(spark, sf_dir):
 def deflate(spark, sf_dir):
     m = orders_parts(spark, sf_dir)
     sketch = start(spark, m, 3).selectExpr("col_id", "w_2 as w_0")
-    basis = factors.orthonormal_basis(start(spark, m), K)
-    return rounded(factors.deflate(sketch, basis, 1, K), 8)
+    basis = factors.orthonormal_basis(fitted(spark, m), K)
+    return rounded(factors.deflate(sketch, basis, 1, K), 7)
 
 
 def tall_orthonormalize(spark, sf_dir):
@@ -482,6 +495,16 @@ def reconstruction_error(spark, sf_dir):
     return spark.createDataFrame([(ratio,)], "ratio double").select(F.round("ratio", 7).alias("ratio"))
 
 
+def reconstruction_interval(spark, sf_dir):
+    """The same from exact sums over cells and all rows as the sample: an interval without width."""
+    m = orders_parts(spark, sf_dir)
+    fit = em.ppca_em(m, FitParams(K, max_rounds=1), init="formula", ss=START_SS)
+    encode = factors.right_multiply(fit.before, fit.encoder)
+    found = quality.reconstruction_interval(m, encode, fit.factor, moments.col_means(m), K, width=0.0)
+    row = (round(found.ratio, 7), round(found.high - found.low, 7), found.rows)
+    return spark.createDataFrame([row], "ratio double, width double, n_rows bigint")
+
+
 def residual_spectral_norm(spark, sf_dir):
     m = orders_suppliers(spark, sf_dir)
     layout = prepare(m, 16)
@@ -547,6 +570,7 @@ QUERIES = {
     "save_result": save_result,
     "save_factor": save_factor,
     "load_factor": load_factor,
+    "load_factor_block": load_factor_block,
     "write_partials": write_partials,
     "save_projection": save_projection,
     "append_metrics": append_metrics,
@@ -590,6 +614,7 @@ QUERIES = {
     "ppca_em_sites": ppca_em_sites,
     "ppca_em_sites_exchange": ppca_em_sites_exchange,
     "reconstruction_error": reconstruction_error,
+    "reconstruction_interval": reconstruction_interval,
     "residual_spectral_norm": residual_spectral_norm,
     "relative_spectral_error": relative_spectral_error,
     "transform": transform_factor,
