@@ -1,4 +1,4 @@
-"""Jobs: `python -m factorspark fit ...` and `python -m factorspark convert ...`."""
+"""Jobs: `python -m factorspark fit ...` and `convert`, and for sites that keep their rows `site-round` and `accumulate`."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factorspark.matrix import SparseMatrix
 from factorspark.operators.cells import bound_nonzero
 from factorspark.operators.params import FitParams
-from factorspark.plans import quality
+from factorspark.plans import quality, site_round
 from factorspark.plans.em import ppca_em, ppca_em_wide
 from factorspark.plans.layout import prepare
 from factorspark.plans.sites import ppca_em_sites
@@ -26,6 +27,21 @@ def parser() -> argparse.ArgumentParser:
     jobs = top.add_subparsers(dest="job", required=True)
     fit = jobs.add_parser("fit", help="fit components of a matrix and write them")
     convert = jobs.add_parser("convert", help="turn a text matrix into a Parquet table of cells")
+    site = jobs.add_parser("site-round", help="send the sums of one site's rows for a round")
+    total = jobs.add_parser("accumulate", help="write the factor of the next round once all sites have sent theirs")
+    for job in (site, total):
+        job.add_argument("--exchange", required=True, help="folder that sites share")
+        job.add_argument("--round", type=int, default=0)
+        job.add_argument("--cols", type=int, required=True)
+        job.add_argument("--pcs", type=int, required=True)
+    site.add_argument("--input", required=True, help="Parquet table of the site's cells")
+    site.add_argument("--site", required=True, help="its name")
+    site.add_argument("--rows", type=int, required=True, help="its number of rows")
+    total.add_argument("--sites", type=int, required=True)
+    total.add_argument("--start", action="store_true", help="write the factor of round 0 instead")
+    total.add_argument("--max-iter", type=int, default=3)
+    total.add_argument("--tolerance", type=float)
+    total.add_argument("--seed", type=int, default=42)
     for job in (fit, convert):
         job.add_argument("--input", required=True)
         job.add_argument("--output", required=True)
@@ -128,10 +144,31 @@ def fit(spark: SparkSession, args: argparse.Namespace) -> None:
     print(f"{result.rounds} rounds, stopped by {result.stopped_by}, noise variance {result.ss}")
 
 
+def send_round(spark: SparkSession, args: argparse.Namespace) -> None:
+    cells = bound_nonzero(spark.read.parquet(args.input), args.cols).withColumn("site", F.lit(args.site))
+    site_rows = spark.createDataFrame([(args.site, args.rows)], "site string, n_rows bigint")
+    # Means go by the site's own number of rows; ids may be those of all sites.
+    ids = 1 + (cells.agg(F.max("row_id").alias("top")).first()["top"] or 0)
+    matrix = SparseMatrix(cells.select("site", "row_id", "col_id", "value"), max(ids, args.rows), args.cols, site_rows=site_rows)
+    sent = site_round.site_round(matrix, args.exchange, args.round, args.pcs)
+    print(f"round {args.round} of {args.site}: {'sent' if sent else 'nothing to do'}")
+
+
+def accumulate(spark: SparkSession, args: argparse.Namespace) -> None:
+    if args.start:
+        site_round.begin(spark, args.exchange, args.cols, args.pcs, seed=args.seed)
+        print("round 0: next")
+        return
+    found = site_round.accumulate_round(
+        spark, args.exchange, args.round, args.pcs, args.cols, args.sites, args.max_iter, args.tolerance
+    )
+    print(f"round {found.round}: {found.state}" + ("" if found.dw is None else f", change {found.dw}"))
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = tune(SparkSession.builder.appName("factorspark").getOrCreate())
-    {"fit": fit, "convert": convert}[args.job](spark, args)
+    {"fit": fit, "convert": convert, "site-round": send_round, "accumulate": accumulate}[args.job](spark, args)
 
 
 if __name__ == "__main__":

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
-from conftest import dense, entries_of, sparse
+from conftest import dense, entries_of, matrix_of, sparse
 
+from factorspark import FitParams
 from factorspark.__main__ import main
+from factorspark.plans.sites import ppca_em_sites
 from factorspark.session import new_dir
 from factorspark.sources.writers import save_result
 
@@ -58,3 +60,36 @@ def test_sites_job(spark, y):
     main(["fit", "--method", "sites", "--site-rows", f"{path}/sites", "--rows", "20", "--cols", "8", "--pcs", "2",
           "--max-iter", "2", "--input", f"{path}/cells", "--output", f"{path}/out"])
     assert spark.read.parquet(f"{path}/out/factor").count() == 8
+
+
+def test_sites_as_jobs_of_their_own(spark, y, capsys):
+    """Sites send in any order, one twice; the factor is that of the fit over all sites, and the last round leaves `stop`."""
+    path = new_dir(spark, "exchange")
+    names, counts = ["a", "b", "c"], [7, 7, 6]
+    site = np.array(names)[np.arange(20) % 3]
+    for s in names:
+        entries_of(spark, np.where((site == s)[:, None], y, 0)).write.parquet(f"{path}/cells-{s}")
+    common = ["--exchange", f"{path}/x", "--cols", "8", "--pcs", "2"]
+    total = ["accumulate", *common, "--sites", "3", "--max-iter", "2"]
+    send = lambda s, r: main(["site-round", *common, "--input", f"{path}/cells-{s}", "--site", s, "--rows", str(counts[names.index(s)]), "--round", str(r)])  # noqa: E731,E501
+    said = lambda: capsys.readouterr().out
+    send("a", 0)
+    assert "nothing to do" in said()
+    main([*total, "--start"])
+    main([*total, "--round", "0"])
+    assert "round 0: waiting" in said()
+    for r, order in enumerate(["bab", "acb"]):
+        for s in order:
+            send(s, r)
+        if r == 0:
+            main([*total, "--round", "0"])
+            assert "round 0: waiting" in said()
+            send("c", 0)
+        main([*total, "--round", str(r)])
+        assert f"round {r + 1}: {'next' if r == 0 else 'stopped'}" in said()
+    send("a", 2)
+    assert "nothing to do" in said()
+    start = spark.read.parquet(f"{path}/x/factor/round=0").drop("block")
+    m = matrix_of(spark, y, site=site)
+    want = dense(ppca_em_sites(m, FitParams(2, max_rounds=2), init=start).factor, 8, "w")
+    assert np.allclose(dense(spark.read.parquet(f"{path}/x/factor/round=2").drop("block"), 8, "w"), want)
