@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import small_batches, table, texts_of, written
+from factorspark.llm.common import small_batches, table, texts_of, tidy, written
 
 RANKS = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32_768, 1_024
@@ -108,7 +108,7 @@ def encode_texts(
 
     made = written(
         df.select(F.col(id_column).alias("key"), "text").mapInArrow(
-            first, f"key {id_type}, {_DIGEST}, ids array<int>, row string, k int, start long, text string"
+            tidy(first), f"key {id_type}, {_DIGEST}, ids array<int>, row string, k int, start long, text string"
         ),
         "bpe",
     )
@@ -128,7 +128,7 @@ def encode_texts(
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "k", "head", "tail"])
 
     w = Window.partitionBy("row").orderBy("k")
-    found = chunks.mapInArrow(ends, "row string, k int, head array<bigint>, tail array<bigint>")
+    found = chunks.mapInArrow(tidy(ends), "row string, k int, head array<bigint>, tail array<bigint>")
     cuts = found.select(
         "row", "k",
         F.when(F.col("k") > 0, F.array_min(F.array_intersect(F.lag("tail").over(w), "head"))).alias("low"),
@@ -155,7 +155,7 @@ def encode_texts(
             arrays = [batch.column("key"), batch.column("row"), batch.column("k"), pa.array(ids, pa.binary()), pa.array(text, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "row", "k", "piece", "text"])
 
-    encoded = pieces.mapInArrow(encode, f"key {id_type}, row string, k int, piece binary, text string")
+    encoded = pieces.mapInArrow(tidy(encode), f"key {id_type}, row string, k int, piece binary, text string")
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         """One text: its ids in order of the pieces. A group is one cell of the input, in int32 instead of characters."""

@@ -2,8 +2,8 @@
 
 SimHash deletion variants (operator 1, over the majority bits of the same sets) bring most copies together first. What they miss
 is found by an index: sets that similar share one of the first `n - ceil(0.8 n) + 1` shingles of each, whatever order all sets
-are read in, so each set is indexed by these only. Shingles that are common in a sample come last in the order, which only
-makes the lists of the index short. Every pair that meets, by either way, is verified by its whole sets: none is missed or added.
+are read in, so each set is indexed by these only. Shingles that are common, by counts of buckets over all sets, come last in the
+order, which only makes the lists of the index short. Every pair that meets, by either way, is verified by its whole sets: none is missed or added.
 
 Equal sets are one node from the start. Pairs are first ruled out by the parities of their sets, a bit for each shingle; whole sets are
 fetched only for what passes. Short lists are paired; in a few rounds each longer list links its members to one of them; nodes
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorspark.llm import simhash
-from factorspark.llm.common import discard, small_batches, texts_of, written
+from factorspark.llm.common import discard, small_batches, texts_of, tidy, written
 from factorspark.llm.graph import components
 
 SHINGLE = 5
 #: The least similarity, as a fraction, so that comparisons are of whole numbers.
 SIMILAR = (4, 5)
-#: Nodes that the order of shingles is learned from, buckets of its counts, and the least count that moves a bucket.
-SAMPLE, BUCKETS, COMMON = 20_000, 1 << 20, 24
+#: Buckets of the counts that the order of shingles goes by, slices that they are sent in, and the least count that moves a bucket.
+BUCKETS, SLICES, COMMON = 1 << 22, 64, 4
 #: Rounds of stars before what is left is paired, nodes outside the largest part of a list that is paired, and shingles that
 #: lists are cut by.
 STARS, HOT, DEEPEST = 3, 256, 3
@@ -148,7 +149,7 @@ def _over_nodes(docs: DataFrame, hasher: Hasher, each: Callable, schema: str, na
             if columns:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return docs.select("text").mapInArrow(of, schema)
+    return docs.select("text").mapInArrow(tidy(of), schema)
 
 
 def named(docs: DataFrame, hasher: Hasher) -> DataFrame:
@@ -167,21 +168,49 @@ def named(docs: DataFrame, hasher: Hasher) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("mark"), "text")
-    return rows.mapInArrow(of, "doc_id bigint, mark string, node bigint, other bigint, fp bigint, n int, bits array<bigint>")
+    return rows.mapInArrow(tidy(of), "doc_id bigint, mark string, node bigint, other bigint, fp bigint, n int, bits array<bigint>")
 
 
-def common_buckets(docs: DataFrame, hasher: Hasher, rows: int, sample: int = SAMPLE) -> np.ndarray:
-    """How often the shingles of each bucket occur in a sample of the nodes; small counts are 0."""
-    share = max(1, -(-rows // sample))
-
-    def each(node: int, grams: np.ndarray):
-        return (grams & (BUCKETS - 1),) if node % share == 0 else None
+def common_buckets(docs: DataFrame, hasher: Hasher) -> np.ndarray:
+    """In how many nodes the shingles of each bucket occur; counts that chance explains are 0. Of a size that does not depend on the
+    data: a task adds up its counts before it sends them, in slices."""
+    small_batches(docs.sparkSession)
+    width = BUCKETS // SLICES
 
-    counts = _over_nodes(docs, hasher, each, "bucket bigint", ["bucket"]).groupBy("bucket").count()
-    out = np.zeros(BUCKETS, "int32")
-    for row in counts.where(F.col("count") >= COMMON).toLocalIterator():
-        out[row["bucket"]] = min(row["count"], np.iinfo("int32").max)
-    return out
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        counts = np.zeros(BUCKETS, "int32")
+        for batch in batches:
+            for text in texts_of(batch):
+                grams = hasher(text)
+                node = node_of(grams)[0]
+                if node not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
+                    counts[grams & (BUCKETS - 1)] += 1
+        data = [zlib.compress(counts[k * width : (k + 1) * width].tobytes(), 1) for k in range(SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices come sorted."""
+        at, total = None, None
+        for batch in itertools.chain(batches, [None]):
+            for k, data in ((None, None),) if batch is None else zip(*(batch.column(c).to_pylist() for c in ("slice", "data"))):
+                if k != at and at is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "data"])
+                if k != at:
+                    at, total = k, np.zeros(width, "int64")
+                if k is not None:
+                    total += np.frombuffer(zlib.decompress(data), "int32")
+
+    sent = docs.select("text").mapInArrow(tidy(of), "slice int, data binary").repartition("slice").sortWithinPartitions("slice")
+    out = np.zeros(BUCKETS, "int64")
+    for row in sent.mapInArrow(tidy(add), "slice int, data binary").collect():
+        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["data"], "int64")
+    mean = out.sum() / BUCKETS
+    out[out < max(COMMON, mean + 4 * mean**0.5)] = 0
+    return np.minimum(out, np.iinfo("int32").max).astype("int32")
 
 
 def in_order(grams: np.ndarray, common: np.ndarray, similar: tuple[int, int], depth: int = 1) -> np.ndarray:
@@ -216,7 +245,7 @@ def sets_of(docs: DataFrame, hasher: Hasher, names: DataFrame, nodes: DataFrame)
             keys = pa.array([node_of(s)[0] for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([keys, pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    made = written(some.mapInArrow(of, "node bigint, grams array<bigint>").dropDuplicates(["node"]), "sets")
+    made = written(some.mapInArrow(tidy(of), "node bigint, grams array<bigint>").dropDuplicates(["node"]), "sets")
     discard(marks)
     return made
 
@@ -314,7 +343,7 @@ def _cut_deeper(rows: DataFrame, sets: DataFrame, common: np.ndarray, similar: t
                 columns = [pa.array(lists, pa.list_(pa.int64())), pa.array([node] * m, pa.int64()), pa.array([n] * m, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=["used", "node", "n"])
 
-    deeper = rows.select("used", "node", "n").join(sets, "node").mapInArrow(of, "used array<bigint>, node bigint, n int")
+    deeper = rows.select("used", "node", "n").join(sets, "node").mapInArrow(tidy(of), "used array<bigint>, node bigint, n int")
     return deeper.distinct().withColumn("key", F.xxhash64("used"))
 
 
@@ -333,7 +362,7 @@ def _pairs_of_small(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
 
 def similar_parts(docs: DataFrame, hasher: Hasher, names: DataFrame, similar: tuple[int, int] = SIMILAR, stars: int = STARS, hot: int = HOT, small: int = SMALL) -> DataFrame:
     """(node, part): the smallest node reachable by similar sets, for every node."""
-    common = common_buckets(docs, hasher, names.count())
+    common = common_buckets(docs, hasher)
     nodes = written(names.select("node", "fp", "n", "bits").dropDuplicates(["node"]), "nodes")
     parts = Parts(docs, hasher, names, nodes, similar)
 

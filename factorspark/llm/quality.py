@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import held_out, slices, small_batches, table, texts_of
+from factorspark.llm.common import held_out, slices, small_batches, table, texts_of, tidy
 
 PASSAGE = 400
 #: Labelled documents to learn from, by the hash of their ids, and passages of them all; documented bounds.
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, training: int = TRAINING, most: in
             yield pa.RecordBatch.from_arrays(arrays, names=["labelled", "version", "label", "x"])
 
     rows = rows.join(wanted, ["labelled", "version"]).groupBy("labelled", "version", "label").agg(F.first("text").alias("text"))
-    found = rows.mapInArrow(features, f"labelled {kind}, version bigint, label float, x binary").toLocalIterator()
+    found = rows.mapInArrow(tidy(features), f"labelled {kind}, version bigint, label float, x binary").toLocalIterator()
     bags = sorted(((r.labelled, r.version), r.label, bytes(r.x)) for r in found)
     counts = np.array([len(x) // (4 * WIDTH) for *_, x in bags])
     y = np.array([label for _, label, _ in bags], "float32")
@@ -202,7 +202,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -213,7 +213,7 @@ def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(score(model, texts_of(batch)) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

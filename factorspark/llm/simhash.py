@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import fresh, small_batches, table, texts_of, written
+from factorspark.llm.common import fresh, small_batches, table, texts_of, tidy, written
 from factorspark.llm.graph import components
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(prints)], names=["doc_id", "mark", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("mark"), "text")
-    return rows.mapInArrow(of, "doc_id bigint, mark string, fp bigint")
+    return rows.mapInArrow(tidy(of), "doc_id bigint, mark string, fp bigint")
 
 
 def variants(nodes: DataFrame, width: int) -> DataFrame:
@@ -172,7 +172,7 @@ def links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
             return [r[many] for r in rows], *_links(keys[~many], rows[1][~many].view("u8"), bits, first)
 
         met = variants(nodes, width).repartition("key").sortWithinPartitions("key")
-        step = written(met.mapInArrow(pair, "key bigint, fp bigint, rest bigint, hot boolean"), "simhash")
+        step = written(met.mapInArrow(tidy(pair), "key bigint, fp bigint, rest bigint, hot boolean"), "simhash")
         edges = step.where("NOT hot").select(F.col("fp").alias("a"), F.col("rest").alias("b"))
         found = edges if found is None else found.union(edges)
         nodes = step.where("hot").select("key", "fp", "rest")

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import discard, small_batches, table, written
+from factorspark.llm.common import discard, release, small_batches, table, tidy, written
 
 LENGTH, GRAM = 50, 16
 #: Bytes of different texts in a shard; anchors and runs in a range of hashes.
@@ -358,9 +358,9 @@ def shards_of(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BY
             yield flush()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NOBODY))).alias("id"), F.col("doc_id").isNull().alias("none"), F.col("text").cast("binary").alias("data"))
-    dealt = rows.mapInArrow(keyed, "id bigint, data binary, near bigint, mark binary, of string").repartitionByRange("near", "mark", "id")
+    dealt = rows.mapInArrow(tidy(keyed), "id bigint, data binary, near bigint, mark binary, of string").repartitionByRange("near", "mark", "id")
     dealt = dealt.sortWithinPartitions("near", "mark", "id")
-    return written(dealt.mapInArrow(pack, "shard string, data binary, sizes array<int>, ids array<array<bigint>>, rows array<array<string>>"), "shards")
+    return written(dealt.mapInArrow(tidy(pack), "shard string, data binary, sizes array<int>, ids array<array<bigint>>, rows array<array<string>>"), "shards")
 
 
 def _shard(row) -> tuple[Shard, list[list]]:
@@ -461,6 +461,7 @@ def remove_repeats(
 
     def sort(held: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         """Runs of one shard. Texts that no other shard touches are done; the others wait for the merge."""
+        release()  # what the group before has left
         row = held.to_dict("records")[0]
         shard, ids = _shard(row)
         cross, inner = (
@@ -523,6 +524,7 @@ def remove_repeats(
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         """Whether another shard's id of a string is smaller: each list is looked up in the merged one by binary search."""
+        release()
         lists = []
         for text, counts, least in zip(group["text"], group["counts"], group["least"]):
             counts = np.frombuffer(counts, "int32").astype("int64")
@@ -555,6 +557,7 @@ def remove_repeats(
     best = dealt.groupBy("part").applyInPandas(merge, "shard string, first int, n int, smaller binary")
 
     def finish(held: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        release()
         row = held.to_dict("records")[0]
         shard, ids = _shard(row)
         at, run = _from_steps(row["starts"]), _from_steps(row["runs"])
