@@ -11,8 +11,8 @@ A byte goes if it lies in a string of `LENGTH` bytes that also starts in a docum
    rank of what follows, doubling the length; settled ones rest) and cuts them into runs of equal strings by Kasai's common
    prefixes. Strings around anchors that other shards have as well are sent on once a shard, with their smallest id: those in a
    row with the same least gram as one stretch of text, to the range of that gram, where all equal strings meet.
-4. There the sorted strings of the shards are merged pairwise by binary search, byte for byte; a shard learns of each string
-   whether a smaller id than its own has it.
+4. There the sorted strings of the shards are merged by binary search, with a digest as first key and compared byte for byte; a
+   shard learns of each string whether a smaller id than its own has it.
 
 All that is sent are packed arrays; nothing is ever gathered by string, so a passage that a third of all documents share is one
 entry of each shard.
@@ -179,8 +179,16 @@ def find(strings: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, high > low
 
 
+def digest(strings: np.ndarray) -> np.ndarray:
+    """A first key of rows of words."""
+    out = np.full(len(strings), strings.shape[1], "u8")
+    for column in strings.T:
+        out = _mix((out ^ column) * _ODD[0] + _ODD[1])
+    return out
+
+
 def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two lists of (sorted different strings, smallest id of each) as one."""
+    """Two lists of (different strings in order of their bytes, smallest id of each) as one."""
     if len(a[0]) < len(b[0]):
         a, b = b, a
     place, there = find(a[0], b[0])
@@ -190,6 +198,33 @@ def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -
     return np.insert(a[0], place[new], b[0][new], axis=0), np.insert(least, place[new], b[1][new])
 
 
+def smaller_elsewhere(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], first_key: bool = True) -> list[np.ndarray]:
+    """For each list of (keys in order, strings, ids), no string twice in a list: which of its strings have a smaller id elsewhere.
+
+    The sorted lists are merged by their keys (a stable sort finds the runs and merges them by galloping binary search), and bytes are
+    compared wherever keys are equal. Should two strings share a key, lists are merged and searched by the bytes alone.
+    """
+    sizes = np.cumsum([len(k) for k, *_ in lists])
+    if first_key and len(lists):
+        key, least = np.concatenate([k for k, *_ in lists]), np.concatenate([i for *_, i in lists])
+        strings = np.concatenate([t for _, t, _ in lists])
+        order = np.argsort(key, kind="stable")
+        again = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1
+        if (strings[order[again]] == strings[order[again - 1]]).all():
+            group = np.ones(len(key), "int64")
+            group[again] = 0
+            heads = np.flatnonzero(group)
+            low = np.minimum.reduceat(least[order], heads) if len(heads) else least
+            out = np.zeros(len(key), bool)
+            out[order] = low[np.cumsum(group) - 1] < least[order]
+            return np.split(out, sizes[:-1])
+    ranked = [(t[o], i[o]) for _, t, i in lists if len(t) for o in (np.lexsort(t.T[::-1]),)]
+    while len(ranked) > 1:
+        pairs = list(zip(ranked[::2], ranked[1::2]))
+        ranked = [merged(a, b) for a, b in pairs] + ranked[2 * len(pairs) :]
+    return [ranked[0][1][find(ranked[0][0], t)[0]] < i if len(t) else np.zeros(0, bool) for _, t, i in lists]
+
+
 class Shard:
     """Different texts of a shard laid end to end, with the smallest id of each."""
 
@@ -539,17 +574,12 @@ def remove_repeats(
             for (words, at, least, _), own in zip(lists, kinds):
                 here = np.flatnonzero(own == kind)
                 strings = rows_of_words(words, at[here], length)
-                # A shard sends each string once.
-                order = np.lexsort(strings.T[::-1])
-                some.append((here[order], strings[order], least[here[order]]))
-            every = [(strings, least) for _, strings, least in some if len(strings)]
-            while len(every) > 1:
-                pairs = list(zip(every[::2], every[1::2]))
-                every = [merged(a, b) for a, b in pairs] + every[2 * len(pairs) :]
-            for (*_, smaller), (here, strings, mine) in zip(lists, some):
-                if len(strings):
-                    place, _ = find(every[0][0], strings)
-                    smaller[here] = every[0][1][place] < mine
+                key = digest(strings)
+                order = np.argsort(key)
+                some.append((here[order], key[order], strings[order], least[here[order]]))
+            found = smaller_elsewhere([x[1:] for x in some])
+            for (*_, smaller), (here, *_), flags in zip(lists, some, found):
+                smaller[here] = flags
         out = [(own, first, len(x[3]), np.packbits(x[3]).tobytes()) for own, first, x in zip(group["shard"], group["first"], lists)]
         return _rows(["shard", "first", "n", "smaller"], out)
 

@@ -141,6 +141,15 @@ def test_merging_by_binary_search():
         place, there = s.find(every[0], rows)
         assert there.all() and [sorted(want)[i] for i in place] == x
     assert not s.find(every[0], tables[0][0] + np.uint64(1 << 40))[1].any()
+    smaller = [[i > want[t] for t, i in zip(x, ids.tolist())] for x, (_, ids) in zip(lists, tables)]
+    for key in (s.digest, lambda rows: rows[:, 0] & np.uint64(7 << 56)):  # the second key is one of few for all strings
+        keyed = []
+        for rows, ids in tables:
+            order = np.argsort(key(rows))
+            keyed.append((key(rows)[order], rows[order], ids[order], order))
+        for first_key in (True, False):
+            found = s.smaller_elsewhere([x[:3] for x in keyed] + [(np.zeros(0, "u8"), tables[0][0][:0], tables[0][1][:0])], first_key)
+            assert [f[np.argsort(x[3])].tolist() for f, x in zip(found, keyed)] == smaller and len(found[4]) == 0
 
 
 def test_strings_merged_some_at_a_time(documents, monkeypatch):
