@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import small_batches, table, written
+from factorspark.llm.common import fresh, small_batches, table, written
 
 WINDOW, SLOP = 10, 3
 #: Bytes of text in a block of the index; a longer text is a block of its own.
@@ -288,10 +288,11 @@ def contamination(
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, **options) -> DataFrame:
-    """`docs` without the rows that hold a window of an item."""
-    found = contamination(docs, items, window, **options).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_mark"))
-    return docs.join(found, same, "left_anti")
+    """`docs` without the rows that hold a window of an item; all columns are kept, whatever their names."""
+    id_, mark = fresh(docs, "found_id"), fresh(docs, "found_mark")
+    found = contamination(docs.select("doc_id", "text"), items, window, **options).where("contaminated")
+    found = found.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.md5("text") == F.col(mark)), "left_anti")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

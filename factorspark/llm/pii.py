@@ -1,10 +1,10 @@
 """Personal data and what gives it away (operator 4), in DataFrame functions only.
 
 Emails, addresses, card and phone numbers are found by pattern. Each distinct value is a protected entity. How strongly a term
-reveals an entity is estimated from the whole corpus: with p the share of distinct texts, PMI(c; t) = log p(c, t) / (p(c) p(t)),
+reveals an entity is estimated from the whole corpus: with p the share of documents, PMI(c; t) = log p(c, t) / (p(c) p(t)),
 against the information IC(c) = -log p(c) of the entity. A ratio of 1 means that the term never occurs without it. In texts
 with the entity, terms above `remove` are taken out and those above `generalise` are replaced by their kind. Copies of a text
-are one piece of evidence.
+count in all shares; how many different texts an entity and a pair need before they count at all does not rise with copies.
 """
 
 from __future__ import annotations

@@ -53,3 +53,18 @@ def test_repeated_and_odd_rows(spark, documents):
     for _, stage in c.STAGES:
         assert stage(spark, df.where("false"), SF_DIR).count() == 0
         assert stage(spark, df, SF_DIR).count() <= 6
+
+
+def test_clashing_names_and_a_long_text(spark, documents):
+    names = ["_id", "_mark", "_md5", "_email", "spans", "found_id", "others", "mark", "labelled", "version", "label", "key", "score"]
+    long = " ".join(f"word{i}" for i in range(60_000))
+    df = documents((1, long), (2, "write to me@example.org or 10.0.0.1"), (3, None), (None, "plain text")).selectExpr("*", *(f"doc_id AS {n}" for n in names))
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, df, SF_DIR)
+        rows = {r.doc_id: r for r in out.collect()}
+        assert out.columns == df.columns and set(rows) <= {1, 2, 3, None}, name
+        assert all(r[n] == r.doc_id for r in rows.values() for n in names), name
+        if name != "quality":
+            assert len(rows) == 4 and rows[1].text == long, name
+    assert rows[2].text == "write to [EMAIL] or [IP]" and rows[2].n_chars == len(rows[2].text) and rows[3].n_chars is None
+    assert c.encode(spark, df, SF_DIR).count() == 4
