@@ -80,6 +80,7 @@ def main() -> None:
     timed(
         "residual_spectral_norm",
         lambda: quality.residual_spectral_norm(layout, fit.components(), K, subsample=9),
+        repeat=1,
     )
     layout.release()
 
