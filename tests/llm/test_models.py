@@ -136,6 +136,31 @@ def test_kernel_weights_equal_the_kernel():
     assert [model.languages[i] for i in scores.argmax(axis=1)] == [lang for lang, _ in rows]
 
 
+def test_scores_are_those_of_kernel_ridge_regression():
+    """Set kernels between new rows, landmarks and training rows, one pair at a time; the normal equations of the ridge by least squares."""
+    rng = np.random.default_rng(3)
+    words = [[f"{c}{x}" for x in ("an", "er", "ti", "on", "lo", "mi")] for c in "abc"]
+    text = lambda k: " ".join(rng.choice(words[k], 12))
+    given = [(f"l{k}", text(k)) for k in (0, 1, 2) * 12]
+    buckets = lambda texts: [b[x:y] for _, b, n in language.presence(texts) for x, y in zip(n[:-1], n[1:])]
+    rows = list(zip([lang for lang, _ in given], buckets([t for _, t in given])))
+    model = language.fit(rows, landmarks=24)
+    order, n = language.landmarks_first(rows, 24)
+    assert n == 24 and len(order) == 36
+    kernel = lambda a, b: len(set(a.tolist()) & set(b.tolist())) / (len(a) * len(b)) ** 0.5
+    k_all = np.array([[kernel(b, m) for _, m in order[:n]] for _, b in order])
+    values, vectors = np.linalg.eigh(k_all[:n])
+    root = vectors[:, values > 1e-6 * values[-1]] * values[values > 1e-6 * values[-1]] ** -0.5
+    targets = np.array([[lang == x for x in model.languages] for lang, _ in order], float)
+    features, penalty = k_all @ root, (language.RIDGE * len(order) / 100) ** 0.5 * np.eye(root.shape[1])
+    weights = np.linalg.lstsq(np.vstack([features, penalty]), np.vstack([targets, np.zeros((len(penalty), 3))]), rcond=None)[0]
+    new = [text(k) + " " + text((k + 1) % 3)[:9] for k in (0, 1, 2) * 3]
+    want = np.array([[kernel(b, m) for _, m in order[:n]] for b in buckets(new)]) @ root @ weights
+    names, scores = language.score(model, new)
+    assert names == [model.languages[i] for i in want.argmax(axis=1)]
+    assert np.allclose(scores, np.clip(want.max(axis=1), 0, 1), atol=1e-3)
+
+
 def test_rare_and_many_languages():
     """Languages of a script of their own, one with 10 rows among 2,000 and then 150 of them, are told from the first name."""
     rng = np.random.default_rng(7)
