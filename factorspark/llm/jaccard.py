@@ -23,11 +23,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorspark.llm import simhash
-from factorspark.llm.common import discard, small_batches, texts_of, tidy, written
+from factorspark.llm.common import discard, release, small_batches, texts_of, tidy, written
 from factorspark.llm.graph import components
 
 SHINGLE = 5
@@ -220,9 +221,8 @@ def in_order(grams: np.ndarray, common: np.ndarray, similar: tuple[int, int], de
     return grams[np.lexsort((grams, common[grams & (BUCKETS - 1)]))[:length]]
 
 
-def postings(docs: DataFrame, hasher: Hasher, common: np.ndarray, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def postings(docs: DataFrame, hasher: Hasher, shared: Broadcast, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(gram, node, n): the shingles of each set of which a similar set has at least one among its own."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def each(node: int, grams: np.ndarray):
         first = in_order(grams, shared.value, similar)
@@ -329,9 +329,8 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
-def _cut_deeper(rows: DataFrame, sets: DataFrame, common: np.ndarray, similar: tuple[int, int], depth: int) -> DataFrame:
+def _cut_deeper(rows: DataFrame, sets: DataFrame, shared: Broadcast, similar: tuple[int, int], depth: int) -> DataFrame:
     """Lists (key, used, node, n) cut by one more shingle: similar sets share `depth` of their first ones, those used included."""
-    shared = sets.sparkSession.sparkContext.broadcast(common)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,7 +361,7 @@ def _pairs_of_small(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
 
 def similar_parts(docs: DataFrame, hasher: Hasher, names: DataFrame, similar: tuple[int, int] = SIMILAR, stars: int = STARS, hot: int = HOT, small: int = SMALL) -> DataFrame:
     """(node, part): the smallest node reachable by similar sets, for every node."""
-    common = common_buckets(docs, hasher)
+    shared = docs.sparkSession.sparkContext.broadcast(common_buckets(docs, hasher))
     nodes = written(names.select("node", "fp", "n", "bits").dropDuplicates(["node"]), "nodes")
     parts = Parts(docs, hasher, names, nodes, similar)
 
@@ -374,7 +373,7 @@ def similar_parts(docs: DataFrame, hasher: Hasher, names: DataFrame, similar: tu
     parts.link(same.union(near))
 
     # Copies are one node; only shingles of several nodes bring anything together.
-    index = postings(docs, hasher, common, similar)
+    index = postings(docs, hasher, shared, similar)
     several = index.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("rows"))
     rows = index.join(several.where("low < high").select("gram", "rows"), "gram").withColumnRenamed("gram", "key")
     rows = written(rows, "postings")
@@ -396,11 +395,14 @@ def similar_parts(docs: DataFrame, hasher: Hasher, names: DataFrame, similar: tu
         if depth == DEEPEST or left.isEmpty():
             break
         sets = sets_of(docs, hasher, names, left.select("node").distinct())
-        deeper = written(_cut_deeper(left, sets, common, similar, depth + 1), "lists")
+        deeper = written(_cut_deeper(left, sets, shared, similar, depth + 1), "lists")
         for old in (lists, now, sets):
             discard(old)
         lists = deeper
     discard(lists)
+    # All that reads the counts is written by now.
+    shared.destroy()
+    release()
     return parts.of
 
 
