@@ -45,8 +45,12 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 def words_at(data: bytes) -> np.ndarray:
     """The 8 bytes from each position on, as a little-endian number; zeros follow the end."""
-    padded = np.frombuffer(data + bytes(8), "u1")
-    return np.ndarray(len(data), "<u8", padded, strides=(1,)).copy()
+    return words_seen(data).copy()
+
+
+def words_seen(data: bytes) -> np.ndarray:
+    """The same, read from the bytes themselves whenever it is indexed."""
+    return np.ndarray(len(data), "<u8", np.frombuffer(data + bytes(8), "u1"), strides=(1,))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -565,7 +569,7 @@ def remove_repeats(
             counts = np.frombuffer(counts, "int32").astype("int64")
             begin = np.cumsum(counts + length - 1) - (counts + length - 1)
             at = (np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())).astype("int32")
-            lists.append((words_at(_unpacked(text)), at, np.repeat(np.frombuffer(least, "i8"), counts), np.zeros(len(at), bool)))
+            lists.append((words_seen(_unpacked(text)), at, np.repeat(np.frombuffer(least, "i8"), counts), np.zeros(len(at), bool)))
         # Some strings at a time, the same of all shards: those whose first bytes fall into one of so many classes.
         classes = max(1, -(-sum(len(at) for _, at, *_ in lists) // AT_ONCE))
         kinds = [(_mix(words[at]) % np.uint64(classes)).astype("int32") for words, at, *_ in lists]
