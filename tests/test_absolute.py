@@ -39,3 +39,6 @@ def test_sums_of_errors_by_column_and_row(spark, k, monkeypatch):
     by_col = {r["col_id"]: (r["error"], r["norm"]) for r in quality.error_sums(*args).collect()}
     assert np.allclose([by_col[c][0] for c in range(11)], np.abs(error).sum(axis=0))
     assert np.allclose([by_col[c][1] for c in range(11)], np.abs(y - y.mean(axis=0)).sum(axis=0))
+    by_row = {r["row_id"]: (r["abs_error"], r["sq_error"]) for r in quality.reconstruct_sums(*args).collect()}
+    assert np.allclose([by_row[i][0] for i in range(40)], np.abs(error).sum(axis=1))
+    assert np.allclose([by_row[i][1] for i in range(40)], (error**2).sum(axis=1))
