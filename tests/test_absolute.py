@@ -42,3 +42,6 @@ def test_sums_of_errors_by_column_and_row(spark, k, monkeypatch):
     by_row = {r["row_id"]: (r["abs_error"], r["sq_error"]) for r in quality.reconstruct_sums(*args).collect()}
     assert np.allclose([by_row[i][0] for i in range(40)], np.abs(error).sum(axis=1))
     assert np.allclose([by_row[i][1] for i in range(40)], (error**2).sum(axis=1))
+    found = quality.reconstruction_interval(*args, width=0.0)
+    assert found.low == found.ratio == found.high and found.rows == 40
+    assert np.isclose(found.ratio, np.abs(error).sum(axis=0).max() / np.abs(y - y.mean(axis=0)).sum(axis=0).max())
