@@ -336,8 +336,9 @@ def _from_steps(data: bytes) -> np.ndarray:
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """The range of each hash, of `parts` equal ones."""
-    return (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    """The range of each hash, of `parts` that get as many anchors each. Anchors are least hashes, and thus small; mixed once more
+    they spread over all ranges."""
+    return (_mix(hashes * _ODD[2]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
 def shards_of(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -442,6 +443,8 @@ def remove_repeats(
                 hashes, many = _shard(row)[0].grams(length)
                 # In a range 32 bits tell anchors apart well enough: a collision makes one look shared, which costs work only.
                 part = part_of(hashes, ranges)
+                order = np.argsort(part, kind="stable")
+                hashes, many, part = hashes[order], many[order], part[order]
                 cuts = np.searchsorted(part, np.arange(ranges + 1))
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                     if b > a:

@@ -186,3 +186,11 @@ def test_query_against_brute_force(spark):
     sf_dir = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert got(s.op9_suffix_dedup(spark, sf_dir)) == brute(rows)
+
+
+def test_ranges_of_least_grams_are_even():
+    data = np.random.default_rng(4).integers(97, 123, 1 << 18).astype("u1").tobytes()
+    shard = s.Shard([data], np.array([1]))
+    shard.anchors(50)
+    part = s.part_of(shard.least_grams(np.arange(200_000), 50), 50).astype("int64")
+    assert np.bincount(part, minlength=50).max() < 2 * 200_000 / 50
