@@ -247,3 +247,12 @@ def test_stray_cells_and_sites_raise(spark):
     facts, owners = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, s string")
     with pytest.raises(Exception, match="no owner"):
         products.attach_site(facts, owners, "k", "s").collect()
+
+
+def test_many_facts_are_dealt_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(products, "FACTS_PER_TASK", 10)
+    facts = spark.range(70).select((F.col("id") % 5).alias("k"), "id")
+    owners = spark.createDataFrame([(k, f"s{k % 2}") for k in range(5)], "k bigint, s string")
+    found = products.attach_site(facts, owners, "k", "s", n_facts=70)
+    assert found.rdd.getNumPartitions() == 7
+    assert {(r["id"], r["site"]) for r in found.collect()} == {(i, f"s{i % 5 % 2}") for i in range(70)}
