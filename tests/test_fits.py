@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from factorspark import FitParams, SparseMatrix
 from factorspark.operators import moments
 from factorspark.operators.accumulate import PARTIALS_SCHEMA
-from factorspark.operators.factors import VALIDATION_FACTOR, VALIDATION_SS
+from factorspark.operators.factors import VALIDATION_FACTOR, VALIDATION_SS, init_factor
 from factorspark.plans import em, quality, sites
 from factorspark.plans.layout import prepare
 from factorspark.plans.transform import transform
@@ -336,3 +336,25 @@ def test_scored_fit_stops_on_the_error(spark, y):
         matrix_of(spark, y), FitParams(2, max_rounds=6, subsample=6), values[2], score_tolerance=0.5, norm_rounds=3
     )
     assert fit.stopped_by == "error" and fit.metrics[-1]["error"] <= 0.5
+
+
+@pytest.mark.parametrize("form, rate", [("broadcast", 1.0), ("hot_shuffled", 0.5)])
+def test_error_of_cells_that_are_laid_out(spark, form, rate):
+    """The layout gives the same sums, rows without cells included, and no cell moves again."""
+    y = sparse(5, 30, 12)
+    y[20:24] = 0
+    m = matrix_of(spark, y, FORMS[form])
+    encode, decode = (init_factor(spark, 12, 2, "gaussian", seed) for seed in (1, 2))
+    layout = prepare(m, 3)
+    means = layout.stats.select("col_id", "mean")
+    told = [
+        {r["col_id"]: (r["error"], r["norm"]) for r in quality.error_sums(m, encode, decode, means, 2, rate, layout=laid).collect()}
+        for laid in (None, layout)
+    ]
+    assert told[0].keys() == told[1].keys()
+    for c, sums in told[0].items():
+        assert np.allclose(told[1][c], sums, rtol=1e-10)
+    parts = quality._laid_parts(layout, encode, decode, means, 2, rate, 42)
+    if form == "broadcast":
+        assert "Exchange hashpartitioning" not in parts.cells._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    layout.release()
