@@ -12,6 +12,7 @@ from factorspark.operators import moments
 from factorspark.operators.accumulate import PARTIALS_SCHEMA
 from factorspark.operators.factors import VALIDATION_FACTOR, VALIDATION_SS, init_factor
 from factorspark.plans import em, quality, sites
+from factorspark.plans import layout as plan
 from factorspark.plans.layout import prepare
 from factorspark.plans.transform import transform
 from factorspark.session import new_dir
@@ -358,3 +359,23 @@ def test_error_of_cells_that_are_laid_out(spark, form, rate):
     if form == "broadcast":
         assert "Exchange hashpartitioning" not in parts.cells._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
     layout.release()
+
+
+@pytest.mark.parametrize("cells, columns", [(7, 5), (1 << 20, 1 << 16)])
+def test_packed_cells_give_the_product(spark, monkeypatch, cells, columns):
+    """Rows that go over several chunks and blocks, and columns without a factor row; cells are not joined with latent rows."""
+    monkeypatch.setattr(plan, "CELLS_AT_ONCE", cells)
+    monkeypatch.setattr(plan, "COLUMNS", columns)
+    y = sparse(7, 40, 13)
+    w = np.random.default_rng(3).random((13, 2))
+    w[4] = 0
+    layout = prepare(matrix_of(spark, y), 2)
+    product = plan.gram_product(layout, factor_of(spark, w).where("col_id <> 4"), 2, [0.5, -0.25])
+    kept = (y != 0).any(axis=1)
+    want = y.T @ np.where(kept[:, None], y @ w - [0.5, -0.25], 0)
+    found = {r["col_id"]: (r["p_0"], r["p_1"]) for r in product.collect()}
+    assert sorted(found) == [int(c) for c in np.flatnonzero((y != 0).any(axis=0))]
+    assert all(np.allclose(found[c], want[c]) for c in found)
+    told = product._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert "SortMergeJoin" not in told and "BroadcastHashJoin" in told
+    layout.release()
