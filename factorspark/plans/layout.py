@@ -157,8 +157,8 @@ def _product_in_place(layout: Layout, factor: DataFrame, k: int, shift: Sequence
 
 
 def _packer(at_once: int, columns: int):
-    """From cells with those of a row together to records of whole rows by block of columns: first row, number of rows, and for each cell its row, counted
-    from 0, its column in the block and its value. Being local, it travels to the workers with the job."""
+    """From cells with those of a row together to records of whole rows by block of columns: first row, number of rows, and
+    for each cell its row, counted from 0, its column in the block and its value. Being local, it travels to the workers with the job."""
 
     def packed(table):
         rows, cols, values = (table.column(c).to_numpy() for c in ("row_id", "col_id", "value"))
