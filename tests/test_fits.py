@@ -15,7 +15,7 @@ from factorspark.plans import em, quality, sites
 from factorspark.plans import layout as plan
 from factorspark.plans.layout import prepare
 from factorspark.plans.transform import transform
-from factorspark.session import new_dir
+from factorspark.session import claim, new_dir
 
 N, D, K = 26, 12, 3
 
@@ -124,6 +124,13 @@ def test_two_fits_at_once_do_not_meet(spark, y, w):
     assert len(set(folders)) == 4
 
 
+def test_one_of_many_claims_succeeds(spark):
+    folder = new_dir(spark, "claims")
+    with ThreadPoolExecutor(8) as pool:
+        for n in range(50):
+            assert sum(pool.map(lambda _: claim(spark, f"{folder}/{n}/owner"), range(8))) == 1
+
+
 def test_resume_continues_its_own_rounds_only(spark, y, w):
     m, start, other = matrix_of(spark, y), factor_of(spark, w), factor_of(spark, w + 1)
     layout = prepare(m, K, folder=new_dir(spark, "two-fits"))
