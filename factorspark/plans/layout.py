@@ -47,6 +47,7 @@ class Layout:
     n_heavy: int
     folder: str
     _packed: DataFrame | None = field(default=None, repr=False)
+    _kept: DataFrame | None = field(default=None, repr=False)
 
     def holds(self, doubles: int) -> bool:
         """Was it prepared for a table of that many numbers per column?"""
@@ -60,8 +61,15 @@ class Layout:
             self._packed = cells.persist(StorageLevel.MEMORY_AND_DISK)
         return self._packed
 
+    def kept(self, sums: DataFrame) -> DataFrame:
+        """Persist the sums of a pass that are read more than once; those of the pass before are let go."""
+        if self._kept is not None:
+            self._kept.unpersist()
+        self._kept = sums.persist(StorageLevel.MEMORY_AND_DISK)
+        return self._kept
+
     def release(self) -> None:
-        for table in (self.light, self.heavy, self.needs, self._packed):
+        for table in (self.light, self.heavy, self.needs, self._packed, self._kept):
             if table is not None:
                 table.unpersist()
 

@@ -36,9 +36,12 @@ def site_partials(layout: Layout, factor: DataFrame, k: int, r: int, center: str
     """
     shift = site_shift(layout, factor, k, center)
     moments = gram_product(layout, factor, k, shift, by_site=True)
-    both = moments.join(factor.select("col_id", *names("w", k)), "col_id")
+    # Gramian, cells and their counts are read from one pass.
+    beside = factor.select("col_id", *names("w", k))
+    near = F.broadcast(beside) if layout.matrix.limits.fits(layout.matrix.n_cols, k) else beside
+    both = layout.kept(moments.join(near, "col_id", "left"))
     gram = products(both, {"XtX": (names("w", k), names("p", k))}, by="site").withColumn("i", F.col("i").cast("bigint"))
-    tall = long(moments, k, "col_id", "p").withColumn("kind", F.lit("YtX"))
+    tall = long(both.drop(*names("w", k)), k, "col_id", "p").withColumn("kind", F.lit("YtX"))
     every = gram.unionByName(tall).withColumn("round", F.lit(r))
     return every.select("round", "site", "kind", "i", "j", "value")
 

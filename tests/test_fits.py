@@ -1,5 +1,6 @@
 import math
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from factorspark.plans import layout as plan
 from factorspark.plans.layout import prepare
 from factorspark.plans.transform import transform
 from factorspark.session import claim, new_dir
+from factorspark.sources.tables import write_partials
 
 N, D, K = 26, 12, 3
 
@@ -225,6 +227,23 @@ def test_sites_equal_pooled_rows_centred_by_site(spark, y, w, form):
     layout.release()
 
 
+def test_sites_send_what_one_pass_gives(spark, y, w):
+    site = np.array(["a", "b"])[np.arange(N) % 2]
+    m, read = matrix_of(spark, y, site=site), spark.sparkContext.accumulator(0)
+    layout = prepare(m, K)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    seen = replace(layout, light=layout.light.mapInArrow(counted, layout.light.schema))
+    write_partials(sites.site_partials(seen, factor_of(spark, w), K, 0), new_dir(spark, "sent"))
+    # A pass reads cells for the latent rows and once more beside them.
+    assert read.value <= 2 * np.count_nonzero(y)
+    seen.release()
+
+
 def test_site_partials(spark, y, w):
     site = np.array(["a", "b"])[np.arange(N) % 2]
     m = matrix_of(spark, y, site=site)

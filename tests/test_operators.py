@@ -200,6 +200,20 @@ def test_accumulate_counts_each_site_once(spark):
     assert {(r["round"], r["i"]): r["value"] for r in got.collect()} == {(0, 0): 3.0, (0, 1): 6.0, (0, 2): 9.0}
 
 
+def test_facts_are_counted_before_sites_are_joined(spark):
+    facts = spark.createDataFrame([(r, c, 1.0) for r in range(4) for c in range(3)], "r int, c int, v double")
+    site_rows = spark.createDataFrame([("a", 4), ("b", 4)], "site string, n_rows bigint")
+    never = facts.withColumn("site", F.raise_error(F.concat(F.lit("joined "), F.col("r"))).cast("string"))
+    m = SparseMatrix.from_table(never, "r", "c", "v", 4, 3, facts=facts, site_rows=site_rows, limits=Limits(hot_cells=2, max_hot=4))
+    assert m.n_cells == 12 and m.hot_keys(["col_id"]) is not None
+    cold = SparseMatrix.from_table(never, "r", "c", "v", 4, 5, facts=facts, site_rows=site_rows, limits=Limits(hot_cells=3))
+    assert cold.hot_keys(cold.row_keys) is None
+    # Three facts of a row, but no more than two at a site.
+    split = facts.withColumn("site", F.when((F.col("c") > 1) & (F.col("r") > 0), "b").otherwise("a"))
+    m = SparseMatrix.from_table(split, "r", "c", "v", 4, 3, facts=facts, site_rows=site_rows, limits=Limits(hot_cells=2, max_hot=100))
+    assert [(h["site"], h["row_id"]) for h in m.hot_keys(m.row_keys).collect()] == [("a", 0)]
+
+
 def test_profile(spark, y):
     row = moments.matrix_profile(matrix_of(spark, y)).first()
     assert row["n_rows_stored"] == np.count_nonzero(y.any(axis=1)) and row["n_nonzero"] == np.count_nonzero(y)
