@@ -21,8 +21,9 @@ def with_counts(partials: DataFrame) -> DataFrame:
 
 
 def distinct_cells(partials: DataFrame) -> DataFrame:
-    """Each cell of each site once, however often its file was delivered."""
-    return partials.groupBy("round", "kind", "site", "i", "j").agg(F.max("value").alias("value"))
+    """Each cell of each site once, however often its file was delivered; those of one place come together."""
+    placed = partials.repartition("round", "kind", "i")
+    return placed.groupBy("round", "kind", "site", "i", "j").agg(F.max("value").alias("value"))
 
 
 def complete_rounds(partials: DataFrame, n_sites: int, announced: bool = False) -> DataFrame:
@@ -30,9 +31,13 @@ def complete_rounds(partials: DataFrame, n_sites: int, announced: bool = False)
 
     With `announced` a site has arrived when it has as many cells as it said it would send.
     """
-    sites = distinct_cells(partials).groupBy("round", "kind", "site").agg(
-        F.count_if(F.col("i") != COUNT_ROW).alias("cells"),
-        F.max(F.when(F.col("i") == COUNT_ROW, F.col("value"))).alias("announced"),
+    keys = ["round", "kind", "site"]
+    # All cells count, whatever their value; as it is read, the same shuffle serves their sums.
+    cells = (F.count("value") + F.count_if(F.col("value").isNull())).alias("cells")
+    sent = distinct_cells(partials.filter(F.col("i") != COUNT_ROW)).groupBy(*keys).agg(cells)
+    told = partials.filter(F.col("i") == COUNT_ROW).groupBy(*keys).agg(F.max("value").alias("announced"))
+    sites = sent.unionByName(told, allowMissingColumns=True).groupBy(*keys).agg(
+        F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"), F.max("announced").alias("announced")
     )
     if announced:
         sites = sites.filter(F.col("cells") == F.col("announced"))
@@ -45,10 +50,13 @@ def accumulate_partials(partials: DataFrame, n_sites: int, announced: bool = Fal
 
     How the sites are connected (tree, star or shared storage) does not change the sum.
     """
+    # One shuffle serves counts and sums if both read the same cells: nulls, which the join drops, are dropped before,
+    # and a semi-join would be moved below the sums. There are a few kinds in a round.
+    partials = partials.filter(F.col("round").isNotNull() & F.col("kind").isNotNull())
     done = complete_rounds(partials, n_sites, announced)
-    cells = distinct_cells(partials).filter(F.col("i") != COUNT_ROW)
+    cells = distinct_cells(partials.filter(F.col("i") != COUNT_ROW))
     sums = cells.groupBy("round", "kind", "i", "j").agg(F.sum("value").alias("value"))
-    return sums.join(done, ["round", "kind"], "left_semi")
+    return sums.join(F.broadcast(done), ["round", "kind"])
 
 
 def wide(partials: DataFrame, k: int, key: str = "col_id", prefix: str = "p") -> DataFrame:

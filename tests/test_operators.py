@@ -8,6 +8,7 @@ from factorspark.functions import smalldense
 from factorspark.functions.columns import gaussian, uniform
 from factorspark.operators import cells, factors, moments, products, small
 from factorspark.operators.accumulate import accumulate_partials
+from factorspark.session import new_dir
 from factorspark.sources.tables import PARTIALS_SCHEMA
 
 N, D, K = 23, 11, 3
@@ -200,6 +201,19 @@ def test_accumulate_counts_each_site_once(spark):
     assert {(r["round"], r["i"]): r["value"] for r in got.collect()} == {(0, 0): 3.0, (0, 1): 6.0, (0, 2): 9.0}
 
 
+def test_accumulate_moves_cells_once(spark):
+    rows = [(0, s, "M", i, 0, None if i == 2 else float(i)) for s in "ab" for i in range(3)]
+    # Site b sends no cells of kind N, and says so.
+    rows += [(0, "a", "N", 0, 0, 5.0)]
+    counts = [(0, "a", "M", -1, -1, 3.0), (0, "b", "M", -1, -1, 3.0), (0, "a", "N", -1, -1, 1.0), (0, "b", "N", -1, -1, 0.0)]
+    path = new_dir(spark, "sent")
+    spark.createDataFrame(rows + counts, PARTIALS_SCHEMA).write.parquet(path)
+    got = accumulate_partials(spark.read.schema(PARTIALS_SCHEMA).parquet(path), 2, announced=True)
+    assert {(r["kind"], r["i"]): r["value"] for r in got.collect()} == {("M", 0): 0.0, ("M", 1): 2.0, ("M", 2): None, ("N", 0): 5.0}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1
+
+
 def test_facts_are_counted_before_sites_are_joined(spark):
     facts = spark.createDataFrame([(r, c, 1.0) for r in range(4) for c in range(3)], "r int, c int, v double")
     site_rows = spark.createDataFrame([("a", 4), ("b", 4)], "site string, n_rows bigint")
