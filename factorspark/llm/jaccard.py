@@ -174,7 +174,7 @@ def named(docs: DataFrame, hasher: Hasher) -> DataFrame:
 
 def common_buckets(docs: DataFrame, hasher: Hasher) -> np.ndarray:
     """In how many nodes the shingles of each bucket occur; counts that chance explains are 0. Of a size that does not depend on the
-    data: a task adds up its counts before it sends them, in slices."""
+    data: a task adds up its counts before it sends them, in slices; the driver gets sums, and counts below `COMMON` as 0, compressed."""
     small_batches(docs.sparkSession)
     width = BUCKETS // SLICES
 
@@ -195,23 +195,30 @@ def common_buckets(docs: DataFrame, hasher: Hasher) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Slices come sorted."""
+
+        def summed():
+            high = np.where(total < COMMON, 0, np.minimum(total, np.iinfo("int32").max)).astype("int32")
+            arrays = [pa.array([at], pa.int32()), pa.array([int(total.sum())], pa.int64()), pa.array([zlib.compress(high.tobytes(), 1)], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["slice", "total", "data"])
+
         at, total = None, None
         for batch in itertools.chain(batches, [None]):
             for k, data in ((None, None),) if batch is None else zip(*(batch.column(c).to_pylist() for c in ("slice", "data"))):
                 if k != at and at is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "data"])
+                    yield summed()
                 if k != at:
                     at, total = k, np.zeros(width, "int64")
                 if k is not None:
                     total += np.frombuffer(zlib.decompress(data), "int32")
 
     sent = docs.select("text").mapInArrow(tidy(of), "slice int, data binary").repartition("slice").sortWithinPartitions("slice")
-    out = np.zeros(BUCKETS, "int64")
-    for row in sent.mapInArrow(tidy(add), "slice int, data binary").collect():
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["data"], "int64")
-    mean = out.sum() / BUCKETS
+    out, total = np.zeros(BUCKETS, "int32"), 0
+    for row in sent.mapInArrow(tidy(add), "slice int, total bigint, data binary").collect():
+        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["data"]), "int32")
+        total += row["total"]
+    mean = total / BUCKETS
     out[out < max(COMMON, mean + 4 * mean**0.5)] = 0
-    return np.minimum(out, np.iinfo("int32").max).astype("int32")
+    return out
 
 
 def in_order(grams: np.ndarray, common: np.ndarray, similar: tuple[int, int], depth: int = 1) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import held_out, slices, small_batches, table, texts_of, tidy
+from factorspark.llm.common import held_out, release, slices, small_batches, table, texts_of, tidy
 
 PASSAGE = 400
 #: Labelled documents to learn from, by the hash of their ids, and passages of them all; documented bounds.
@@ -185,7 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, training: int = TRAINING, most: in
     for n in counts:
         x[at : at + n] = np.frombuffer(bags.pop()[2], "float32").reshape(-1, WIDTH)
         at += n
-    return fit(x, counts, y, in_place=True, **options)
+    model = fit(x, counts, y, in_place=True, **options)
+    # The driver goes on to other steps.
+    del x, bags
+    release()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from fractions import Fraction
 
 import corpus_pipeline as c
@@ -69,6 +70,22 @@ def test_pairing_without_stars_and_with_cut_lists(documents):
         assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_counts_of_buckets_reach_the_driver_small(documents):
+    rng, line = random.Random(6), " ".join(f"line{i}" for i in range(9))
+    rows = [(i, f"{line} w{rng.randrange(9)} v{i}") for i in range(20)]
+    hasher, want = jaccard.Hasher(), np.zeros(jaccard.BUCKETS, "int32")
+    for grams in {tuple(hasher(t)) for _, t in rows}:
+        np.add.at(want, np.array(grams) & (jaccard.BUCKETS - 1), 1)
+    want[want < jaccard.COMMON] = 0
+    df = documents(*rows)
+    tracemalloc.start()
+    got = jaccard.common_buckets(df, hasher)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and want.any()
+    assert peak < got.nbytes + (8 << 20)
+
+
 def test_parities_differ_by_no_more_than_their_sets(spark):
     rng = np.random.default_rng(4)
     rows, want = [], []
