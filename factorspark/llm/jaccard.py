@@ -6,9 +6,12 @@ are read in, so each set is indexed by these only. Shingles that are common, by
 order, which only makes the lists of the index short. Every pair that meets, by either way, is verified by its whole sets: none is missed or added.
 
 Equal sets are one node from the start. Pairs are first ruled out by the parities of their sets, a bit for each shingle; whole sets are
-fetched only for what passes. Short lists are paired; in a few rounds each longer list links its members to one of them; nodes
+fetched only for what passes. Short lists are paired. The nodes of longer lists that hold several parts are indexed anew, in the order of
+how many of these sets hold each shingle. Two sets meet first where the shingles before are in one of them only, so their places there
+say how much they can share at most; a copy with many changes of its own meets no other at all. In a few rounds each list links its
+members to one of them, first to that with the least changes; nodes
 linked are one part from then on, and lists within one part are done. Of lists that still hold several
-parts, the nodes outside the largest part are paired with the rest. A list with more than `HOT` of them is refined first: sets that similar share two of their
+parts, the nodes outside the largest part are paired with those of the rest that their places allow. A list with more than `HOT` of them is refined first: sets that similar share two of their
 first `n - ceil(0.8 n) + 2` shingles, so it is cut by a second shingle, then by a third. Sets are hashed anew from the texts whenever they are needed.
 Shingles are compared by 64-bit hashes, whole sets by 128 bits.
 """
@@ -24,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorspark.llm import simhash
@@ -312,8 +315,21 @@ class Parts:
             discard(old)
 
 
+def _anew(sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(key, used, node, n, at): an index of the sets by their first shingles, those that the fewest of them hold first, with the place
+    of each in its set. Rows that the sizes of the sets with their shingle rule out are left out."""
+    top, bottom = similar
+    every = sets.select("node", F.size("grams").alias("n"), F.explode("grams").alias("key"))
+    held = every.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("low"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("rows", "key")) - 1
+    rows = every.join(held, "key").withColumn("at", place).where("rows > 1")
+    first = F.col("n") - F.col("at")
+    rows = rows.where(first * bottom >= F.col("n") * top).where(first * (top + bottom) >= (F.col("n") + F.col("low")) * top)
+    return rows.select("key", F.array("key").alias("used"), "node", "n", "at")
+
+
 def _of_several(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of lists (key, used, node, n) with their part, of lists that hold more than one, written. `major` is the part with most
+    """Rows of lists (key, node, ...) with their part, of lists that hold more than one, written. `major` is the part with most
     nodes of the list, `minor` counts the others."""
     now = rows.join(parts, "node")
     shares = now.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
@@ -323,21 +339,25 @@ def _of_several(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _star(rows: DataFrame, number: int) -> DataFrame:
-    """(a, b): each node of a list with one of another part than its own: the first in an order that differs by round."""
-    hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(number)), "node", "part")).alias("m"))
+    """(a, b): each node of a list with one of another part than its own: that with the least before its shingle, in later rounds
+    the first in an order that differs by round."""
+    order = F.xxhash64("node", F.lit(number)) if number else F.col("at")
+    hubs = rows.groupBy("key").agg(F.min(F.struct(order, "node", "part")).alias("m"))
     met = rows.join(hubs, "key").where("part <> m.part")
     return met.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"))
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): the nodes of a list outside its major part with those of all other parts."""
-    other = rows.where("part <> major").select("key", F.col("node").alias("other"), F.col("part").alias("of"))
-    met = rows.join(other, "key").where("part <> of")
+def _all_pairs(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(a, b): the nodes of a list outside its major part with those of all other parts, where their places let them share enough."""
+    top, bottom = similar
+    other = rows.where("part <> major").select("key", *[F.col(c).alias(f"{c}_") for c in ("n", "at")], F.col("node").alias("other"), F.col("part").alias("of"))
+    most = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_"))
+    met = rows.join(other, "key").where("part <> of").where(most * (top + bottom) >= (F.col("n") + F.col("n_")) * top)
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 def _cut_deeper(rows: DataFrame, sets: DataFrame, shared: Broadcast, similar: tuple[int, int], depth: int) -> DataFrame:
-    """Lists (key, used, node, n) cut by one more shingle: similar sets share `depth` of their first ones, those used included."""
+    """Lists (key, used, node, n, at) cut by one more shingle: similar sets share `depth` of their first ones. Places count no more."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +370,7 @@ def _cut_deeper(rows: DataFrame, sets: DataFrame, shared: Broadcast, similar: tu
                 yield pa.RecordBatch.from_arrays(columns, names=["used", "node", "n"])
 
     deeper = rows.select("used", "node", "n").join(sets, "node").mapInArrow(tidy(of), "used array<bigint>, node bigint, n int")
-    return deeper.distinct().withColumn("key", F.xxhash64("used"))
+    return deeper.distinct().withColumns({"key": F.xxhash64("used"), "at": F.lit(0)})
 
 
 def _pairs_of_small(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -386,8 +406,12 @@ def similar_parts(docs: DataFrame, hasher: Hasher, names: DataFrame, similar: tu
     rows = written(rows, "postings")
     parts.link(_pairs_of_small(rows.where(F.col("rows") <= small), similar))
 
-    lists = written(rows.where(F.col("rows") > small).select("key", F.array("key").alias("used"), "node", "n").distinct(), "lists")
-    discard(rows)
+    # What meets in short lists only is settled; the nodes of the others are indexed anew among themselves.
+    several = _of_several(rows.where(F.col("rows") > small).select("key", "node"), parts.of)
+    sets = sets_of(docs, hasher, names, several.select("node").distinct())
+    lists = written(_anew(sets, similar), "lists")
+    for old in (rows, several, sets):
+        discard(old)
     for depth in itertools.count(1):
         for number in range(stars):
             now = _of_several(lists, parts.of)
@@ -397,7 +421,7 @@ def similar_parts(docs: DataFrame, hasher: Hasher, names: DataFrame, similar: tu
             parts.link(_star(now, number))
             discard(now)
         now = _of_several(lists, parts.of)
-        parts.link(_all_pairs(now.where(F.col("minor") <= hot) if depth < DEEPEST else now))
+        parts.link(_all_pairs(now.where(F.col("minor") <= hot) if depth < DEEPEST else now, similar))
         left = now.where(F.col("minor") > hot)
         if depth == DEEPEST or left.isEmpty():
             break

@@ -70,6 +70,23 @@ def test_pairing_without_stars_and_with_cut_lists(documents):
         assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_copies_too_far_apart_are_not_paired_all_with_all(documents, monkeypatch):
+    rng = random.Random(8)
+    base, rows, made = [f"w{i}" for i in range(200)], [], []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(5, 195), 1 + i % 8):
+            words[k] = f"v{rng.randrange(1 << 30)}"
+        rows.append((i, " ".join(words)))
+    want = brute(rows)
+    assert 40 < len(want) < 100
+    all_pairs = jaccard._all_pairs
+    monkeypatch.setattr(jaccard, "_all_pairs", lambda *a: (made.append(all_pairs(*a).count()), all_pairs(*a))[1])
+    kept = jaccard.without_similar(documents(*rows))
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    assert sum(made) < 20 * len(rows)
+
+
 def test_counts_of_buckets_reach_the_driver_small(documents):
     rng, line = random.Random(6), " ".join(f"line{i}" for i in range(9))
     rows = [(i, f"{line} w{rng.randrange(9)} v{i}") for i in range(20)]
