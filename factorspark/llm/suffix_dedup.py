@@ -20,6 +20,7 @@ entry of each shard.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 import zlib
@@ -54,8 +55,10 @@ def words_seen(data: bytes) -> np.ndarray:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _ODD[3]
-    return x ^ (x >> np.uint64(29))
+    x = x ^ (x >> np.uint64(32))
+    x *= _ODD[3]
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def gram_hashes(words: np.ndarray) -> np.ndarray:
@@ -115,8 +118,9 @@ def suffix_order(words: np.ndarray, room: np.ndarray, length: int = LENGTH) -> n
         rank[here] = (both >> 32).astype("int32") + _heads(both) - _heads(both >> 32)
         known += step
         head = rank[np.flatnonzero(room >= known)]
-    at = np.flatnonzero(room >= length).astype("int32")
-    return at[np.argsort(rank[at], kind="stable")]
+    at = np.flatnonzero(room >= length)
+    both = np.sort(rank[at].astype("int64") << 32 | at)  # equal ranks by place
+    return (both & 0xFFFFFFFF).astype("int32")
 
 
 def common_prefixes(words: np.ndarray, order: np.ndarray, limit: int = LENGTH, lanes: int = 4_096) -> np.ndarray:
@@ -127,29 +131,37 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, limit: int = LENGTH, l
     `order` may leave suffixes out: bytes count as shared only if the suffix before moved along.
     """
     n, order = len(order), order.astype("int64")
-    before = np.concatenate(([-1], order[:-1])) if n else order
-    text = np.argsort(order)
-    height = -(-n // lanes) if n else 0
-    pad = height * lanes - n
-    place = np.concatenate((text, np.full(pad, -1))).reshape(lanes, height)
-    out, shared = np.zeros(n, "int32"), np.zeros(lanes, "int64")
-    last, ahead = np.zeros(lanes, "int64"), np.full(lanes, -1, "int64")
+    if not n:
+        return np.zeros(0, "int32")
+    before = np.concatenate(([-1], order[:-1]))
+    text = np.full(int(order.max()) + 1, -1, "int64")
+    text[order] = np.arange(n)
+    text = text[text >= 0]
+    height = -(-n // lanes)
+    place = np.concatenate((text, np.full(height * lanes - n, -1))).reshape(lanes, height).T.copy()
+    i, j = np.where(place >= 0, order[place], 0), np.where(place >= 0, before[place], -1)
+    steps = i[1:] - i[:-1]
+    moved = (j[:-1] >= 0) & (j[1:] - j[:-1] == steps)
+    out, shared, end = np.zeros(n, "int32"), np.zeros(lanes, "int64"), len(words) - 1
     size = np.uint64(1)
-    for column in place.T:
-        i, j = np.where(column >= 0, order[column], 0), np.where(column >= 0, before[column], -1)
-        carried = (shared < limit) & (ahead >= 0) & (j - ahead == i - last)
-        shared = np.where(carried, np.maximum(shared - (i - last), 0), 0)
-        last, ahead = i, j
-        open_ = np.flatnonzero(j >= 0)
-        shared[j < 0] = 0
+    for k in range(height):
+        if k:
+            carried = moved[k - 1] & (shared < limit)
+            shared = np.where(carried, np.maximum(shared - steps[k - 1], 0), 0)
+        open_ = np.flatnonzero(j[k] >= 0)
+        shared[j[k] < 0] = 0
+        a, b, so_far = i[k][open_], j[k][open_], shared[open_]
         while len(open_):
-            differ = words[np.minimum(i[open_] + shared[open_], len(words) - 1)] ^ words[np.minimum(j[open_] + shared[open_], len(words) - 1)]
+            differ = words[np.minimum(a + so_far, end)] ^ words[np.minimum(b + so_far, end)]
             lowest = differ & (~differ + size)
-            shared[open_] += np.where(differ == 0, 8, np.bitwise_count(lowest - size) // 8)
-            open_ = open_[(differ == 0) & (shared[open_] < limit)]
-        shared = np.minimum(shared, limit)
-        seen = column >= 0
-        out[column[seen]] = shared[seen]
+            same = differ == 0
+            so_far = so_far + np.where(same, 8, np.bitwise_count(lowest - size) // 8)
+            shared[open_] = so_far
+            on = np.flatnonzero(same & (so_far < limit))
+            open_, a, b, so_far = open_[on], a[on], b[on], so_far[on]
+        np.minimum(shared, limit, out=shared)
+        seen = place[k] >= 0
+        out[place[k][seen]] = shared[seen]
     return out
 
 
@@ -238,6 +250,8 @@ class Shard:
         self.sizes = np.array([len(t) for t in texts], "int64")
         self.starts = np.cumsum(self.sizes) - self.sizes
         self._all_anchors: tuple | None = None
+        #: The text of each byte.
+        self.of = np.repeat(np.arange(len(texts), dtype="int32"), self.sizes)
 
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position, hash and text of each anchor whose gram lies within one text; computed once."""
@@ -248,7 +262,7 @@ class Shard:
     def _find_anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes = gram_hashes(words_at(self.data))
         at = anchors(hashes, length)
-        of = np.searchsorted(self.starts, at, "right") - 1
+        of = self.of[at]
         inside = at + GRAM <= (self.starts + self.sizes)[of]
         return at[inside], hashes[at[inside]], of[inside]
 
@@ -318,12 +332,18 @@ def _rows(names: list[str], rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names)
 
 
+@functools.cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Those of this process; many small pieces are packed."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _packed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return _zstd()[0].compress(data)
 
 
 def _unpacked(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _zstd()[1].decompress(data)
 
 
 def _steps(values: np.ndarray) -> bytes:
@@ -503,7 +523,7 @@ def remove_repeats(
 
     def sort(held: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         """Runs of one shard. Texts that no other shard touches are done; the others wait for the merge."""
-        release()  # what the group before has left
+        release(collect=False)  # what the group before has left
         row = held.to_dict("records")[0]
         shard, ids = _shard(row)
         cross, inner = (
@@ -512,29 +532,33 @@ def remove_repeats(
         )
         outside = shard.around(cross, length, ranges)
         at, run = shard.runs(outside | shard.around(inner, length, ranges), length)
-        owner = shard.ids[np.searchsorted(shard.starts, at, "right") - 1]
+        owner = shard.ids[shard.of[at]]
         least = np.full(int(run[-1]) + 1 if len(run) else 0, NOBODY)
         np.minimum.at(least, run, owner)
         covered = np.zeros(len(shard.data), bool)
         covered[at[least[run] < owner]] = True
-        touched = np.unique(np.searchsorted(shard.starts, np.flatnonzero(outside), "right") - 1)
         waits = np.zeros(len(ids), bool)
-        waits[touched] = True
+        waits[shard.of[outside]] = True
+        touched = np.flatnonzero(waits)
         out = [(*[None] * len(pending), *r) for r in settle(shard, ids, covered, np.flatnonzero(~waits))]
         if len(touched):
             # Only what waits is kept, laid end to end anew.
             shift = np.zeros(len(ids), "int64")
             shift[touched] = np.cumsum(shard.sizes[touched]) - shard.sizes[touched] - shard.starts[touched]
-            mine = np.flatnonzero(outside[at])
-            mine = mine[np.argsort(at[mine])]
-            here, kind = at[mine], run[mine]
+            kind = np.full(len(shard.data), -1, "int64")
+            kind[at] = np.where(outside[at], run, -1)
+            here = np.flatnonzero(kind >= 0)
+            kind = kind[here]
             # Each run once, at its first place, in the order in which it is sent: by range of its least gram, then by place.
-            kinds, first = np.unique(kind, return_index=True)
+            first = np.full(len(least), -1, "int64")
+            first[kind[::-1]] = np.arange(len(kind))[::-1]
+            kinds = np.flatnonzero(first >= 0)
+            first = first[kinds]
             low = shard.least_grams(here[first], length)
             part = part_of(low, ranges)
             sent = np.lexsort((here[first], part))
-            number = np.empty(len(kinds), "int64")
-            number[sent] = np.arange(len(kinds))
+            number = np.empty(len(least), "int64")
+            number[kinds[sent]] = np.arange(len(kinds))
             place, low, part, own = here[first][sent], low[sent], part[sent], least[kinds][sent]
             fresh = (np.diff(place) != 1) | (low[1:] != low[:-1]) | (own[1:] != own[:-1]) | (part[1:] != part[:-1])
             heads = np.flatnonzero(np.concatenate(([True], fresh)))
@@ -545,12 +569,12 @@ def remove_repeats(
                 x, y = cuts[k], cuts[k + 1]
                 text = b"".join(shard.data[place[h] : place[h] + n + length - 1] for h, n in zip(heads[x:y], counts[x:y]))
                 stretches.append((int(k), int(heads[x]), _packed(text), counts[x:y].astype("int32").tobytes(), own[heads[x:y]].tobytes()))
-            of = np.searchsorted(shard.starts, here, "right") - 1
+            of = shard.of[here]
             keep = np.concatenate([np.arange(shard.starts[d], shard.starts[d] + shard.sizes[d]) for d in touched])
             state = (
                 row["shard"], _packed(b"".join(shard.texts[d] for d in touched)), [int(shard.sizes[d]) for d in touched],
                 [[x for x, _ in ids[d]] for d in touched], [[of for _, of in ids[d]] for d in touched], zlib.compress(np.packbits(covered[keep]).tobytes(), 1), _steps(here + shift[of]),
-                _steps(number[np.searchsorted(kinds, kind)]), [dict(zip(sending, x)) for x in stretches],
+                _steps(number[kind]), [dict(zip(sending, x)) for x in stretches],
             )
             out.append((*state, *[None] * len(names)))
         return _rows(pending + names, out)
@@ -566,35 +590,40 @@ def remove_repeats(
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         """Whether another shard's id of a string is smaller: each list is looked up in the merged one by binary search."""
-        release()
-        lists = []
-        for text, counts, least in zip(group["text"], group["counts"], group["least"]):
+        release(collect=False)
+        texts, places, ids, begin = [], [], [], 0
+        for text, counts, least in zip(map(_unpacked, group["text"]), group["counts"], group["least"]):
             counts = np.frombuffer(counts, "int32").astype("int64")
-            begin = np.cumsum(counts + length - 1) - (counts + length - 1)
-            at = (np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())).astype("int32")
-            lists.append((words_seen(_unpacked(text)), at, np.repeat(np.frombuffer(least, "i8"), counts), np.zeros(len(at), bool)))
+            start = begin + np.cumsum(counts + length - 1) - (counts + length - 1)
+            places.append(np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum()))
+            ids.append(np.repeat(np.frombuffer(least, "i8"), counts))
+            texts.append(text)
+            begin += len(text)
+        sizes = np.array([len(p) for p in places], "int64")
+        words, at, least = words_seen(b"".join(texts)), np.concatenate(places), np.concatenate(ids)
+        del texts, places, ids
+        of, smaller = np.repeat(np.arange(len(sizes), dtype="int32"), sizes), np.zeros(len(at), bool)
         # Some strings at a time, the same of all shards: those whose first bytes fall into one of so many classes.
-        classes = max(1, -(-sum(len(at) for _, at, *_ in lists) // AT_ONCE))
-        kinds = [(_mix(words[at]) % np.uint64(classes)).astype("int32") for words, at, *_ in lists]
+        classes = max(1, -(-len(at) // AT_ONCE))
+        kinds = (_mix(words[at]) % np.uint64(classes)).astype("int32")
         for kind in range(classes):
-            some = []
-            for (words, at, least, _), own in zip(lists, kinds):
-                here = np.flatnonzero(own == kind)
-                strings = rows_of_words(words, at[here], length)
-                key = digest(strings)
-                order = np.argsort(key)
-                some.append((here[order], key[order], strings[order], least[here[order]]))
-            found = smaller_elsewhere([x[1:] for x in some])
-            for (*_, smaller), (here, *_), flags in zip(lists, some, found):
-                smaller[here] = flags
-        out = [(own, first, len(x[3]), np.packbits(x[3]).tobytes()) for own, first, x in zip(group["shard"], group["first"], lists)]
+            here = np.flatnonzero(kinds == kind)
+            strings = rows_of_words(words, at[here], length)
+            key = digest(strings)
+            order = np.lexsort((key, of[here]))
+            here, key, strings = here[order], key[order], strings[order]
+            cuts = np.flatnonzero(np.diff(of[here])) + 1
+            found = smaller_elsewhere(list(zip(*(np.split(x, cuts) for x in (key, strings, least[here])))))
+            smaller[here] = np.concatenate(found)
+        ends = np.cumsum(sizes)
+        out = [(own, first, int(n), np.packbits(smaller[end - n : end]).tobytes()) for own, first, n, end in zip(group["shard"], group["first"], sizes, ends)]
         return _rows(["shard", "first", "n", "smaller"], out)
 
     dealt = waiting.select("shard", F.explode("stretches").alias("x")).select("shard", "x.*")
     best = dealt.groupBy("part").applyInPandas(merge, "shard string, first int, n int, smaller binary")
 
     def finish(held: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        release()
+        release(collect=False)
         row = held.to_dict("records")[0]
         shard, ids = _shard(row)
         at, run = _from_steps(row["starts"]), _from_steps(row["runs"])
