@@ -33,11 +33,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import discard, release, small_batches, table, tidy, written
+from factorspark.llm.common import discard, release, slices, small_batches, table, tidy, written
 
 LENGTH, GRAM = 50, 16
 #: Bytes of different texts in a shard; anchors and runs in a range of hashes.
 SHARD_BYTES, RANGE = 1 << 20, 250_000
+#: Grams that are hashed at a time.
+BLOCK = 1 << 15
 #: Strings that are merged at a time.
 AT_ONCE = 1 << 17
 NOBODY = np.iinfo("int64").max  # stands for the id of documents without one, which are marked: "-"
@@ -85,6 +87,35 @@ def anchors(hashes: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return np.flatnonzero(hashes == _sliding(np.concatenate((edge, low, edge)), width, np.maximum))
 
 
+def anchors_in(data: bytes, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of each anchor of some bytes. They are looked for block by block, with as many grams more on either side as
+    share a string with one of the block, so that numbers stay in the cache."""
+    words, halo, found = words_seen(data), length - GRAM, []
+    n = max(0, len(words) - 8)
+    for a in range(0, n, block):
+        low, high = max(0, a - halo), min(n, a + block + halo)
+        hashes = gram_hashes(words[low : high + 8].copy())
+        at = anchors(hashes, length)
+        at = at[(at >= a - low) & (at < a + block - low)]
+        found.append((at + low, hashes[at]))
+    return tuple(np.concatenate(x) for x in zip((np.zeros(0, "int64"), np.zeros(0, "u8")), *found))
+
+
+def least_hashes(texts: list[bytes], at_once: int = BLOCK) -> np.ndarray:
+    """The least hash of the grams of each text, 0 if it has none; texts are looked at some together."""
+    sizes = np.array([len(t) for t in texts], "int64")
+    out = np.zeros(len(texts), "u8")
+    for a, b in slices(sizes.tolist(), at_once):
+        hashes = gram_hashes(words_at(b"".join(texts[a:b])))
+        ends = np.cumsum(sizes[a:b])
+        some = np.flatnonzero(sizes[a:b] >= GRAM)
+        # From the start of each text to the end of its last gram, and from there to the next text.
+        bounds = np.column_stack((ends[some] - sizes[a:b][some], ends[some] - GRAM + 1)).ravel()
+        if len(some):
+            out[a + some] = np.minimum.reduceat(hashes, bounds)[::2]
+    return out
+
+
 def _heads(key: np.ndarray) -> np.ndarray:
     """Of each place in a sorted array the first with the same value."""
     first = np.zeros(len(key), "int32")
@@ -105,19 +136,21 @@ def suffix_order(words: np.ndarray, room: np.ndarray, length: int = LENGTH) -> n
     rank = np.full(len(words) + length, -1, "int32")
     head = _heads(key)
     rank[at] = head
-    del key, order
     known = 8
     while known < length:
         step = min(known, length - known)
-        sizes = np.bincount(head, minlength=1)
-        here = np.flatnonzero(room >= known + step).astype("int32")
-        here = here[sizes[rank[here]] > 1] if len(here) else here
-        both = rank[here].astype("int64") << 32 | rank[here + step]
+        # In order of their heads; a group of one is settled.
+        same = np.zeros(len(at) + 1, bool)
+        np.equal(head[1:], head[:-1], out=same[1:-1])
+        open_ = np.flatnonzero((same[1:] | same[:-1]) & (room[at] >= known + step)) if len(at) else at
+        at, head = at[open_], head[open_]
+        both = head.astype("int64") << 32 | rank[at + step]
         order = np.argsort(both)
-        here, both = here[order], both[order]
-        rank[here] = (both >> 32).astype("int32") + _heads(both) - _heads(both >> 32)
+        at, both = at[order], both[order]
+        # Groups keep their places in the sorted array.
+        head += _heads(both) - _heads(head)
+        rank[at] = head
         known += step
-        head = rank[np.flatnonzero(room >= known)]
     at = np.flatnonzero(room >= length)
     both = np.sort(rank[at].astype("int64") << 32 | at)  # equal ranks by place
     return (both & 0xFFFFFFFF).astype("int32")
@@ -127,8 +160,8 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, limit: int = LENGTH, l
     """Length, up to `limit`, of what each suffix shares with the one before it in `order`, by Kasai's rule.
 
     Walking through the text, a suffix shares at least one byte less than the one before it did. Many stretches of the text are
-    walked side by side. The rule holds below the limit, where the order is settled; after a full match the count starts anew.
-    `order` may leave suffixes out: bytes count as shared only if the suffix before moved along.
+    walked side by side. `order` may leave suffixes out, and those that are equal up to the limit stand in any order: bytes count as
+    shared only if the suffix before moved along, and then they are the same bytes, a full match included.
     """
     n, order = len(order), order.astype("int64")
     if not n:
@@ -142,26 +175,23 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, limit: int = LENGTH, l
     i, j = np.where(place >= 0, order[place], 0), np.where(place >= 0, before[place], -1)
     steps = i[1:] - i[:-1]
     moved = (j[:-1] >= 0) & (j[1:] - j[:-1] == steps)
-    out, shared, end = np.zeros(n, "int32"), np.zeros(lanes, "int64"), len(words) - 1
-    size = np.uint64(1)
+    shared, one = np.zeros(lanes, "int64"), np.uint64(1)
+    found = np.empty((height, lanes), "int32")
     for k in range(height):
         if k:
-            carried = moved[k - 1] & (shared < limit)
-            shared = np.where(carried, np.maximum(shared - steps[k - 1], 0), 0)
-        open_ = np.flatnonzero(j[k] >= 0)
-        shared[j[k] < 0] = 0
-        a, b, so_far = i[k][open_], j[k][open_], shared[open_]
-        while len(open_):
-            differ = words[np.minimum(a + so_far, end)] ^ words[np.minimum(b + so_far, end)]
-            lowest = differ & (~differ + size)
-            same = differ == 0
-            so_far = so_far + np.where(same, 8, np.bitwise_count(lowest - size) // 8)
+            shared = np.where(moved[k - 1], np.maximum(shared - steps[k - 1], 0), 0)
+        a, b, so_far, open_ = i[k], j[k], shared, slice(None)
+        while len(a):
+            differ = words.take(a + so_far, mode="clip") ^ words.take(b + so_far, mode="clip")
+            # Zero bits below the first that differs: eight bytes if none does.
+            so_far = so_far + (np.bitwise_count(~differ & (differ - one)) >> 3)
             shared[open_] = so_far
-            on = np.flatnonzero(same & (so_far < limit))
-            open_, a, b, so_far = open_[on], a[on], b[on], so_far[on]
-        np.minimum(shared, limit, out=shared)
-        seen = place[k] >= 0
-        out[place[k][seen]] = shared[seen]
+            on = np.flatnonzero((differ == 0) & (so_far < limit))
+            open_, a, b, so_far = on if isinstance(open_, slice) else open_[on], a[on], b[on], so_far[on]
+        shared[j[k] < 0] = 0
+        found[k] = np.minimum(shared, limit, out=shared)
+    out = np.empty(n, "int32")
+    out[text] = found.T.ravel()[:n]
     return out
 
 
@@ -222,18 +252,9 @@ def smaller_elsewhere(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], fi
     """
     sizes = np.cumsum([len(k) for k, *_ in lists])
     if first_key and len(lists):
-        key, least = np.concatenate([k for k, *_ in lists]), np.concatenate([i for *_, i in lists])
-        strings = np.concatenate([t for _, t, _ in lists])
-        order = np.argsort(key, kind="stable")
-        again = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1
-        if (strings[order[again]] == strings[order[again - 1]]).all():
-            group = np.ones(len(key), "int64")
-            group[again] = 0
-            heads = np.flatnonzero(group)
-            low = np.minimum.reduceat(least[order], heads) if len(heads) else least
-            out = np.zeros(len(key), bool)
-            out[order] = low[np.cumsum(group) - 1] < least[order]
-            return np.split(out, sizes[:-1])
+        found = _smaller_by_key(*(np.concatenate(x) for x in zip(*lists)))
+        if found is not None:
+            return np.split(found, sizes[:-1])
     ranked = [(t[o], i[o]) for _, t, i in lists if len(t) for o in (np.lexsort(t.T[::-1]),)]
     while len(ranked) > 1:
         pairs = list(zip(ranked[::2], ranked[1::2]))
@@ -241,6 +262,21 @@ def smaller_elsewhere(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], fi
     return [ranked[0][1][find(ranked[0][0], t)[0]] < i if len(t) else np.zeros(0, bool) for _, t, i in lists]
 
 
+def _smaller_by_key(key: np.ndarray, strings: np.ndarray, least: np.ndarray) -> np.ndarray | None:
+    """The same for lists one after the other, all in one; nothing if two strings share a key."""
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1
+    if (strings[order[again]] != strings[order[again - 1]]).any():
+        return None
+    fresh = np.ones(len(key), bool)
+    fresh[again] = False
+    heads, least = np.flatnonzero(fresh), least[order]
+    low = np.minimum.reduceat(least, heads) if len(heads) else least
+    out = np.zeros(len(key), bool)
+    out[order] = low[np.cumsum(fresh) - 1] < least
+    return out
+
+
 class Shard:
     """Different texts of a shard laid end to end, with the smallest id of each."""
 
@@ -260,17 +296,20 @@ class Shard:
         return self._all_anchors
 
     def _find_anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        hashes = gram_hashes(words_at(self.data))
-        at = anchors(hashes, length)
+        at, hashes = anchors_in(self.data, length)
         of = self.of[at]
         inside = at + GRAM <= (self.starts + self.sizes)[of]
-        return at[inside], hashes[at[inside]], of[inside]
+        return at[inside], hashes[inside], of[inside]
 
     def least_grams(self, at: np.ndarray, length: int) -> np.ndarray:
         """The least hash of the grams in each string from `at` on: the one of the first of its anchors that is least."""
         place, hashes, _ = self._all_anchors
         out = np.full(len(at), np.iinfo("u8").max, "u8")
-        low, high = np.searchsorted(place, at), np.searchsorted(place, at + length - GRAM, "right")
+        # How many anchors lie before each position.
+        before = np.zeros(len(self.data) + 2, "int32")
+        before[place + 1] = 1
+        np.cumsum(before, out=before)
+        low, high = before[at], before[at + (length - GRAM + 1)]
         for k in range(int((high - low).max(initial=0))):
             inside = np.flatnonzero(low + k < high)
             out[inside] = np.minimum(out[inside], hashes[low[inside] + k])
@@ -279,28 +318,33 @@ class Shard:
     def grams(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Different anchor hashes in order, and whether more than one text of the shard has them."""
         _, hashes, of = self.anchors(length)
-        order = np.lexsort((of, hashes))
+        order = np.argsort(hashes)
         hashes, of = hashes[order], of[order]
         if not len(hashes):
             return hashes, np.zeros(0, bool)
         heads = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-        lasts = np.append(heads[1:], len(hashes)) - 1
-        return hashes[heads], of[heads] != of[lasts]
+        return hashes[heads], np.minimum.reduceat(of, heads) != np.maximum.reduceat(of, heads)
 
-    def around(self, shared: np.ndarray, length: int, ranges: int) -> np.ndarray:
-        """Which positions begin a string of `length` that lies in one text and holds an anchor among `shared`: sorted numbers
-        made of the range and the low 32 bits of a hash."""
+    def around(self, cross: np.ndarray, inner: np.ndarray, length: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which positions begin a string of `length` that lies in one text and holds an anchor among `cross`, and which do with
+        one among either: numbers made of the range and the low 32 bits of a hash."""
         at, hashes, of = self.anchors(length)
         hashes = part_of(hashes, ranges) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
-        place = np.minimum(np.searchsorted(shared, hashes), max(0, len(shared) - 1))
-        hit = shared[place] == hashes if len(shared) else np.zeros(len(at), bool)
-        low = np.maximum(at[hit] - (length - GRAM), self.starts[of[hit]])
-        high = np.minimum(at[hit], (self.starts + self.sizes)[of[hit]] - length)
-        fine = low <= high
-        n = len(self.data) + 1
-        marks = np.bincount(low[fine], minlength=n).astype("int32")
-        marks -= np.bincount(high[fine] + 1, minlength=n).astype("int32")
-        return np.cumsum(marks[:-1], out=marks[:-1]) > 0
+        n, found = len(self.data) + 1, np.zeros((2, len(at)), bool)
+        for hit, shared in zip(found, (np.sort(cross), np.sort(np.concatenate((cross, inner))))):
+            if len(shared):
+                place = np.searchsorted(shared, hashes)
+                np.equal(shared[np.minimum(place, len(shared) - 1)], hashes, out=hit)
+        out = []
+        for hit in found:
+            low = np.maximum(at[hit] - (length - GRAM), self.starts[of[hit]])
+            high = np.minimum(at[hit], (self.starts + self.sizes)[of[hit]] - length)
+            fine = low <= high
+            marks = np.zeros(n, "int32")
+            np.add.at(marks, low[fine], 1)
+            np.subtract.at(marks, high[fine] + 1, 1)
+            out.append(np.cumsum(marks[:-1], out=marks[:-1]) > 0)
+        return out[0], out[1]
 
     def runs(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions of `starts` in suffix order, number of the run of equal strings of each)."""
@@ -382,7 +426,7 @@ def shards_of(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BY
                     ids.append(key)
                     texts.append(text[a : a + shard_bytes + length - 1])
                     of.append(f"{own} {k} {end}")
-            near = [int(h.min().view("i8")) if len(h := gram_hashes(words_at(t))) else 0 for t in texts]
+            near = least_hashes(texts).view("i8")
             mark = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
             columns = [pa.array(c, k) for c, k in ((ids, pa.int64()), (texts, pa.binary()), (near, pa.int64()), (mark, pa.binary()), (of, pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "data", "near", "mark", "of"])
@@ -434,9 +478,10 @@ def _shard(row) -> tuple[Shard, list[list]]:
 
 def _outcome(raw: np.ndarray, gone: np.ndarray) -> tuple[int, int, int, str, bytes]:
     """What is told of a text of which some bytes go."""
-    kept = raw[~gone].tobytes()
-    spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype("i1")))) > 0))
-    return len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept
+    removed = int(np.count_nonzero(gone))
+    kept = (raw[~gone] if removed else raw).tobytes()
+    spans = int(gone[0]) + int(np.count_nonzero(gone[1:] > gone[:-1])) if removed else 0
+    return len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept
 
 
 def remove_repeats(
@@ -462,31 +507,32 @@ def remove_repeats(
             for row in batch.to_dict("records"):
                 hashes, many = _shard(row)[0].grams(length)
                 # In a range 32 bits tell anchors apart well enough: a collision makes one look shared, which costs work only.
-                part = part_of(hashes, ranges)
-                order = np.argsort(part, kind="stable")
-                hashes, many, part = hashes[order], many[order], part[order]
-                cuts = np.searchsorted(part, np.arange(ranges + 1))
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if b > a:
-                        low, place = np.unique(hashes[a:b].astype("u4"), return_inverse=True)
-                        both = np.bincount(place, many[a:b]) > 0
-                        out.append((k, row["shard"], low.tobytes(), np.packbits(both).tobytes()))
+                key = part_of(hashes, ranges) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+                order = np.argsort(key)
+                key, many = key[order], many[order]
+                heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+                key, many = key[heads], (np.logical_or.reduceat(many, heads) if len(heads) else many).tobytes()
+                cuts = np.searchsorted(key >> np.uint64(32), np.arange(ranges + 1, dtype="u8")).tolist()
+                low = key.astype("u4").tobytes()
+                out += [(k, row["shard"], low[4 * a : 4 * b], many[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             yield _rows(["range", "shard", "hashes", "many"], out)
 
     def share(group: pd.DataFrame) -> pd.DataFrame:
         """Anchors that several texts have, for each shard: those it shares with others, and those with itself only."""
-        lists = [np.frombuffer(h, "u4") for h in group["hashes"]]
         span = int(group["range"].iloc[0])
-        every = np.sort(np.concatenate(lists))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        out = []
-        for own, hashes, many in zip(group["shard"], lists, group["many"]):
-            place = np.minimum(np.searchsorted(twice, hashes), max(0, len(twice) - 1))
-            cross = twice[place] == hashes if len(twice) else np.zeros(len(hashes), bool)
-            inner = np.unpackbits(np.frombuffer(many, "u1"), count=len(hashes)).astype(bool) & ~cross
-            if cross.any() or inner.any():
-                out.append((own, span, hashes[cross].tobytes(), hashes[inner].tobytes()))
-        return _rows(["shard", "range", "cross", "inner"], out)
+        hashes, many = np.frombuffer(b"".join(group["hashes"]), "u4"), np.frombuffer(b"".join(group["many"]), bool)
+        ends = np.cumsum([0, *map(len, group["many"])])
+        # A shard has each of its anchors once.
+        order = np.argsort(hashes)
+        same = np.zeros(len(hashes) + 1, bool)
+        same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
+        cross = np.zeros(len(hashes), bool)
+        cross[order] = same[1:] | same[:-1]
+        told = []
+        for which in (cross, many & ~cross):
+            data, at = hashes[which].tobytes(), (4 * np.concatenate(([0], np.cumsum(which)))[ends]).tolist()
+            told.append([data[a:b] for a, b in zip(at, at[1:])])
+        return _rows(["shard", "range", "cross", "inner"], [(own, span, x, y) for own, x, y in zip(group["shard"], *told) if x or y])
 
     sent = shards.mapInPandas(send, "range bigint, shard string, hashes binary, many binary")
     shared = written(sent.groupBy("range").applyInPandas(share, "shard string, range bigint, cross binary, inner binary"), "anchors")
@@ -526,15 +572,15 @@ def remove_repeats(
         release(collect=False)  # what the group before has left
         row = held.to_dict("records")[0]
         shard, ids = _shard(row)
+        spans = marks["range"].to_numpy("u8") << np.uint64(32)
         cross, inner = (
-            np.sort(np.concatenate([np.zeros(0, "u8"), *(np.frombuffer(x, "u4") | np.uint64(k << 32) for k, x in zip(marks["range"], marks[c]))]))
-            for c in ("cross", "inner")
+            np.repeat(spans, np.array([len(x) // 4 for x in marks[c]], "int64")) | np.frombuffer(b"".join(marks[c]), "u4") for c in ("cross", "inner")
         )
-        outside = shard.around(cross, length, ranges)
-        at, run = shard.runs(outside | shard.around(inner, length, ranges), length)
+        outside, starts = shard.around(cross, inner, length, ranges)
+        at, run = shard.runs(starts, length)
         owner = shard.ids[shard.of[at]]
-        least = np.full(int(run[-1]) + 1 if len(run) else 0, NOBODY)
-        np.minimum.at(least, run, owner)
+        # Runs are numbered in this order.
+        least = np.minimum.reduceat(owner, np.flatnonzero(np.diff(run, prepend=-1))) if len(run) else owner
         covered = np.zeros(len(shard.data), bool)
         covered[at[least[run] < owner]] = True
         waits = np.zeros(len(ids), bool)
@@ -545,30 +591,41 @@ def remove_repeats(
             # Only what waits is kept, laid end to end anew.
             shift = np.zeros(len(ids), "int64")
             shift[touched] = np.cumsum(shard.sizes[touched]) - shard.sizes[touched] - shard.starts[touched]
-            kind = np.full(len(shard.data), -1, "int64")
+            kind = np.full(len(shard.data), -1, "int32")
             kind[at] = np.where(outside[at], run, -1)
             here = np.flatnonzero(kind >= 0)
             kind = kind[here]
             # Each run once, at its first place, in the order in which it is sent: by range of its least gram, then by place.
             first = np.full(len(least), -1, "int64")
             first[kind[::-1]] = np.arange(len(kind))[::-1]
-            kinds = np.flatnonzero(first >= 0)
-            first = first[kinds]
+            chosen = np.zeros(len(kind), bool)
+            chosen[first[first >= 0]] = True
+            first = np.flatnonzero(chosen)
             low = shard.least_grams(here[first], length)
             part = part_of(low, ranges)
-            sent = np.lexsort((here[first], part))
+            sent = np.argsort(part << np.uint64(32) | np.arange(len(first), dtype="u8"))
+            kinds = kind[first][sent]
             number = np.empty(len(least), "int64")
-            number[kinds[sent]] = np.arange(len(kinds))
-            place, low, part, own = here[first][sent], low[sent], part[sent], least[kinds][sent]
+            number[kinds] = np.arange(len(kinds))
+            place, low, part, own = here[first][sent], low[sent], part[sent], least[kinds]
             fresh = (np.diff(place) != 1) | (low[1:] != low[:-1]) | (own[1:] != own[:-1]) | (part[1:] != part[:-1])
             heads = np.flatnonzero(np.concatenate(([True], fresh)))
             counts = np.diff(np.append(heads, len(place)))
             cuts = np.searchsorted(part[heads], np.arange(ranges + 1))
+            raw, sizes = np.frombuffer(shard.data, "u1"), counts + length - 1
+            ends = np.concatenate(([0], np.cumsum(sizes)))
             stretches = []
-            for k in np.flatnonzero(np.diff(cuts)):
-                x, y = cuts[k], cuts[k + 1]
-                text = b"".join(shard.data[place[h] : place[h] + n + length - 1] for h, n in zip(heads[x:y], counts[x:y]))
-                stretches.append((int(k), int(heads[x]), _packed(text), counts[x:y].astype("int32").tobytes(), own[heads[x:y]].tobytes()))
+            # The bytes of some ranges at a time.
+            for low_k, high_k in slices(np.diff(ends[cuts]).tolist(), SHARD_BYTES):
+                x, y = cuts[low_k], cuts[high_k]
+                here_ends = ends[x : y + 1] - ends[x]
+                text = raw[np.repeat(place[heads[x:y]] - here_ends[:-1], sizes[x:y]) + np.arange(here_ends[-1])].tobytes()
+                told, ids_told = counts[x:y].astype("int32").tobytes(), own[heads[x:y]].tobytes()
+                for k in range(low_k, high_k):
+                    a, b = int(cuts[k] - x), int(cuts[k + 1] - x)
+                    if b > a:
+                        piece = _packed(text[here_ends[a] : here_ends[b]])
+                        stretches.append((k, int(heads[x + a]), piece, told[4 * a : 4 * b], ids_told[8 * a : 8 * b]))
             of = shard.of[here]
             keep = np.concatenate([np.arange(shard.starts[d], shard.starts[d] + shard.sizes[d]) for d in touched])
             state = (
@@ -591,17 +648,14 @@ def remove_repeats(
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         """Whether another shard's id of a string is smaller: each list is looked up in the merged one by binary search."""
         release(collect=False)
-        texts, places, ids, begin = [], [], [], 0
-        for text, counts, least in zip(map(_unpacked, group["text"]), group["counts"], group["least"]):
-            counts = np.frombuffer(counts, "int32").astype("int64")
-            start = begin + np.cumsum(counts + length - 1) - (counts + length - 1)
-            places.append(np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum()))
-            ids.append(np.repeat(np.frombuffer(least, "i8"), counts))
-            texts.append(text)
-            begin += len(text)
-        sizes = np.array([len(p) for p in places], "int64")
-        words, at, least = words_seen(b"".join(texts)), np.concatenate(places), np.concatenate(ids)
-        del texts, places, ids
+        words = words_seen(b"".join(map(_unpacked, group["text"])))
+        counts = np.frombuffer(b"".join(group["counts"]), "int32").astype("int64")
+        begin = np.cumsum(counts + length - 1) - (counts + length - 1)
+        at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        least = np.repeat(np.frombuffer(b"".join(group["least"]), "i8"), counts)
+        # A list has at least one stretch.
+        heads = np.cumsum([0, *(len(c) // 4 for c in group["counts"])])[:-1]
+        sizes = np.add.reduceat(counts, heads)
         of, smaller = np.repeat(np.arange(len(sizes), dtype="int32"), sizes), np.zeros(len(at), bool)
         # Some strings at a time, the same of all shards: those whose first bytes fall into one of so many classes.
         classes = max(1, -(-len(at) // AT_ONCE))
@@ -610,11 +664,15 @@ def remove_repeats(
             here = np.flatnonzero(kinds == kind)
             strings = rows_of_words(words, at[here], length)
             key = digest(strings)
-            order = np.lexsort((key, of[here]))
+            # By list, then by key; equal keys of a list, if there are any, in any order.
+            order = np.argsort(key)
+            order = order[np.argsort(of[here[order]].astype(f"u{2 if len(sizes) < 1 << 16 else 4}"), kind="stable")]
             here, key, strings = here[order], key[order], strings[order]
-            cuts = np.flatnonzero(np.diff(of[here])) + 1
-            found = smaller_elsewhere(list(zip(*(np.split(x, cuts) for x in (key, strings, least[here])))))
-            smaller[here] = np.concatenate(found)
+            found = _smaller_by_key(key, strings, least[here])
+            if found is None:
+                cuts = np.flatnonzero(np.diff(of[here])) + 1
+                found = np.concatenate(smaller_elsewhere(list(zip(*(np.split(x, cuts) for x in (key, strings, least[here])))), False))
+            smaller[here] = found
         ends = np.cumsum(sizes)
         out = [(own, first, int(n), np.packbits(smaller[end - n : end]).tobytes()) for own, first, n, end in zip(group["shard"], group["first"], sizes, ends)]
         return _rows(["shard", "first", "n", "smaller"], out)

@@ -194,3 +194,40 @@ def test_ranges_of_least_grams_are_even():
     shard.anchors(50)
     part = s.part_of(shard.least_grams(np.arange(200_000), 50), 50).astype("int64")
     assert np.bincount(part, minlength=50).max() < 2 * 200_000 / 50
+
+
+def test_full_matches_carry_over():
+    """Of a copied text each suffix shares what the one before it in the text did, less a byte: about one word of each is looked at."""
+
+    class Counted(np.ndarray):
+        seen = 0
+
+        def __getitem__(self, at):
+            Counted.seen += np.size(at)
+            return np.asarray(self)[at]
+
+        def take(self, at, **how):
+            Counted.seen += np.size(at)
+            return np.asarray(self).take(at, **how)
+
+    text = bytes(random.Random(4).choices(range(97, 123), k=2_000))
+    data = text + text
+    words, room = s.words_at(data), np.concatenate((np.arange(2_000, 0, -1),) * 2)
+    order = s.suffix_order(words, room, 50)
+    shared = s.common_prefixes(words.view(Counted), order, 50, 8)
+    assert shared[1::2].tolist() == [50] * (len(order) // 2)
+    # Two words are compared; a full match would take fourteen.
+    assert Counted.seen < 4 * len(order)
+
+
+def test_anchors_by_blocks_and_least_hashes_of_texts():
+    data = bytes(random.Random(5).choices(range(97, 100), k=3_000))
+    hashes = s.gram_hashes(s.words_at(data))
+    want = s.anchors(hashes, 50)
+    for block in (40, 333, 1 << 15):
+        at, found = s.anchors_in(data, 50, block)
+        assert at.tolist() == want.tolist() and found.tolist() == hashes[want].tolist()
+    assert [len(x) for x in s.anchors_in(b"ab" * 10, 50)] == [0, 0]
+    texts = [b"", data[:15], data[:16], data[7:900], b"", data, data[5:21]]
+    for at_once in (10, 1_000, 1 << 20):
+        assert s.least_hashes(texts, at_once).tolist() == [int(s.gram_hashes(s.words_at(t))[: len(t) - 15].min()) if len(t) > 15 else 0 for t in texts]
