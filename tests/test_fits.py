@@ -9,9 +9,11 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.linalg import Vectors
 
 from factorspark import FitParams, SparseMatrix
+from factorspark.functions.columns import combine, names
 from factorspark.operators import moments
 from factorspark.operators.accumulate import PARTIALS_SCHEMA
 from factorspark.operators.factors import VALIDATION_FACTOR, VALIDATION_SS, init_factor
+from factorspark.operators.small import combine_by_blocks
 from factorspark.plans import em, quality, sites
 from factorspark.plans import layout as plan
 from factorspark.plans.layout import prepare
@@ -405,3 +407,31 @@ def test_packed_cells_give_the_product(spark, monkeypatch, cells, columns):
     told = product._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
     assert "SortMergeJoin" not in told and "BroadcastHashJoin" in told
     layout.release()
+
+
+def test_a_column_has_a_sum_for_each_core_not_for_each_part(spark):
+    y = sparse(9, 60, 11)
+    layout = prepare(matrix_of(spark, y), 2, parts=24)
+    w = np.random.default_rng(1).random((11, 2))
+    product = plan.gram_product(layout, factor_of(spark, w), 2, [0.5, -0.25])
+    kept = (y != 0).any(axis=1)
+    want = y.T @ np.where(kept[:, None], y @ w - [0.5, -0.25], 0)
+    found = {r["col_id"]: (r["p_0"], r["p_1"]) for r in product.collect()}
+    assert all(np.allclose(found[c], want[c]) for c in found) and len(found) == 10
+    told = product._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert f"Coalesce {spark.sparkContext.defaultParallelism}" in told
+    layout.release()
+
+
+def test_blocks_of_a_sketch_are_combined_in_arrays(spark):
+    """As by the expression that few components go through."""
+    rng = np.random.default_rng(2)
+    a, weights = rng.random((30, 4)), rng.random((4, 3))
+    table = factor_of(spark, a)
+    args = names("w", 4), weights, "w"
+    for keep in (["col_id"], ["col_id", "w_1"]):
+        got = combine_by_blocks(table, args[0], weights, "o", keep)
+        assert got.columns == [*keep, "o_0", "o_1", "o_2"]
+        assert np.allclose(dense(got, 30, "o"), a @ weights)
+    assert np.allclose(dense(combine(table, "w", weights, "o", ["col_id"]), 30, "o"), a @ weights)
+    assert combine_by_blocks(table.where("false"), args[0], weights, "o", ["col_id"]).count() == 0
