@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from conftest import factor_of, matrix_of, sparse
 
-from factorspark.operators.absolute import absolute_sums
+from factorspark import Limits
+from factorspark.operators.absolute import _groups, absolute_sums
 from factorspark.plans import quality
 
 
@@ -45,3 +46,21 @@ def test_sums_of_errors_by_column_and_row(spark, k, monkeypatch):
     found = quality.reconstruction_interval(*args, width=0.0)
     assert found.low == found.ratio == found.high and found.rows == 40
     assert np.isclose(found.ratio, np.abs(error).sum(axis=0).max() / np.abs(y - y.mean(axis=0)).sum(axis=0).max())
+
+
+@pytest.mark.parametrize("rows", [(500, 260), (260, 500)])
+def test_pieces_move_once_for_each_group_of_the_others(spark, rows, monkeypatch):
+    """Neither table can be broadcast whole; no record holds a pair of pieces until they meet in a task."""
+    rng = np.random.default_rng(5)
+    p, q = (rng.normal(size=(n, 3)) for n in rows)
+    points, queries = table(spark, p, "p", "id"), table(spark, q, "q", "id")
+    parts, whole = [], type(points).repartition
+    monkeypatch.setattr(type(points), "repartition", lambda self, n, *by: parts.append((n, by)) or whole(self, n, *by))
+    got = {r["id"]: r["total"] for r in absolute_sums(points, queries, "id", 3, 20, Limits(broadcast_bytes=100 * 64)).collect()}
+    assert np.allclose([got[i] for i in range(rows[1])], np.abs(p @ q.T).sum(axis=0), rtol=1e-12)
+    assert len(parts) > 2 and all(n <= 60 and len(by) == 1 for n, by in parts)
+
+
+def test_groups_of_pieces_fit(spark):
+    pieces = spark.createDataFrame([(f"{i}", bytes(24 * n)) for i, n in enumerate([40, 40, 40, 300, 1, 2])], "p_piece string, p_data binary")
+    assert _groups(pieces, "p_piece", 3, Limits(broadcast_bytes=100 * 64)) == [["0", "1"], ["2"], ["3"], ["4", "5"]]
